@@ -9,13 +9,27 @@ from kinscope.functions.ids import id_list, id_set
 from kinscope.llm.common import baskets
 from kinscope.llm.components import connected_components, merge_edges
 from kinscope.llm.cooccurrence import co_occurrence
+from kinscope.llm.families import families, typical_members
 from kinscope.llm.frequency import term_frequency
+from kinscope.llm.knn import nearest
 from kinscope.llm.mixing import mix
+from kinscope.llm.names import same_names
 from kinscope.llm.setjoin import expand_pairs, similar_sets
 from kinscope.llm.tokens import encode, token_counts
 from kinscope.runtime import current_rows, table
 
 
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar actors of every actor, with their cosine."""
+    found = nearest(table(spark, folder, "vector_space"), "actor_id", "vec", "built_at")
+    return found.select(F.col("key").alias("actor_id"), F.col("neighbour").alias("similar_id"), F.round("similarity", 6).alias("similarity"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = nearest(table(spark, folder, "vector_space"), "actor_id", "vec", "built_at", exact_at=(0.85,), at_least=0.85)
+    return found.select(F.least("key", "neighbour").alias("actor_a"), F.greatest("key", "neighbour").alias("actor_b")).distinct()
+
+
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of techniques used together: users of both, and how much more often than chance."""
     rows = co_occurrence(baskets(spark, folder), F.col("ids"))
@@ -27,6 +41,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("item_a").alias("technique_a"), F.col("item_b").alias("technique_b"))
 
 
+def _families(spark: SparkSession, folder: str) -> DataFrame:
+    return families(table(spark, folder, "vector_space"), "actor_id", "vec", "built_at")
+
+
+def p3_families(spark: SparkSession, folder: str) -> DataFrame:
+    """The size of every family and its five most typical actors."""
+    rows = typical_members(_families(spark, folder))
+    return rows.select(F.col("lead").alias("lead_id"), "size", "rank", F.col("key").alias("actor_id"), "typicality")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _families(spark, folder).where("key <> lead").select(F.col("lead").alias("lead_id"), F.col("key").alias("actor_id"))
+
+
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every id named in a merge decision with the least id of its group."""
     groups = connected_components(merge_edges(table(spark, folder, "actor_merges"), "canonical_id", "merged_ids"))
@@ -70,6 +98,25 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _frequency(spark, folder).where("mark is not null").select(F.col("term").alias("technique_id"), "mark")
 
 
+def _names(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return same_names(table(spark, folder, "raw_actors"), "attack_id", "name", "aliases")
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record that has a telling name: its group, and the spellings it shares with another record of the group."""
+    members, forms = _names(spark, folder)
+    used = forms.join(members, "key")
+    shared = used.groupBy("group", "node").agg(F.countDistinct("key").alias("keys")).where("keys > 1").drop("keys")
+    aliases = used.join(shared, ["group", "node"]).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("form")), "; ").alias("shared_aliases"))
+    return members.join(aliases, "key", "left").select(F.col("key").alias("attack_id"), F.col("group").alias("group_id"), "shared_aliases")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    members = _names(spark, folder)[0]
+    a, b = members.toDF("attack_id_a", "g"), members.toDF("attack_id_b", "g")
+    return a.join(b, "g").where("attack_id_a < attack_id_b").select("attack_id_a", "attack_id_b")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -89,7 +136,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_pairs, p2_found, p4_groups, p4_found, p5_classes, p5_found, p6_frequency, p6_found, p8_ids, p9_mix, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p2_pairs, p2_found, p3_families, p3_found, p4_groups, p4_found, p5_classes, p5_found, p6_frequency, p6_found, p7_groups, p7_found, p8_ids, p9_mix, p9_report)}
 
 _CURRENT = """cur AS (
   SELECT actor_id, technique_ids FROM actors WHERE actor_id IS NOT NULL
