@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinscope.functions.ids import id_list, id_set
+from kinscope.llm import abuse
 from kinscope.llm.common import baskets
 from kinscope.llm.components import connected_components, merge_edges
 from kinscope.llm.cooccurrence import co_occurrence
@@ -136,7 +137,27 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p2_pairs, p2_found, p3_families, p3_found, p4_groups, p4_found, p5_classes, p5_found, p6_frequency, p6_found, p7_groups, p7_found, p8_ids, p9_mix, p9_report)}
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return abuse.score(docs, abuse.fit(docs, table(spark, folder, "review_labels")), ["doc_id", "source"], "text")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document, and whether it is held to be abusive."""
+    return _scored(spark, folder)
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, abusive documents and their rate for every source."""
+    own = _scored(spark, folder).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("abusive").alias("abusive"))
+    return own.withColumn("rate", F.col("abusive") / F.col("documents"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).where("abusive").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_neighbours, p1_found, p2_pairs, p2_found, p3_families, p3_found, p4_groups, p4_found, p5_classes, p5_found, p6_frequency, p6_found, p7_groups, p7_found, p8_ids, p9_mix, p9_report, p10_scores, p10_rates, p10_found)}
 
 _CURRENT = """cur AS (
   SELECT actor_id, technique_ids FROM actors WHERE actor_id IS NOT NULL
