@@ -15,12 +15,13 @@ from kinscope.runtime import materialise
 
 DIMS = 512
 SEED_FACTOR = 4.0
-SEED_ROUNDS, MEAN_ROUNDS, REFINE_ROUNDS = 3, 2, 2
+SEED_ROUNDS, MEAN_ROUNDS = 3, 1
+REST_FACTOR, REST_SEEDS = 16.0, 4_096
 _ODD = 40_503
 
 
-def hashed(ix: pa.Array, vx: pa.Array, dims: int) -> np.ndarray:
-    """Unit rows of hashed weighted features.
+def buckets(ix: pa.Array, vx: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of hashed weighted features; the values of a row have length 1.
 
     A feature's bucket is its number times an odd constant, modulo a power of two: features with numbers below `dims`
     never share a bucket, so cosines are those of the features themselves. Higher numbers wrap round, with a sign.
@@ -28,15 +29,18 @@ def hashed(ix: pa.Array, vx: pa.Array, dims: int) -> np.ndarray:
     axis, counts = flat(ix, "<u2")
     value = flat(vx, "<f4")[0].astype(np.float64)
     row = np.repeat(np.arange(len(counts)), counts)
-    sign = np.where(axis.astype(np.int64) // dims % 2 == 0, 1.0, -1.0)
-    bucket = axis.astype(np.int64) * _ODD % dims
     norm = np.sqrt(np.bincount(row, weights=value**2, minlength=len(counts)))
-    out = np.zeros((len(counts), dims), np.float32)
-    np.add.at(out, (row, bucket), sign * value / np.maximum(norm, 1e-300)[row]) if len(axis) and axis.max() >= dims else out.__setitem__((row, bucket), value / np.maximum(norm, 1e-300)[row])
-    return out
+    sign = np.where(axis.astype(np.int64) // dims % 2 == 0, 1.0, -1.0)
+    return row, axis.astype(np.int64) * _ODD % dims, sign * value / np.maximum(norm, 1e-300)[row]
+
+
+def hashed(ix: pa.Array, vx: pa.Array, dims: int) -> np.ndarray:
+    """Dense rows (float32) of `buckets`."""
+    row, bucket, value = buckets(ix, vx, dims)
+    return np.bincount(row * dims + bucket, weights=value, minlength=len(ix) * dims).astype(np.float32).reshape(-1, dims)
 
 
-def _blocks(t: pa.Table | None, dims: int, rows: int = 16_384) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def _blocks(t: pa.Table | None, dims: int, rows: int = 8_192) -> Iterator[tuple[pa.Table, np.ndarray]]:
     for lo in range(0, t.num_rows if t is not None else 0, rows):
         part = t.slice(lo, rows).combine_chunks()
         yield part, hashed(part.column("ix").chunk(0), part.column("vx").chunk(0), dims)
@@ -90,22 +94,23 @@ def _seeds(rows: DataFrame, want: int, dims: int, seed: int) -> np.ndarray:
     return centres
 
 
-def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per centre, the number of rows nearest to it (with a product of at least `at_least`) and their sum.
+def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per centre, the number of rows nearest to it (with a product of at least `at_least`, one bound or one a centre) and their sum.
 
     Each task sends one row a centre; these are added by a shuffle, not on the driver, so what the driver gets is one row a centre.
     """
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = np.broadcast_to(np.asarray(at_least, np.float32), len(centres))
         total = np.zeros((len(centres), dims), np.float64)
         count = np.zeros(len(centres), np.int64)
-        for _, x in _blocks(one(it), dims):
+        for t, x in _blocks(one(it), dims):
             who, best = _nearest(x, centres)
-            keep = best >= at_least
-            row, bucket = np.nonzero(x[keep])
-            own = who[keep]
-            total += np.bincount(own[row] * dims + bucket, weights=x[keep][row, bucket], minlength=len(centres) * dims).reshape(-1, dims)
-            count += np.bincount(own, minlength=len(centres))
+            keep = best >= bound[who]
+            row, bucket, value = buckets(t.column("ix").chunk(0), t.column("vx").chunk(0), dims)
+            own = keep[row]
+            np.add.at(total.reshape(-1), who[row[own]] * dims + bucket[own], value[own])
+            count += np.bincount(who[keep], minlength=len(centres))
         c = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(count[c]), binary(total[c].astype("<f4").ravel(), np.full(len(c), dims))], names=["c", "n", "s"])
 
@@ -161,19 +166,32 @@ def agglomerate(count: np.ndarray, total: np.ndarray, threshold: float) -> tuple
     return count[alive], total[alive]
 
 
-def _found(rows: DataFrame, n: int, dims: int, threshold: float, least: int, factor: float, seed: int) -> np.ndarray:
-    """Means of the families that one run of seeding, k-means and joining finds among the rows."""
-    want = min(n, max(16, math.ceil(factor * math.sqrt(n))))
+def _found(rows: DataFrame, want: int, dims: int, threshold: float, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, means) of the families that one run of seeding, k-means and joining finds among the rows."""
     centres = _seeds(rows, want, dims, seed)
-    count = total = None
+    count, total = np.zeros(0), np.zeros((0, dims))
     for _ in range(MEAN_ROUNDS):
         count, total = _sums(rows, centres, dims, -1.0)
         centres = _unit(total)
-    if count is None or not len(count):
-        return np.zeros((0, dims), np.float32)
+    size, means = _joined(count, total, threshold, least)
+    # Every row to the nearest mean, if it fits there: rows that only a split centre had drawn in fall out.
+    return _joined(*_sums(rows, means, dims, threshold), threshold, least) if len(means) else (size, means)
+
+
+def _joined(count: np.ndarray, total: np.ndarray, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, means) of the families that the groups join to."""
+    if not len(count):
+        return count, np.zeros((0, total.shape[1]), np.float32)
     count, total = agglomerate(count, total, threshold)
-    big = count >= least
-    return (total[big] / count[big, None]).astype(np.float32)
+    # The members of a family are alike among themselves: a member's product with itself is left out of the average.
+    own = ((total**2).sum(axis=1) - count) / np.maximum(count * (count - 1), 1)
+    big = (count >= least) & (own >= threshold)
+    return count[big], (total[big] / count[big, None]).astype(np.float32)
+
+
+def _member(size: np.ndarray, threshold: float) -> np.ndarray:
+    """The product with its family's mean, itself included, at which a member's average to the other members is the threshold."""
+    return threshold + (1 - threshold) / np.maximum(size, 1)
 
 
 def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float = 0.36, least: int = 5, dims: int = DIMS, seed_factor: float = SEED_FACTOR) -> DataFrame:
@@ -181,57 +199,45 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
 
     Vectors are hashed weighted features (`hashed`). k-means with parallel oversampled seeding splits them into more
     centres than there are families: seed_factor * sqrt(rows). Centres then join by average cosine, exactly as average
-    linkage would, while it is at least `threshold`; a few rounds of assigning every row to the nearest family mean of
-    at least `threshold` follow. The rows left over go through the same again, with relatively more seeds as they grow
-    fewer, until they hold no further family of `least` rows. typicality is the cosine to the family's centre.
+    linkage would, while it is at least `threshold`; every row then goes to the nearest family mean of at least
+    `threshold`. The rows left over go through the same again, with relatively more seeds, until they hold no further
+    family of `least` rows. typicality is the cosine to the family's centre.
     Rows that fit no family are left out, as are null, all-zero and non-finite vectors. The driver holds one sum a centre.
     Equal rows fall into the same family; an empty table gives no rows. Keys are compared as strings.
     """
     packed = materialise(pack_vectors(df.withColumn(key, F.col(key).cast("string")), key, vec, stamp).select("key", "ix", "vx"), "family-vectors")
-    rest, means, factor = packed, np.zeros((0, dims), np.float32), seed_factor
-    n = packed.count()
-    for r in range(20):
-        if n < least:
+    rest, size, means = packed, np.zeros(0), np.zeros((0, dims), np.float32)
+    n, r = packed.count(), 0
+    want = math.ceil(seed_factor * math.sqrt(n))
+    while n >= least:
+        own, new = _found(rest, min(n, max(16, want)), dims, threshold, least, 1000 * r)
+        if r and len(new):
+            # Few rows, so that a stray one weighs much: those unlike the others of their family fall out before it counts as one.
+            own, new = _joined(*_sums(rest, new, dims, _member(own, threshold)), threshold, least)
+        if r and not len(new):
             break
-        new = _found(rest, n, dims, threshold, least, factor, 1000 * r)
-        if not len(new):
-            if factor * math.sqrt(n) >= n / 3:
-                break
-            factor *= 4
-            continue
-        for _ in range(REFINE_ROUNDS):
-            count, total = _sums(rest, new, dims, threshold)
-            if len(count):
-                count, total = agglomerate(count, total, threshold)
-            big = count >= least
-            new = (total[big] / count[big, None]).astype(np.float32)
-            if not len(new):
-                break
-        if not len(new):
-            factor *= 4
-            continue
-        means = np.vstack([means, new])
+        size, means = np.concatenate([size, own]), np.vstack([means, new])
         outside = means
 
         def left(it: Iterator[pa.RecordBatch], outside=outside) -> Iterator[pa.RecordBatch]:
             for t, x in _blocks(one(it), dims):
-                yield from t.filter(pa.array(_nearest(x, outside)[1] < threshold)).combine_chunks().to_batches()
+                fits = _nearest(x, outside)[1] >= threshold if len(outside) else np.zeros(len(x), bool)
+                yield from t.filter(pa.array(~fits)).combine_chunks().to_batches()
 
         rest = materialise(rest.mapInArrow(left, "key string, ix binary, vx binary").coalesce(max(1, n // 20_000)), "family-rest")
-        n = rest.count()
-        factor = seed_factor * 4
+        n, r = rest.count(), r + 1
+        want = max(math.ceil(REST_FACTOR * math.sqrt(n)), min(n // 2, REST_SEEDS))
     if len(means):
         # Families of different rounds meet here, and every row is held against all of them.
-        count, total = agglomerate(*_sums(packed, means, dims, threshold), threshold)
-        means = (total[count >= least] / count[count >= least, None]).astype(np.float32)
+        size, means = _joined(*_sums(packed, means, dims, _member(size, threshold)), threshold, least)
     if not len(means):
         return packed.select("key", F.lit("").alias("lead"), F.lit(0.0).alias("typicality"), F.lit(0).cast("bigint").alias("size")).limit(0)
 
     def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norm = np.maximum(np.linalg.norm(means, axis=1), 1e-12)
+        norm, bound = np.maximum(np.linalg.norm(means, axis=1), 1e-12), _member(size, threshold)
         for t, x in _blocks(one(it), dims):
             who, best = _nearest(x, means)
-            keep = np.flatnonzero(best >= threshold)
+            keep = np.flatnonzero(best >= bound[who])
             yield pa.RecordBatch.from_arrays([t.column("key").chunk(0).take(pa.array(keep)), pa.array(who[keep].astype(np.int32)), pa.array((best / norm[who])[keep].astype(np.float64))], names=["key", "family", "typicality"])
 
     own = materialise(packed.mapInArrow(assign, "key string, family int, typicality double"), "family-members")
