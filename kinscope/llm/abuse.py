@@ -197,9 +197,10 @@ def train(texts: list[str | None], labels: list[float], penalty: float = COUNTER
         times = lambda mask: np.bincount(at[use & mask], minlength=len(distinct))
         # What clean texts say as often is not abusive.
         y = times(hold) > times(clean)
-        no = (times(clean) > 0) & ~y
-        maybe = (times(positive & ~hold) > 0) & ~y & ~no
-        weight = y / max(y.sum(), 1) + (no + 0.3 * maybe) * 3 / max(no.sum() + 0.3 * maybe.sum(), 1)
+        # A sentence said often in clean texts weighs more than one said once, but not in proportion.
+        no = np.sqrt(times(clean)) * ~y
+        maybe = np.where(no > 0, 0, np.sqrt(times(positive & ~hold))) * ~y
+        weight = y / max(y.sum(), 1) + (no + 0.3 * maybe) * 4 / max(no.sum() + 0.3 * maybe.sum(), 1)
         kept = np.flatnonzero(weight > 0)
         new = np.full(len(distinct), -1)
         new[kept] = np.arange(len(kept))
@@ -229,7 +230,7 @@ def train(texts: list[str | None], labels: list[float], penalty: float = COUNTER
     w, bias = fitted(np.ones(len(at), bool), hold, clean)
     # The threshold that agrees best with the labels on texts the scoring model has not seen; the lowest of equals.
     truth = label > 0.5
-    best = max((round(2 * (truth & (top >= t)).sum() / max(truth.sum() + (top >= t).sum(), 1), 3), -t) for t in np.arange(0.2, 0.65, 0.05))
+    best = max((round(2 * (truth & (top >= t)).sum() / max(truth.sum() + (top >= t).sum(), 1), 3), -t) for t in np.arange(0.3, 0.65, 0.05))
     return Classifier(w.astype(np.float32), float(bias), float(-best[1]))
 
 
