@@ -1,4 +1,398 @@
-"""All queries of the core, with their SQL."""
+"""All queries of the core over the test tables, with SQL that says the same. Each runs over whole tables."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinscope.config import Config
+from kinscope.functions import ids, text
+from kinscope.operators import clustering, metrics, normalize, pairs, sampling, scoring, search, service, vectors, weighting
+from kinscope.operators.benchmark import run_trials
+from kinscope.operators.components import components
+from kinscope.operators.confidence import confidence
+from kinscope.plans.sql import ORACLES as ORACLES
+from kinscope.sources import bundle
+from kinscope.sources.tables import actor_edges, actor_entities, event_edges, order_edges, technique_names
+from kinscope.runtime import materialise, table
+from kinscope.streaming.observations import observation_stream, rank_changes, run_once, windowed_counts
 
 QUERIES = {}
-ORACLES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _r(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles to six places."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _weights(spark: SparkSession, folder: str, scheme: str = "smooth_idf") -> DataFrame:
+    return weighting.feature_weights(event_edges(spark, folder), scheme)
+
+
+def _space(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.vector_space(event_edges(spark, folder), _weights(spark, folder))
+
+
+def _queries(spark: SparkSession, folder: str) -> DataFrame:
+    """(query_id, feature_id): the first twelve features of the three users with the lowest ids, and one feature nobody has."""
+    e = event_edges(spark, folder)
+    three = e.select("entity_id").distinct().orderBy("entity_id").limit(3)
+    rows = e.join(F.broadcast(three), "entity_id").withColumn("p", F.row_number().over(Window.partitionBy("entity_id").orderBy("feature_id"))).where("p <= 12")
+    known = rows.select(F.col("entity_id").alias("query_id"), "feature_id")
+    return known.unionByName(three.select(F.col("entity_id").alias("query_id"), F.lit("unseen|0").alias("feature_id")))
+
+
+@query
+def feature_frequency(spark, folder):
+    return _r(weighting.feature_frequency(actor_edges(spark, folder), technique_names(spark, folder)), "entity_ratio")
+
+
+@query
+def frequency_summary(spark, folder):
+    return _r(weighting.coverage_summary(weighting.feature_frequency(actor_edges(spark, folder))), "singleton_share", "commodity_share")
+
+
+@query
+def feature_weights(spark, folder):
+    """All three schemes."""
+    out = None
+    for scheme in ("smooth_idf", "plain_idf", "binary"):
+        rows = _weights(spark, folder, scheme).select(F.lit(scheme).alias("scheme"), "feature_id", "weight", "rarity")
+        out = rows if out is None else out.unionByName(rows)
+    return _r(out, "weight", "rarity")
+
+
+@query
+def feature_bands(spark, folder):
+    rows = weighting.heat(weighting.band(_weights(spark, folder)))
+    return _r(rows.select("feature_id", "entity_count", "band", "heat", weighting.share_band(F.col("entity_ratio")).alias("share_band")), "heat")
+
+
+@query
+def vector_space(spark, folder):
+    return _r(_space(spark, folder), "w", "u")
+
+
+@query
+def query_vectors(spark, folder):
+    return _r(vectors.query_vectors(_queries(spark, folder), _weights(spark, folder)), "w", "u")
+
+
+@query
+def entity_totals(spark, folder):
+    return _r(vectors.entity_totals(vectors.vector_space(actor_edges(spark, folder), weighting.feature_weights(actor_edges(spark, folder)))), "total")
+
+
+def _scores(spark, folder, **config):
+    return scoring.score(_space(spark, folder), _queries(spark, folder), _weights(spark, folder), Config(**config))
+
+
+@query
+def scores_cosine(spark, folder):
+    return _scores(spark, folder)
+
+
+@query
+def scores_cosine_uncorrected(spark, folder):
+    return _scores(spark, folder, coverage_correction=False)
+
+
+@query
+def scores_jaccard(spark, folder):
+    return _scores(spark, folder, metric="jaccard")
+
+
+@query
+def scores_weighted_jaccard(spark, folder):
+    return _scores(spark, folder, metric="weighted_jaccard")
+
+
+@query
+def candidates(spark, folder):
+    return scoring.rank(_scores(spark, folder)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def candidate_evidence(spark, folder):
+    w, s, q = _weights(spark, folder), _space(spark, folder), _queries(spark, folder)
+    return scoring.evidence(scoring.rank(scoring.score(s, q, w)), s, q, w).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query
+def matched_and_missing(spark, folder):
+    w, s, q = _weights(spark, folder), _space(spark, folder), _queries(spark, folder)
+    rows = scoring.matched_and_missing(scoring.rank(scoring.score(s, q, w)), s, q, w)
+    return rows.select("query_id", "entity_id", F.array_join("matched_ids", ",").alias("matched"), F.array_join("missing_ids", ",").alias("missing"))
+
+
+@query
+def query_confidence(spark, folder):
+    w, s, q = _weights(spark, folder), _space(spark, folder), _queries(spark, folder)
+    return confidence(scoring.score(s, q, w), s, q, w)
+
+
+@query
+def query_result(spark, folder):
+    """The flagship: candidates with lists and evidence, and the confidence of each query."""
+    w, s, q = _weights(spark, folder), _space(spark, folder), _queries(spark, folder)
+    names = s.select("entity_id").distinct().withColumn("entity_name", F.concat(F.lit("user "), "entity_id"))
+    return service.result_rows(s, q, w, names).drop("evidence")
+
+
+@query
+def query_documents(spark, folder):
+    """Each result as a nested JSON document."""
+    return service.result_document(service.nested_results(_space(spark, folder), _queries(spark, folder), _weights(spark, folder)))
+
+
+def _pairs(spark, folder, metric="cosine"):
+    return pairs.pair_similarity(_space(spark, folder), metric)
+
+
+@query
+def pairs_cosine(spark, folder):
+    return _pairs(spark, folder)
+
+
+@query
+def pairs_jaccard(spark, folder):
+    return _pairs(spark, folder, "jaccard")
+
+
+@query
+def pairs_weighted_jaccard(spark, folder):
+    return _pairs(spark, folder, "weighted_jaccard")
+
+
+@query
+def similarity_stats(spark, folder):
+    return pairs.similarity_stats(materialise(_pairs(spark, folder), "pairs"), event_edges(spark, folder))
+
+
+@query
+def similarity_matrix(spark, folder):
+    s = _space(spark, folder)
+    return pairs.dense(pairs.pair_similarity(s), vectors.entity_totals(s))
+
+
+@query
+def nearest_entities(spark, folder):
+    return pairs.nearest(_pairs(spark, folder)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _two(spark, folder) -> tuple[str, str]:
+    a, b = [r[0] for r in event_edges(spark, folder).select("entity_id").distinct().orderBy("entity_id").limit(2).collect()]
+    return a, b
+
+
+@query
+def neighbour_table(spark, folder):
+    return pairs.neighbour_table(_space(spark, folder), _two(spark, folder)[0]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def neighbour_rank_shift(spark, folder):
+    s, own = _space(spark, folder), _two(spark, folder)[0]
+    rows = pairs.rank_shift(pairs.neighbour_table(s, own), pairs.neighbour_table(s, own, "jaccard"))
+    return rows.select("entity_id", *[F.col(c).cast("bigint").alias(c) for c in ("rank_first", "rank_second", "shift")])
+
+
+@query
+def compare_entities(spark, folder):
+    return pairs.compare(_space(spark, folder), *_two(spark, folder))
+
+
+@query
+def comparison_summary(spark, folder):
+    return pairs.comparison_summary(_space(spark, folder), *_two(spark, folder))
+
+
+@query
+def entity_clusters(spark, folder):
+    return clustering.clusters(_pairs(spark, folder), event_edges(spark, folder), replace(Config(), distance_threshold=0.93))
+
+
+@query
+def entity_map(spark, folder):
+    return clustering.layout(_pairs(spark, folder), event_edges(spark, folder))
+
+
+def _assigned(edges: DataFrame) -> DataFrame:
+    """A fixed assignment for the profile: the id's remainder by eight, less one."""
+    return edges.select("entity_id").distinct().withColumn("cluster_id", (F.col("entity_id").cast("bigint") % 8 - 1).cast("int"))
+
+
+@query
+def cluster_profile(spark, folder):
+    e = event_edges(spark, folder)
+    return clustering.cluster_profile(_assigned(e), e).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query
+def cluster_signature(spark, folder):
+    e = event_edges(spark, folder)
+    return clustering.signature(clustering.cluster_profile(_assigned(e), e)).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query
+def cluster_labels(spark, folder):
+    e = event_edges(spark, folder)
+    names = e.select("feature_id").distinct().withColumn("feature_name", F.upper("feature_id"))
+    return clustering.cluster_labels(clustering.cluster_profile(_assigned(e), e), names)
+
+
+@query
+def sparse_filter(spark, folder):
+    """Customers with enough kinds of parts, out of three joined tables."""
+    return normalize.sparse_filter(order_edges(spark, folder), 20)
+
+
+@query
+def used_features(spark, folder):
+    return normalize.used_features(technique_names(spark, folder), normalize.sparse_filter(actor_edges(spark, folder), 15))
+
+
+@query
+def rolled_up_ids(spark, folder):
+    """Every sighting's id as typed and rolled up, with how often it comes."""
+    t = table(spark, folder, "actor_technique")
+    return t.groupBy("technique_id").agg(F.count(F.lit(1)).alias("sightings")).select("technique_id", ids.roll_up(F.col("technique_id")).alias("parent_id"), ids.is_feature_id(F.col("technique_id")).alias("is_id"), "sightings")
+
+
+@query
+def sighting_edges(spark, folder):
+    """Distinct actors and techniques of all sightings, with first and last time seen."""
+    t = table(spark, folder, "actor_technique").withColumn("feature_id", ids.roll_up(F.col("technique_id"))).where("actor_id is not null and feature_id <> ''")
+    return t.groupBy(F.col("actor_id").alias("entity_id"), "feature_id").agg(F.count(F.lit(1)).alias("sightings"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"))
+
+
+@query
+def feature_categories(spark, folder):
+    """Techniques of each tactic: footprints and the matrix view are this joined to an entity's features."""
+    t = table(spark, folder, "techniques").select("technique_id", F.explode(ids.split_list(F.col("tactics"))).alias("tactic"))
+    return t.groupBy("tactic").agg(F.countDistinct("technique_id").alias("techniques"))
+
+
+@query
+def footprint(spark, folder):
+    """How many of each actor's techniques fall under each tactic."""
+    t = table(spark, folder, "techniques").select(F.col("technique_id").alias("feature_id"), F.explode(ids.split_list(F.col("tactics"))).alias("tactic"))
+    return actor_edges(spark, folder).join(t, "feature_id").groupBy("entity_id", "tactic").agg(F.count(F.lit(1)).alias("techniques"))
+
+
+@query
+def alias_keys(spark, folder):
+    """Usable alias keys of the records whose names are plain ASCII."""
+    t = table(spark, folder, "raw_actors")
+    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = t.select("attack_id", F.explode(names).alias("text")).where(F.col("text").rlike(r"^[\x20-\x7E]+$"))
+    return rows.select("attack_id", text.alias_key(text.ascii_slug(F.col("text"))).alias("key")).where("key is not null").distinct()
+
+
+@query
+def merged_components(spark, folder):
+    """Actors joined by merge decisions, by label propagation."""
+    m = table(spark, folder, "actor_merges")
+    named = F.concat(F.array("canonical_id"), F.coalesce("merged_ids", F.array().cast("array<string>")))
+    listed = F.array_distinct(F.filter(F.transform(named, lambda x: ids.clean_id(x)), lambda x: x.isNotNull()))
+    rows = m.select(listed.alias("ids")).where(F.size("ids") > 0).select(F.get("ids", F.lit(0)).alias("u"), F.explode("ids").alias("v"))
+    return components(rows, rows.select(F.col("v").alias("node")))
+
+
+@query
+def bundle_entities(spark, folder):
+    """Kept records of a bundle made of the raw records; of equal STIX ids the last counts."""
+    raw = table(spark, folder, "raw_actors").groupBy("stix_id").agg(F.max_by(F.struct("attack_id", "name", "revoked", "deprecated"), F.struct("modified", F.coalesce("revoked", F.lit(False)), F.coalesce("deprecated", F.lit(False)), F.coalesce("name", F.lit("")))).alias("r")).select("stix_id", "r.*")
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], bundle.SCHEMA).schema["objects"].dataType.elementType.fields}
+    own = {"type": F.lit("intrusion-set"), "id": F.col("stix_id"), "name": F.col("name"), "revoked": F.col("revoked"), "x_mitre_deprecated": F.col("deprecated"), "external_references": F.array(F.struct(F.lit(bundle.SOURCE).alias("source_name"), F.col("attack_id").alias("external_id")))}
+    objects = raw.select(F.lit(0).alias("pos"), F.struct(*[own.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()]).alias("o"))
+    return bundle.parse(objects).entities.select("stix_id", "attack_id", "name")
+
+
+@query
+def actor_overview(spark, folder):
+    """Current actors with the number of their aliases and techniques."""
+    n = actor_edges(spark, folder).groupBy("entity_id").agg(F.count(F.lit(1)).alias("features"))
+    e = actor_entities(spark, folder).select("entity_id", "entity_name", F.size(text.clean_aliases(F.col("entity_name"), F.col("aliases"))).cast("bigint").alias("aliases"))
+    return e.join(n, "entity_id", "left").withColumn("features", F.coalesce("features", F.lit(0)))
+
+
+@query
+def search_features(spark, folder):
+    w = weighting.heat(weighting.feature_weights(actor_edges(spark, folder), names=technique_names(spark, folder)))
+    return search.search_features(w, "cl", 8).select(F.col("place").cast("bigint").alias("place"), "feature_id", "feature_name", "score")
+
+
+@query
+def search_entities(spark, folder):
+    return search.search_entities(actor_entities(spark, folder).where(F.col("entity_name").isNotNull()), "compass", 8).select(F.col("place").cast("bigint").alias("place"), "entity_id", "entity_name", "score")
+
+
+@query
+def trial_plan(spark, folder):
+    rows = sampling.hashed_plan(event_edges(spark, folder))
+    return rows.select("trial_id", "entity_id", "feature_id", F.col("feature_count").cast("bigint").alias("feature_count"))
+
+
+@query
+def retrieval_trials(spark, folder):
+    """The trials of regime A, each scored against all users."""
+    e = event_edges(spark, folder)
+    return run_trials(e, materialise(sampling.hashed_plan(e), "plan"))
+
+
+@query
+def retrieval_report(spark, folder):
+    return metrics.report(retrieval_trials(spark, folder))
+
+
+def _trials(spark, folder) -> DataFrame:
+    c = table(spark, folder, "candidates").dropDuplicates(["candidate_id"]).where("actor_id is not null")
+    n = lambda c: F.greatest(F.size(F.coalesce(c, F.array().cast("array<string>"))), F.lit(0))
+    level = F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.45, "medium").otherwise("low")
+    rank = F.when(F.col("rank") <= 5, F.col("rank")).otherwise(-1)
+    return c.select(F.col("actor_id").alias("entity_id"), rank.alias("rank"), (F.col("query_id") % 4).alias("sample_size"), (n("matched_technique_ids") + n("missing_technique_ids")).alias("feature_count"), level.alias("level"), "query_id")
+
+
+@query
+def metric_report(spark, folder):
+    """Every breakdown of retrieval quality over the answers given so far, by grouping sets."""
+    return metrics.report(_trials(spark, folder))
+
+
+@query
+def hardest_entities(spark, folder):
+    return metrics.hardest(_trials(spark, folder))
+
+
+@query
+def paired_comparison(spark, folder):
+    t = _trials(spark, folder)
+    return metrics.paired_test(t.where("query_id % 2 = 0"), t.where("query_id % 2 = 1")).drop("p")
+
+
+@query
+def answer_changes(spark, folder):
+    """How an actor's rank changes from one query to the next that names it."""
+    c = table(spark, folder, "candidates").groupBy("query_id", "actor_id").agg(F.min("rank").alias("rank"), F.min("asked_at").alias("asked_at")).where("actor_id is not null")
+    rows = rank_changes(c.select(F.lit("all").alias("query_id"), F.col("query_id").alias("revision"), F.col("actor_id").alias("entity_id"), F.col("rank").cast("bigint").alias("rank")))
+    return rows.drop("query_id")
+
+
+@query
+def noise_pool(spark, folder):
+    return sampling.noise_pool(actor_edges(spark, folder))
+
+
+@query
+def stream_windows(spark, folder):
+    """Daily counts of event kinds, run as a stream over the events table."""
+    schema = table(spark, folder, "events").schema
+    return run_once(windowed_counts(observation_stream(spark, f"{folder}/events.parquet", schema), "ts", "event_type"), "windows")
