@@ -11,13 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinscope.llm.common import dense, flat, offsets_of, one, pack_vectors
+from kinscope.llm.common import binary, dense, flat, one, pack_vectors
 from kinscope.runtime import materialise
 
-AXES, BITS, COMPONENTS = 8, 6, 24
-ORDERINGS, LOCAL_ORDERINGS = 4, 6
-TASK_ROWS, WINDOW, BLOCK, CELLS = 24_576, 256, 256, 64
+AXES, BITS = 8, 6
+ORDERINGS, LOCAL_ORDERINGS = 3, 5
+TASK_ROWS, WINDOW, BLOCK, CELLS = 49_152, 256, 512, 64
 SAMPLE_ROWS = 20_000
+SEPARATOR = "\x1f"
 
 
 def hilbert(q: np.ndarray, bits: int) -> np.ndarray:
@@ -56,10 +57,10 @@ def _principal(x: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.ascontiguousarray(e[:, ::-1][:, :components]).astype(np.float32)
 
 
-def _turn(seed: int, n: int) -> np.ndarray:
-    """A seeded random rotation of n components, cut to the curve's axes."""
-    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))[0]
-    return r[:, : min(AXES, n)].astype(np.float32)
+def _axes(r: int, z: np.ndarray) -> np.ndarray:
+    """The principal axes of the r-th curve: the next eight, so that each curve tells apart what those before could not."""
+    n = z.shape[1]
+    return z[:, [(r * AXES + i) % n for i in range(min(AXES, n))]]
 
 
 def _grid(y: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int) -> np.ndarray:
@@ -94,16 +95,16 @@ class _Curves:
         return x[:, :width] @ self.basis[:width] - self.mean @ self.basis
 
     def place(self, s: int, z: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        y = z @ _turn(100 + s, z.shape[1])
+        y = _axes(s, z)
         return hilbert(_grid(y, self.low[s], self.high[s], 200 + s), BITS) << 15 | salt
 
     @staticmethod
     def fit(x: np.ndarray, salt: np.ndarray, parts: int, orderings: int) -> _Curves:
-        mean, basis = _principal(x, COMPONENTS)
+        mean, basis = _principal(x, AXES * orderings)
         c = _Curves(mean, basis, [], [], [], parts)
         z = c.project(x)
         for s in range(orderings):
-            y = z @ _turn(100 + s, z.shape[1])
+            y = _axes(s, z)
             low, high = np.quantile(y, [0.001, 0.999], axis=0)
             c.low.append(low)
             c.high.append(high)
@@ -122,74 +123,118 @@ class _Curves:
 
 
 class _Best:
-    """The k best of each row so far. Codes ascend with ids, so equal similarities go to the lower id."""
+    """The k best of each row so far; codes are places in `names`. Equal similarities go to the lower id."""
 
-    def __init__(self, rows: int, k: int) -> None:
+    def __init__(self, rows: int, k: int, names: pa.Array) -> None:
+        self.names, self.rank = names, None
         self.code = np.full((rows, k), -1, np.int64)
         self.sim = np.full((rows, k), -np.inf, np.float32)
         self.k = k
 
     def add(self, row: np.ndarray, code: np.ndarray, sim: np.ndarray) -> None:
-        new = ~(self.code[row] == code[:, None]).any(axis=1)
-        row, code, sim = row[new], code[new], sim[new]
+        """Takes in pairs that are not in the lists yet; no pair may come twice in one call."""
+        if (self.code[:, 0] >= 0).any():
+            new = np.ones(len(row), bool)
+            for j in range(self.k):
+                new &= self.code[row, j] != code
+            row, code, sim = row[new], code[new], sim[new]
         if not len(row):
             return
-        hit = np.unique(row)
+        flag = np.zeros(len(self.code), bool)
+        flag[row] = True
+        hit = np.flatnonzero(flag)
         old = self.code[hit].ravel() >= 0
         row = np.concatenate([row, np.repeat(hit, self.k)[old]])
         code = np.concatenate([code, self.code[hit].ravel()[old]])
         sim = np.concatenate([sim, self.sim[hit].ravel()[old]])
-        order = np.lexsort((code, -sim, row))
+        # One sortable number: the row, then the similarity from high to low.
+        bits = (-sim).view(np.uint32).astype(np.int64)
+        key = row << 32 | np.where(bits >> 31 == 1, bits ^ 0xFFFFFFFF, bits ^ 0x80000000)
+        order = np.argsort(key)
+        key = key[order]
+        if (key[1:] == key[:-1]).any():
+            order = self.by_id(order, key, code)
         row, code, sim = row[order], code[order], sim[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
         keep = place < self.k
         self.code[hit], self.sim[hit] = -1, -np.inf
         self.code[row[keep], place[keep]] = code[keep]
         self.sim[row[keep], place[keep]] = sim[keep]
 
 
+    def by_id(self, order: np.ndarray, key: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The order with runs of equal keys put by id. Few runs are sorted one by one; for many, all ids get ranks once."""
+        same = key[1:] == key[:-1]
+        if self.rank is None and same.sum() <= 2_000:
+            order = order.copy()
+            begin = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)) == 1)
+            end = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)) == -1)
+            for lo, hi in zip(begin, end + 1):
+                order[lo:hi] = sorted(order[lo:hi].tolist(), key=lambda i: self.names[int(code[i])].as_py())
+            return order
+        if self.rank is None:
+            by_name = np.asarray(pc.sort_indices(self.names))
+            self.rank = np.empty(len(by_name), np.int64)
+            self.rank[by_name] = np.arange(len(by_name))
+        return order[np.lexsort((self.rank[code[order]], key))]
+
+
 def _windows(x: np.ndarray, code: np.ndarray, best: _Best, exact, seed: int) -> None:
     """Finds neighbours within one range of a curve: the range is ordered anew by several curves of its own principal
     axes, and on each every vector meets those within `WINDOW` places, or more, by block products."""
     n = len(x)
     if n < 2:
         return
-    whole = n <= 2 * WINDOW + BLOCK
+    whole = n <= BLOCK
     sub = x[:: max(1, n // 2000)]
-    mean, basis = _principal(sub, COMPONENTS) if not whole else (None, None)
+    mean, basis = _principal(sub, AXES * LOCAL_ORDERINGS) if not whole else (None, None)
     z = (x - mean) @ basis if not whole else None
     for r in range(1 if whole else LOCAL_ORDERINGS):
         if whole:
             order = np.arange(n)
         else:
-            y = z @ _turn(seed + 10 * r, z.shape[1])
+            y = _axes(r, z)
             low, high = np.quantile(y[:: max(1, n // 5000)], [0.001, 0.999], axis=0)
             order = np.argsort(hilbert(_grid(y, low, high, seed + 10 * r), BITS), kind="stable")
-        xo = x[order]
+        xo, least = x[order], best.sim[order, -1].copy()
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = n if whole else BLOCK
-        for lo in range(0, n, step):
-            hi = min(lo + step, n)
-            left = max(0, lo - WINDOW)
-            s = xo[lo:hi] @ xo[left : hi + WINDOW].T
-            s[np.arange(hi - lo), np.arange(lo, hi) - left] = -np.inf
-            least = best.sim[order[lo:hi], -1]
-            k = min(best.k, s.shape[1] - 1)
-            if np.isinf(least).any():
-                # Not yet k known: all ties of the k-th best stay in.
-                least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1])
-            i, j = np.nonzero(s >= least[:, None])
-            got.append((order[lo + i], order[left + j], s[i, j]))
+        for lo in range(0, n, BLOCK):
+            hi = min(lo + BLOCK, n)
+            top = min(hi + WINDOW, n)
+            # Each pair is multiplied once, and serves both of its ends.
+            s = xo[lo:hi] @ xo[lo:top].T
+            s[np.arange(hi - lo), np.arange(hi - lo)] = -np.inf
+            if s.shape[1] > best.k:
+                _raise(least[lo:hi], s, best.k)
+                if top > hi:
+                    _raise(least[hi:top], s[:, hi - lo :].T, best.k)
+            at = np.flatnonzero(s >= least[lo:hi, None])
+            i, j = np.divmod(at, s.shape[1])
+            got.append((lo + i, lo + j, s.ravel()[at]))
+            if top > hi:
+                tail = s[:, hi - lo :]
+                at = np.flatnonzero(tail >= least[None, hi:top])
+                i, j = np.divmod(at, tail.shape[1])
+                got.append((hi + j, lo + i, tail[i, j]))
         row, other, sim = (np.concatenate(c) for c in zip(*got))
+        row, other = order[row], order[other]
         sim = np.clip(exact(row, other, sim), -1, 1)
         best.add(row, code[other], sim)
 
 
+def _raise(least: np.ndarray, s: np.ndarray, k: int) -> None:
+    """Where fewer than k neighbours are known, the k-th best of the block is the bound: its ties stay in."""
+    open_ = np.flatnonzero(np.isinf(least))
+    if len(open_) and s.shape[1] >= k:
+        least[open_] = -np.partition(-s[open_], k - 1, axis=1)[:, k - 1]
+
+
 def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact_at: tuple[float, ...] = (), at_least: float | None = None, orderings: int = ORDERINGS, task_rows: int = TASK_ROWS) -> DataFrame:
     """(key, neighbour, similarity): the k most similar current vectors by cosine of every key's current vector.
 
     Vectors are projected on principal axes fitted on `SAMPLE_ROWS` rows (those with the lowest hashed keys; all rows are
-    indexed) and ordered along `orderings` Hilbert curves, each over another rotation and shift. An ordering is one
+    indexed) and ordered along `orderings` Hilbert curves, each over eight further axes and with a shift of its own. An ordering is one
     shuffle: rows go to range partitions of about `task_rows`, the outermost cells of a range to its neighbour as well.
     Within a range, curves of the range's own principal axes give the windows in which vectors are compared exactly;
     each vector's list travels on with it to the next ordering, so no pair of vectors is ever shuffled.
@@ -217,21 +262,20 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
     ix, vx = (sample.column(c).chunk(0) for c in ("ix", "vx"))
     width = int(flat(ix, "<u2")[0].max()) + 1
     curves = _Curves.fit(dense(ix, vx, width), _hash(sample.column("key").chunk(0)), max(1, -(-n // task_rows)), orderings)
-    lists = "nk array<string>, ns array<float>"
+    lists = "nk string, ns binary"
 
     def send(s: int, x: np.ndarray, cols: list[pa.Array], nk: pa.Array, ns: pa.Array) -> Iterator[pa.RecordBatch]:
         row, part, guest = curves.spread(s, curves.project(x), _hash(cols[0]))
         at = pa.array(row)
         core = int((~guest).sum())
-        empty = pa.nulls(len(row) - core, ns.type)
-        lists = [pa.concat_arrays([nk.take(at[:core]), pa.nulls(len(row) - core, nk.type)]), pa.concat_arrays([ns.take(at[:core]), empty])]
+        lists = [pa.concat_arrays([c.take(at[:core]), pa.nulls(len(row) - core, c.type)]) for c in (nk, ns)]
         yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(guest), *[c.take(at) for c in cols], *lists], names=["part", "guest", "key", "ix", "vx", "nk", "ns"])
 
     def start(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
                 cols = [b.column(c) for c in ("key", "ix", "vx")]
-                none = pa.nulls(b.num_rows, pa.list_(pa.string())), pa.nulls(b.num_rows, pa.list_(pa.float32()))
+                none = pa.nulls(b.num_rows, pa.string()), pa.nulls(b.num_rows, pa.binary())
                 yield from send(0, dense(cols[1], cols[2], int(flat(cols[1], "<u2")[0].max()) + 1), cols, *none)
 
     def stage(s: int):
@@ -250,20 +294,16 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
     def search(s: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
         keys, ix, vx, nk, ns = (t.column(c).chunk(0) for c in ("key", "ix", "vx", "nk", "ns"))
         x = dense(ix, vx, int(flat(ix, "<u2")[0].max()) + 1)
-        known = nk.flatten()
+        known_sim, count = flat(ns, "<f4")
+        known = pc.split_pattern(nk.filter(pa.array(count > 0)), SEPARATOR).flatten()
         d = pa.concat_arrays([keys.cast(pa.string()), known.cast(pa.string())]).dictionary_encode()
-        order = np.asarray(pc.sort_indices(d.dictionary))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        code = rank[np.asarray(d.indices)]
-        names = d.dictionary.take(pa.array(order))
-        best = _Best(len(keys), k)
+        code, names = np.asarray(d.indices).astype(np.int64), d.dictionary
+        best = _Best(len(keys), k, names)
         if len(known):
-            count = np.asarray(pc.list_value_length(nk).fill_null(0))
             row = np.repeat(np.arange(len(count)), count)
             place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             best.code[row, place] = code[len(keys) :]
-            best.sim[row, place] = np.asarray(ns.flatten())
+            best.sim[row, place] = known_sim
         axis, many = flat(ix, "<u2")
         value = flat(vx, "<f4")[0].astype(np.float64)
         begin = np.concatenate([[0], np.cumsum(many)])
@@ -282,18 +322,19 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
         core = np.flatnonzero(~np.asarray(t.column("guest")))
         have = best.code[core] >= 0
         ends = pa.array(np.concatenate([[0], np.cumsum(have.sum(axis=1))]).astype(np.int32))
-        new_k = pa.ListArray.from_arrays(ends, names.take(pa.array(best.code[core][have])))
-        new_s = pa.ListArray.from_arrays(ends, pa.array(best.sim[core][have]))
+        own = pa.ListArray.from_arrays(ends, names.take(pa.array(best.code[core][have])))
+        new_k = pc.binary_join(own, SEPARATOR) if s + 1 < orderings else own
+        new_s = binary(best.sim[core][have].astype("<f4"), have.sum(axis=1))
         cols = [c.take(pa.array(core)) for c in (keys, ix, vx)]
         if s + 1 < orderings:
             yield from send(s + 1, x[core], cols, new_k, new_s)
         else:
-            yield pa.RecordBatch.from_arrays([cols[0], new_k, new_s], names=["key", "nk", "ns"])
+            yield pa.RecordBatch.from_arrays([cols[0], new_k, pa.ListArray.from_arrays(ends, pa.array(best.sim[core][have]))], names=["key", "nk", "ns"])
 
     chain = rows.mapInArrow(start, f"part int, guest boolean, key string, ix binary, vx binary, {lists}")
     for s in range(orderings):
         chain = chain.repartitionById(curves.parts, "part")
-        chain = chain.mapInArrow(stage(s), f"part int, guest boolean, key string, ix binary, vx binary, {lists}" if s + 1 < orderings else f"key string, {lists}")
+        chain = chain.mapInArrow(stage(s), f"part int, guest boolean, key string, ix binary, vx binary, {lists}" if s + 1 < orderings else "key string, nk array<string>, ns array<float>")
     found = chain.select("key", F.explode(F.arrays_zip("nk", "ns")).alias("x")).select("key", F.col("x.nk").alias("neighbour"), F.col("x.ns").cast("double").alias("similarity"))
     if at_least is not None:
         found = found.where(F.col("similarity") >= at_least)
