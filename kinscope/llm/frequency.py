@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinscope.runtime import materialise
+
 
 def term_frequency(df: DataFrame, terms: Column, *, rare_records: int = 2, common_share: float = 0.5) -> DataFrame:
     """(term, occurrences, records, share, mark) of every distinct term of an array column, over all rows of `df`.
@@ -22,6 +24,8 @@ def term_frequency(df: DataFrame, terms: Column, *, rare_records: int = 2, commo
     first = F.transform("terms", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (x != F.get("terms", i - 1)), 1).otherwise(0).cast("bigint").alias("first")))
     total = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("first")))
     counts = rows.select(F.explode(F.concat(total, first)).alias("t")).groupBy("t.term").agg(F.count(F.lit(1)).alias("occurrences"), F.sum("t.first").alias("records"))
+    # One row a distinct term, written once and read for both the total and the rows.
+    counts = materialise(counts, "term-counts")
     n = counts.agg(F.max(F.when(F.col("term").isNull(), F.col("records"))).alias("n"))
     marked = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > common_share * F.col("n"), "common")
     return counts.crossJoin(F.broadcast(n)).where(F.col("term").isNotNull()).select("term", "occurrences", "records", (F.col("records") / F.col("n")).alias("share"), marked.alias("mark"))
