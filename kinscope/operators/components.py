@@ -1,4 +1,4 @@
-"""Connected components for alias keys, by label propagation with shortcuts."""
+"""Connected components for alias keys, by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -11,16 +11,21 @@ from kinscope.runtime import materialise
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root): the least node joined to each node by the edges (u, v), itself if nothing is.
 
-    Each round every node takes the least label among its neighbours, then its label's label; rounds end when nothing
-    changes. Every round is a written table, so lineage stays short and lost executors cost one round.
+    Each round every node points to its least neighbour if that is lower, pointers are followed a few steps, and the
+    graph shrinks to the nodes pointed to; rounds end when no edge is left, and the pointers of all rounds are followed
+    in turn. A round is a written table, so lineage stays short and a lost executor costs one round.
     """
-    both = materialise(edges.select("u", "v").union(edges.select("v", "u")).toDF("u", "v").where("u is not null and v is not null and u <> v").distinct(), "alias-edges")
-    label = materialise(nodes.select("node").union(both.select("u")).distinct().select("node", F.col("node").alias("root")), "labels")
-    while True:
-        near = both.join(label.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
-        step = label.join(near, label["node"] == near["u"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
-        up = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        new = materialise(step.join(up, step["root"] == up["n2"], "left").select("node", "old", F.least("root", F.coalesce("r2", "root")).alias("root")), "labels")
-        if new.where("old <> root").isEmpty():
-            return new.select("node", "root")
-        label = new.select("node", "root")
+    own = edges.select("u", "v").where("u is not null and v is not null")
+    label = nodes.select("node").union(own.select("u")).union(own.select("v")).where("node is not null").distinct().withColumn("root", F.col("node"))
+    left = materialise(own.where("u <> v").distinct(), "alias-edges")
+    while not left.isEmpty():
+        both = left.union(left.select("v", "u").toDF("u", "v"))
+        up = both.groupBy("u").agg(F.least("u", F.min("v")).alias("r"))
+        for _ in range(2):
+            # Pointers only go down, so following them ends, and each step doubles the reach.
+            up = up.join(up.select(F.col("u").alias("r"), F.col("r").alias("rr")), "r").select("u", F.col("rr").alias("r"))
+        up = materialise(up, "alias-pointers")
+        a, b = up.toDF("u", "ru"), up.toDF("v", "rv")
+        left = materialise(left.join(a, "u").join(b, "v").where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "alias-edges")
+        label = label.join(up.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return label

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinscope.config import Config
-from kinscope.operators.scoring import DIGITS, rank, runner_up
+from kinscope.operators.scoring import DIGITS, leaders, rank, runner_up
 from kinscope.operators.vectors import query_vectors
 from kinscope.operators.weighting import normalized_rarity
 
@@ -37,6 +37,7 @@ def confidence(scores: DataFrame, space: DataFrame, queries: DataFrame, weights:
     least component; of equals the first of rarity, margin, sufficiency.
     """
     q = query_vectors(queries, weights)
+    scores = leaders(scores, max(2, config.top_k))
     known = q.groupBy("query_id").agg(F.count_if("known").alias("known"))
     best = rank(scores, config).where("rank = 1").select("query_id", "entity_id")
     hit = best.join(q.where("known").select("query_id", "feature_id"), "query_id").join(space.select("entity_id", "feature_id"), ["entity_id", "feature_id"])

@@ -61,6 +61,11 @@ def ranking(by: str = "query_id"):
     return Window.partitionBy(by).orderBy(F.desc("score"), "entity_id")
 
 
+def leaders(scores: DataFrame, n: int) -> DataFrame:
+    """The n best rows of each query. Whatever needs no more, ranks and the runner-up, may be computed from these alone."""
+    return scores.withColumn("__p", F.row_number().over(ranking())).where(F.col("__p") <= n).drop("__p")
+
+
 def rank(scores: DataFrame, config: Config = Config()) -> DataFrame:
     """Adds `rank`, dense from 1, and keeps ranks up to top_k of scores above 0 and from min_score; equal scores go by id."""
     kept = scores.where((F.col("score") > 0) & (F.col("score") >= config.min_score))

@@ -115,7 +115,7 @@ def test_bundle(spark, tmp_path):
 def test_components(spark):
     edges = spark.createDataFrame([("b", "a"), ("b", "c"), ("d", "e"), ("f", None), ("g", "g")], "u string, v string")
     nodes = spark.createDataFrame([("x",)], "node string")
-    assert {r[0]: r[1] for r in components(edges, nodes).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "x": "x"}
+    assert {r[0]: r[1] for r in components(edges, nodes).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "g": "g", "x": "x"}
 
 
 def test_artefacts(spark, tmp_path):
