@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,6 @@ def windowed_counts(events: DataFrame, stamp: str, kind: str, *, window: str = "
 
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there, and gives its final table. For bounded aggregates only: the sink is memory."""
-    import uuid
-
     table = f"{name}_{uuid.uuid4().hex[:8]}"
     state = f"{work_folder(stream.sparkSession)}/{table}"
     query = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", state).trigger(availableNow=True).start()
@@ -41,17 +40,18 @@ def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     return stream.sparkSession.table(table)
 
 
-def score_cases(cases: DataFrame, space: DataFrame, weights: DataFrame, sink: Callable[[DataFrame, int], None], config: Config = Config()):
+def score_cases(cases: DataFrame, space: DataFrame, weights: DataFrame, sink: Callable[[DataFrame, int], None], config: Config = Config(), state: str | None = None):
     """Starts a stream of (query_id, feature_id) that calls `sink(candidates, batch)` for the cases each batch touches.
 
     `foreachBatch` hands each batch to the batch scoring; the same batch number may come again after a failure, so a
-    sink that overwrites by batch number is exactly-once. Each batch is scored by itself.
+    sink that overwrites by batch number is exactly-once. Each batch is scored by itself. `state` is the folder that a
+    restarted stream goes on from; unset, the stream starts afresh in a folder of its own.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         sink(rank(score(space, batch, weights, config), config), number)
 
-    state = f"{work_folder(space.sparkSession)}/score-cases"
+    state = state or f"{work_folder(space.sparkSession)}/score-cases-{uuid.uuid4().hex}"
     return cases.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
