@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinscope.config import Config
+from kinscope.functions.ids import parse_ids
 from kinscope.operators.clustering import cluster_labels, cluster_profile, layout
 from kinscope.operators.confidence import confidence, reasons
 from kinscope.operators.pairs import compare, comparison_summary, nearest
@@ -44,6 +45,14 @@ def check_request(features: list[str] | str, top_k: int | None = None, ratio: fl
         raise BadRequest("ratio lies above 0 and up to 1")
 
 
+def parse_features(spark: SparkSession, blob: str) -> list[str]:
+    """The distinct rolled-up ids of a typed text, sorted, within the bounds of a request."""
+    check_request(blob)
+    own = spark.range(1).select(parse_ids(F.lit(blob))).first()[0]
+    check_request(own)
+    return own
+
+
 @dataclass
 class Station:
     """Artefacts of a dataset. DataFrames are lazy: what a question does not touch costs nothing."""
