@@ -26,6 +26,21 @@ def session(app: str = "kinscope", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the session's Python workers, once; on a cluster they need not have it installed."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if not getattr(sc, "_kinscope", False):
+        here = Path(__file__).resolve().parent
+        made = tempfile.mkdtemp(prefix="kinscope-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{made}/kinscope", "zip", here.parent, here.name))
+        sc._kinscope = True
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
@@ -68,6 +83,14 @@ def forget() -> None:
             return
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partitioned by columns into as many tasks as the session shuffles into.
+
+    For steps whose work is large against their bytes: without a number AQE would join partitions by size and leave few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test or warehouse table by name."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
