@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinscope.llm.common import offsets_of, one
-from kinscope.runtime import materialise
+from kinscope.runtime import materialise, spread
 
 SMALL = 9
 LIST_TOKENS = 2
@@ -202,7 +202,7 @@ def similar_sets(left: DataFrame, right: DataFrame | None = None, *, threshold:
     hot.sort()
     hot_keys, hot_parts = np.array([r[0] for r in hot], np.int64), np.array([-(-r[1] // list_rows) for r in hot], np.int64)
     rows = source.mapInArrow(_key_rows(tokens, weight, t, hot_keys, hot_parts, True), "key bigint, cell bigint, side tinyint, rep string, size int, sketch bigint")
-    pairs = rows.repartition("key", "cell").mapInArrow(_scan(t), "x string, y string").distinct()
+    pairs = spread(rows, "key", "cell").mapInArrow(_scan(t), "x string, y string").distinct()
     a = sets.select(F.col("rep").alias("x"), F.col("ids").alias("ids_x"))
     b = sets.select(F.col("rep").alias("y"), F.col("ids").alias("ids_y"))
     checked = pairs.join(a, "x").join(b, "y").withColumn("shared", F.size(F.array_intersect("ids_x", "ids_y")).cast("bigint"))
