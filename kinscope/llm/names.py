@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from kinscope.llm.common import one
 from kinscope.llm.components import connected_components
-from kinscope.runtime import materialise
+from kinscope.runtime import materialise, spread
 
 RADIUS = 2
-CELL_ROWS = 2048
+CELL_ROWS = 32_768
 PIVOTS_PER_CELL = 4
 
 # Words that decorate a name and do not tell whose it is.
@@ -31,7 +31,7 @@ SHORT_FORMS = {
     "alexander": "alex sasha xander",
     "anastasia": "asya nastya stasia",
     "antonio": "toni tonio tony",
-    "barbara": "babs barb barbie",
+    "barbara": "babs barb barbie basia",
     "bartholomew": "bart",
     "charles": "charlie chuck",
     "christopher": "chris kit topher",
@@ -229,7 +229,7 @@ def radius_join(df: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS)
                 yield pa.RecordBatch.from_arrays([pa.array([anchor[int(lo)].as_py()] * len(pairs)), pa.array([stem[lo + i] for i in x]), pa.array([stem[lo + i] for i in y])], names=["anchor", "x", "y"])
 
     placed = df.select("anchor", "stem").mapInArrow(place, "anchor string, stem string, cell int, home boolean")
-    return placed.repartition("anchor", "cell").mapInArrow(join, "anchor string, x string, y string").distinct()
+    return spread(placed, "anchor", "cell").mapInArrow(join, "anchor string, x string, y string").distinct()
 
 
 def spellings(df: DataFrame, key: str, name: str, aliases: str) -> DataFrame:
@@ -245,39 +245,62 @@ def spellings(df: DataFrame, key: str, name: str, aliases: str) -> DataFrame:
     return rows.mapInArrow(clean, "key string, form string, code string, words array<string>")
 
 
-def _fixed(word: str, anchors: dict[str, int]) -> str | None:
-    """The anchor a word is a slip of, if any."""
-    if word in anchors:
-        return word
-    if len(word) < 4:
-        return None
-    r = 2 if len(word) >= 8 else 1
-    best = None
-    for a in anchors:
-        if abs(len(a) - len(word)) <= r and (d := within(word, a, r)) is not None and d <= (1 if len(a) < 7 else r):
-            best = min(best or (9, ""), (d, a))
-    if best is None and len(word) > 4 and sorted(word) in (sorted(a) for a in anchors if len(a) == len(word)):
-        best = next(((2, a) for a in anchors if len(a) == len(word) and within(word, a, 2) is not None), None)
-    return best[1] if best else None
+class _Anchors:
+    """Which anchor each word is, or is a slip of. All words of a batch are held against all anchors at once."""
+
+    def __init__(self, partners: dict[str, int]) -> None:
+        self.partners = partners
+        self.names = sorted(partners)
+        self.grams, self.length = _grams(self.names), np.array([len(a) for a in self.names], np.int64)
+        self.known: dict[str, str | None] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        new = sorted(w for w in words if w not in self.known)
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            self.known.update((w, w if w in self.partners else None) for w in part)
+            open_ = [w for w in part if w not in self.partners and len(w) >= 4]
+            if not open_ or not self.names:
+                continue
+            size = np.array([len(w) for w in open_], np.int64)
+            near = (np.bitwise_count(_grams(open_)[:, None] ^ self.grams[None]) <= 8) & (np.abs(size[:, None] - self.length[None]) <= 2)
+            for i, j in zip(*np.nonzero(near)):
+                w, a = open_[i], self.names[j]
+                d = within(w, a, 2)
+                if d is None:
+                    continue
+                # A long word may bear two slips; in a short one two count only as letters changing places.
+                if d <= (2 if len(w) >= 8 and len(a) >= 7 else 1) or (len(w) > 4 and sorted(w) == sorted(a)):
+                    best = self.known[w]
+                    if best is None or (d, a) < (within(w, best, 2), best):
+                        self.known[w] = a
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.partners
+
+    def of(self, word: str) -> str | None:
+        return self.known.get(word)
 
 
-def _split(words: list[str], anchors: dict[str, int]) -> tuple[str, str, str]:
+def _split(words: list[str], anchors: _Anchors) -> tuple[str, str, str]:
     """(kind, anchor, stem) of a name's words.
 
     kind 'full': an anchor and a stem. 'initial': a stem with only the anchor's first letter. 'short': the first letters
     of both. Else '': it could be anybody's.
     """
     long = [w for w in words if len(w) > 1]
-    if len(long) == 1 and len(long[0]) > 9 and _fixed(long[0], anchors) is None:
+    if len(long) == len(words) == 1 and len(long[0]) > 9 and anchors.of(long[0]) is None:
         # Two words typed without a space.
         w = long[0]
         for cut in range(len(w) - 3, 2, -1):
             for a, s in ((w[cut:], w[:cut]), (w[:cut], w[cut:])):
-                if len(a) >= 4 and len(s) >= 5 and (hit := _fixed(FORMAL.get(a, a), anchors) if a in anchors or a in FORMAL or a.rstrip("s") in anchors else None):
+                if len(a) >= 4 and len(s) >= 5 and (hit := next((x for x in (a, FORMAL.get(a, a), a.rstrip("s")) if x in anchors), None)):
                     return "full", hit, s
     if len(long) >= 2:
-        fixed = [(_fixed(w, anchors), w) for w in long]
-        known = [(anchors[a], a, i) for i, (a, _) in enumerate(fixed) if a]
+        fixed = [(anchors.of(w), w) for w in long]
+        known = [(anchors.partners[a], a, i) for i, (a, _) in enumerate(fixed) if a]
         if known:
             _, a, i = max(known)
             stem = "".join(sorted(w for j, w in enumerate(long) if j != i))
@@ -302,7 +325,7 @@ def same_names(df: DataFrame, key: str, name: str, aliases: str, *, radius: int
     forms = (key, form, node): the telling spellings of each key.
 
     A name is an anchor, a word that many different names share (a first name, a common noun), and a stem. Anchors are
-    words with at least max(5, records / 2000) different companions, so at most a few thousand; a word that is a slip of
+    words with at least max(5, records / 1000) different companions, so at most a few thousand; a word that is a slip of
     an anchor counts as it, and short forms of first names as the full ones. Names of one anchor join where their stems
     lie within `radius` (`radius_join`); records join through equal or joined names and through equal codes. A name with
     an initial, or with both parts cut short, joins the one full name it fits, and nothing if it fits several. A spelling
@@ -311,7 +334,7 @@ def same_names(df: DataFrame, key: str, name: str, aliases: str, *, radius: int
     """
     raw = materialise(spellings(df, key, name, aliases), "spellings")
     records = raw.select("key").distinct().count()
-    floor = max(5, records // 2000)
+    floor = max(5, records // 1000)
     pairs = raw.where(F.size("words") >= 2).select(F.explode("words").alias("w"), "words").select("w", F.explode("words").alias("o")).where("w <> o and length(w) > 2 and length(o) > 2")
     rich = pairs.groupBy("w").agg(F.countDistinct("o").alias("n")).where(F.col("n") >= floor).collect()
     anchors = {r["w"]: r["n"] for r in rich}
@@ -319,17 +342,15 @@ def same_names(df: DataFrame, key: str, name: str, aliases: str, *, radius: int
         anchors |= {a: max(anchors.get(a, 0), floor) for a in SHORT_FORMS}
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[str, ...], tuple[str, str, str]] = {}
+        own = _Anchors(anchors)
         for b in it:
             kinds = []
+            own.learn({w for words in b.column("words").to_pylist() for w in words})
             for c, w in zip(b.column("code").to_pylist(), b.column("words").to_pylist()):
                 if c is not None:
                     kinds.append(("code", "", c))
                 else:
-                    k = tuple(w)
-                    if k not in memo:
-                        memo[k] = _split(w, anchors)
-                    kinds.append(memo[k])
+                    kinds.append(_split(w, own))
             kind, anchor, stem = zip(*kinds) if kinds else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("form"), pa.array(kind, pa.string()), pa.array(anchor, pa.string()), pa.array(stem, pa.string())], names=["key", "form", "kind", "anchor", "stem"])
 
@@ -342,8 +363,12 @@ def same_names(df: DataFrame, key: str, name: str, aliases: str, *, radius: int
     far = beside.withColumn("other", F.when(F.col("node") == F.col("low"), F.col("high")).otherwise(F.col("low"))).where("node <> other")
     far = far.withColumn("o", F.when(F.col("other") == F.col("low"), F.col("s1")).otherwise(F.col("s2")))
     unlike = F.when(F.col("kind") == "full", F.levenshtein(F.substring_index("other", "|", -1), F.col("stem")) > 4).otherwise(True)
-    spread = far.where(unlike).groupBy("node", "kind").agg(F.countDistinct(F.substring(F.substring_index("other", "|", -1), 1, 3)).alias("n"), F.count(F.lit(1)).alias("seen"))
-    anybody = materialise(spread.where("n >= 8 and n >= 0.5 * seen").select("node"), "anybody")
+    # Slips seldom touch a stem's first letters, so companions that differ in anchor or there are other names. A group
+    # that very many records are about meets a few such by accident; hence the share.
+    parts = F.split("other", r"\|")
+    companion = F.concat_ws("|", F.get(parts, F.lit(2)), F.substring(F.get(parts, F.lit(3)), 1, 3))
+    beside = far.where(unlike).groupBy("node").agg(F.countDistinct(companion).alias("n"), F.count(F.lit(1)).alias("seen"))
+    anybody = materialise(beside.where("n >= 8 and n >= 0.1 * seen").select("node"), "anybody")
     telling = forms.join(anybody, "node", "left_anti")
     full = telling.where("kind = 'full'").select("anchor", "stem").distinct()
     near = radius_join(full, radius, cell_rows)
