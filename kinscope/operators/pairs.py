@@ -38,13 +38,16 @@ def symmetric(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(turned)
 
 
-def dense(pairs: DataFrame, entities: DataFrame, metric: str = "cosine") -> DataFrame:
+def dense(pairs: DataFrame, entities: DataFrame, metric: str = "cosine", limit: int = 4_000) -> DataFrame:
     """(left_id, right_id, score): the full square matrix, zeros and diagonal included, for a number of entities that a matrix suits.
 
     The diagonal is 1; for Jaccard an entity without features has 0, as its union is empty. The zero pairs come from
-    pairing all ids, which is what the matrix asks for; nothing else in the library does so.
+    pairing all ids, which is what the matrix asks for, so the number of entities is checked against `limit`; beyond it
+    the pairs that share something are all there is.
     """
     ids = entities.select("entity_id", "features")
+    if ids.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} entities: a full matrix does not suit them")
     grid = ids.select(F.col("entity_id").alias("left_id"), F.col("features").alias("own")).crossJoin(ids.select(F.col("entity_id").alias("right_id")))
     self_score = F.when((F.lit(metric) != "cosine") & (F.col("own") == 0), 0.0).otherwise(1.0)
     filled = grid.join(symmetric(pairs).select("left_id", "right_id", "score"), ["left_id", "right_id"], "left")
