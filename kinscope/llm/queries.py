@@ -187,7 +187,16 @@ kept AS (SELECT items.*, n FROM items JOIN sizes USING (part, id)),
 shared AS (SELECT a.part AS pa, a.id AS ia, a.n AS na, b.part AS pb, b.id AS ib, b.n AS nb, count(*) AS s
   FROM kept a JOIN kept b ON a.tech = b.tech AND a.part = 'l' AND (b.part = 'r' OR a.id < b.id) AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY ALL)"""
 
+_NEAREST = """WITH cur AS (SELECT actor_id, CAST(vec AS DOUBLE[]) AS v FROM vector_space WHERE actor_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY actor_id ORDER BY built_at DESC NULLS LAST) = 1),
+u AS (SELECT actor_id, v FROM cur WHERE v IS NOT NULL AND list_dot_product(v, v) > 0),
+s AS (SELECT a.actor_id AS a, b.actor_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.actor_id < b.actor_id),
+near AS (SELECT a, b, c FROM s UNION ALL SELECT b, a, c FROM s),
+best AS (SELECT a, b, c FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10)"""
+
 ORACLES: dict[str, str] = {
+    # Brute force: the index is held against it, not computed by it.
+    "p1_found": _NEAREST + " SELECT DISTINCT least(a, b) AS actor_a, greatest(a, b) AS actor_b FROM best WHERE c >= 0.85",
     "p2_pairs": _PAIRS + " SELECT technique_a, technique_b, actors_both, round(lift, 6) AS lift FROM full_pairs",
     "p2_found": _PAIRS + " SELECT technique_a, technique_b FROM full_pairs WHERE actors_both >= 0.02 * records AND lift >= 2",
     "p4_groups": _COMPONENTS + " SELECT actor_id, canonical_id FROM groups",
