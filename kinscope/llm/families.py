@@ -94,9 +94,10 @@ def _seeds(rows: DataFrame, want: int, dims: int, seed: int) -> np.ndarray:
     return centres
 
 
-def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Per centre, the number of rows nearest to it (with a product of at least `at_least`, one bound or one a centre) and their sum.
 
+    With `every`, a row counts for each centre whose bound it reaches, not for the nearest alone.
     Each task sends one row a centre; these are added by a shuffle, not on the driver, so what the driver gets is one row a centre.
     """
 
@@ -105,6 +106,13 @@ def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.
         total = np.zeros((len(centres), dims), np.float64)
         count = np.zeros(len(centres), np.int64)
         for t, x in _blocks(one(it), dims):
+            if every:
+                for lo in range(0, len(x), 2048):
+                    near = x[lo : lo + 2048] @ centres.T >= bound
+                    own, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                    total[c] += near[np.ix_(own, c)].T.astype(np.float32) @ x[lo : lo + 2048][own]
+                    count += near.sum(axis=0)
+                continue
             who, best = _nearest(x, centres)
             keep = best >= bound[who]
             row, bucket, value = buckets(t.column("ix").chunk(0), t.column("vx").chunk(0), dims)
@@ -178,6 +186,44 @@ def _found(rows: DataFrame, want: int, dims: int, threshold: float, least: int,
     return _joined(*_sums(rows, means, dims, threshold), threshold, least) if len(means) else (size, means)
 
 
+def _drawn(rows: DataFrame, last: tuple[int, str] | None, dims: int) -> tuple[np.ndarray, tuple[int, str] | None]:
+    """The next REST_SEEDS rows after `last` in the order of their hashed keys, and the place of the last of them."""
+    hashes = rows.withColumn("h", F.xxhash64("key"))
+    if last is not None:
+        hashes = hashes.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("key") > last[1])))
+    t = hashes.orderBy("h", "key").limit(REST_SEEDS).toArrow().combine_chunks()
+    if not t.num_rows:
+        return np.zeros((0, dims), np.float32), None
+    return hashed(t.column("ix").chunk(0), t.column("vx").chunk(0), dims), (t.column("h")[-1].as_py(), t.column("key")[-1].as_py())
+
+
+def _around(rows: DataFrame, seeds: np.ndarray, dims: int, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, means) of the families among the neighbourhoods of the seeds: of each one, whatever the others are.
+
+    The members of a family have an average of at least `threshold` to the others, so each has a neighbour at
+    `threshold`. The rows that near to a seed are its neighbourhood; those unlike the average of it fall out in two passes.
+    """
+    count, total = _sums(rows, seeds, dims, threshold, every=True)
+    size, means = count[count > 1], (total[count > 1] / count[count > 1, None]).astype(np.float32)
+    for strict in (False, True):
+        if not len(means):
+            return np.zeros(0), np.zeros((0, dims), np.float32)
+        count, total = _sums(rows, means, dims, _member(size, threshold) if strict else threshold, every=True)
+        # Seeds of one family have the same neighbourhood by now, or nearly.
+        _, first = np.unique(np.round(np.column_stack([count, total]), 4), axis=0, return_index=True)
+        first = np.sort(first[count[first] >= least])
+        size, means = count[first], (total[first] / count[first, None]).astype(np.float32)
+    own = ((total[first] ** 2).sum(axis=1) - size) / np.maximum(size * (size - 1), 1)
+    size, means = size[own >= threshold], means[own >= threshold]
+    # Neighbourhoods share rows: of those that would join only the largest stays, and each row then counts for the nearest.
+    kept: list[int] = []
+    for k in np.argsort(-size, kind="stable"):
+        if not kept or (means[kept] @ means[k]).max() < threshold:
+            kept.append(int(k))
+    size, means = size[kept], means[kept]
+    return _joined(*_sums(rows, means, dims, _member(size, threshold)), threshold, least) if len(means) else (size, means)
+
+
 def _joined(count: np.ndarray, total: np.ndarray, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, means) of the families that the groups join to."""
     if not len(count):
@@ -200,14 +246,30 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
     Vectors are hashed weighted features (`hashed`). k-means with parallel oversampled seeding splits them into more
     centres than there are families: seed_factor * sqrt(rows). Centres then join by average cosine, exactly as average
     linkage would, while it is at least `threshold`; every row then goes to the nearest family mean of at least
-    `threshold`. The rows left over go through the same again, with relatively more seeds, until they hold no further
-    family of `least` rows. typicality is the cosine to the family's centre.
+    `threshold`. The rows left over go through the same again, with relatively more seeds, until a round finds no family.
+    Then every row still left over is held against its own neighbourhood among them, REST_SEEDS at a time, until a sweep
+    over all of them finds no further family of `least` rows: at every size alike, and quadratic in the rows left over.
+    typicality is the cosine to the family's centre.
     Rows that fit no family are left out, as are null, all-zero and non-finite vectors. The driver holds one sum a centre.
     Equal rows fall into the same family; an empty table gives no rows. Keys are compared as strings.
     """
     packed = materialise(pack_vectors(df.withColumn(key, F.col(key).cast("string")), key, vec, stamp).select("key", "ix", "vx"), "family-vectors")
     rest, size, means = packed, np.zeros(0), np.zeros((0, dims), np.float32)
     n, r = packed.count(), 0
+
+    def outside(rows: DataFrame, means: np.ndarray, bound: np.ndarray, n: int) -> tuple[DataFrame, int]:
+        """The rows that fit none of the families, and their number."""
+
+        def left(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, x in _blocks(one(it), dims):
+                if len(means):
+                    who, best = _nearest(x, means)
+                    t = t.filter(pa.array(best < bound[who]))
+                yield from t.combine_chunks().to_batches()
+
+        rows = materialise(rows.mapInArrow(left, "key string, ix binary, vx binary").coalesce(max(1, n // 20_000)), "family-rest")
+        return rows, rows.count()
+
     want = math.ceil(seed_factor * math.sqrt(n))
     while n >= least:
         own, new = _found(rest, min(n, max(16, want)), dims, threshold, least, 1000 * r)
@@ -216,17 +278,27 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
             own, new = _joined(*_sums(rest, new, dims, _member(own, threshold)), threshold, least)
         if r and not len(new):
             break
-        size, means = np.concatenate([size, own]), np.vstack([means, new])
-        outside = means
-
-        def left(it: Iterator[pa.RecordBatch], outside=outside) -> Iterator[pa.RecordBatch]:
-            for t, x in _blocks(one(it), dims):
-                fits = _nearest(x, outside)[1] >= threshold if len(outside) else np.zeros(len(x), bool)
-                yield from t.filter(pa.array(~fits)).combine_chunks().to_batches()
-
-        rest = materialise(rest.mapInArrow(left, "key string, ix binary, vx binary").coalesce(max(1, n // 20_000)), "family-rest")
-        n, r = rest.count(), r + 1
+        size, means, before = np.concatenate([size, own]), np.vstack([means, new]), n
+        (rest, n), r = outside(rest, new, _member(own, threshold), n), r + 1
+        if r > 1 and n == before:
+            break
         want = max(math.ceil(REST_FACTOR * math.sqrt(n)), min(n // 2, REST_SEEDS))
+    # Drawn seeds miss small families among many rows, so every row left over is a seed once, a bounded number at a time.
+    last, found = None, False
+    while n >= least:
+        seeds, last = _drawn(rest, last, dims)
+        if last is None:
+            if not found:
+                break
+            # Rows seen before the last find may have lost neighbours that hid a family.
+            found = False
+            continue
+        own, new = _around(rest, seeds, dims, threshold, least)
+        if len(new):
+            before = n
+            rest, n = outside(rest, new, _member(own, threshold), n)
+            if n < before:
+                size, means, found = np.concatenate([size, own]), np.vstack([means, new]), True
     if len(means):
         # Families of different rounds meet here, and every row is held against all of them.
         size, means = _joined(*_sums(packed, means, dims, _member(size, threshold)), threshold, least)

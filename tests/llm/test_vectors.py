@@ -151,6 +151,23 @@ def test_families_are_found_and_strangers_left_out(spark):
     assert {r["rank"] for r in top} == {1, 2, 3} and len(top) == 3 * len(groups)
 
 
+def test_small_families_are_found_where_few_left_over_rows_are_drawn_as_seeds(spark, monkeypatch):
+    from kinscope.llm import families as module
+
+    monkeypatch.setattr(module, "REST_SEEDS", 64)
+    monkeypatch.setattr(module, "REST_FACTOR", 1.0)
+    rng, rows = np.random.default_rng(7), []
+    for i in range(1_500):
+        rows.append((f"z{i}", np.bincount(rng.choice(400, 10, replace=False), minlength=400), 0))
+    for f in range(12):
+        core = rng.choice(400, 6, replace=False)
+        for k in range(5):
+            rows.append((f"f{f}-{k}", np.bincount(np.concatenate([core, rng.choice(np.setdiff1d(np.arange(400), core), 4, replace=False)]), minlength=400), 0))
+    got = {r["key"]: r["lead"] for r in families(table(spark, rows), "id", "vec", "at").collect()}
+    for f in range(12):
+        assert {got.get(f"f{f}-{k}") for k in range(5)} == {f"f{f}-0"}
+
+
 def test_agglomeration_is_average_linkage():
     rng = np.random.default_rng(4)
     x = rng.random((12, 6))
