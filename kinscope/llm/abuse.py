@@ -40,12 +40,16 @@ STRONG = {
     "es": "basura bastardo cabron cabrón coño desnuda desnudo escoria follar follo gilipollas hijoputa idiota imbécil maricón mierda parásito pendejo perra polla puta puto zorra".split(),
 }
 
-_SPLIT = re.compile(r"[\r\n]+|(?<=[.!?…])[\"'”»)\]]*\s+")
+# Line ends, also escaped ones; sentence ends; and the quotes that end a field of a dump.
+_SPLIT = re.compile(r"[\r\n]+|(?:\\[rn])+|(?<=[.!?…])[\"'”»)\]]*\s+|\\?[\"”»]\s*[,:}\]]+\s*(?:(?:\\?[\"“«{\[])+|$)")
+# A unit of more words than LONG is read in windows of SPAN words, each half over the next.
+LONG, SPAN = 30, 24
 _STAMP = re.compile(r"^\W{0,3}\d{1,2}:\d{2}\]?\s*(?:<[^>]*>)?")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*·]){2,}[^\W\d_](?![^\W\d_])")
 _INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$€!]|[0-9@$€](?=[^\W\d_])")
 _STAR = re.compile(r"(?<=\w)[*#_]+(?=\w)")
 _RUN = re.compile(r"(.)\1{2,}")
+_PIECE = re.compile(r"\w+")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[!?]+")
 
 
@@ -60,9 +64,27 @@ def plain(text: str) -> str:
     return _RUN.sub(r"\1", _STAR.sub("", text))
 
 
+def windows(unit: str) -> list[str]:
+    """A unit of at most LONG words as it is, a longer one in overlapping windows that cover all of it."""
+    at = [m.span() for m in _PIECE.finditer(unit)]
+    if len(at) <= LONG:
+        return [unit]
+    out = []
+    for i in range(0, len(at) - SPAN // 2, SPAN // 2):
+        j = i + SPAN
+        out.append(unit[at[i - 1][1] if i else 0 : at[j][0] if j < len(at) else len(unit)].strip())
+    return out
+
+
 def sentences(text: str) -> list[str]:
-    """The sentences and lines of a text, speaker stamps cut off; the whole text is covered."""
-    return [s for s in (_STAMP.sub("", p).strip() for p in _SPLIT.split(text)) if s]
+    """The sentences, lines and fields of a text, long ones in windows, speaker stamps cut off; the whole text is covered."""
+    return [w for p in _SPLIT.split(text) if (s := _STAMP.sub("", p).strip()) for w in windows(s)]
+
+
+def _together(units: list[str]) -> list[str]:
+    """Each unit joined with the next, where both are no longer than a window together."""
+    words = [len(_PIECE.findall(u)) for u in units]
+    return [f"{a} {b}" for a, b, m, n in zip(units, units[1:], words, words[1:]) if m and n and m + n <= SPAN]
 
 
 _BASE = {lang: [plain(w) for w in words] for lang, words in GROUPS.items()}
@@ -103,9 +125,10 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.weight[sentence].sum() / np.sqrt(max(n, 1)) + self.bias, -30, 30)))
 
     def document(self, text: str | None, memo: dict[str, float] | None = None) -> float:
-        """The highest score of a text's sentences, and of neighbouring lines read together; 0 for no text."""
+        """The highest score of a text's sentences and windows, and of short neighbours read together; 0 for no text."""
         best = 0.0
-        for s in sentences(text or ""):
+        units = sentences(text or "")
+        for s in units + _together(units):
             if memo is None or s not in memo:
                 p = float(self.score(features(plain(s))))
                 if memo is not None:

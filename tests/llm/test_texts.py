@@ -206,3 +206,28 @@ def test_classifier_tables(spark):
     bare = abuse.fit(docs, labels.limit(0))
     assert bare.document("You asshole") >= bare.threshold and bare.document("Good morning") < bare.threshold
     assert abuse.score(docs.limit(0), bare, ["doc_id"], "text").count() == 0
+
+
+def test_an_insult_in_a_dump_counts_as_much_as_alone():
+    model = abuse.train([], [])
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdfglmnprstv") + rng.choice("aeio") for _ in range(3))
+    fields = [f'"note": "{" ".join(word() for _ in range(12))}."' for _ in range(40)]
+    assert model.document("you bastard") > 0.5
+    for insult in ('"note": "you bastard"', '"note": "you bastard."', '"note": "fine.\\nyou bastard\\nfine"'):
+        dump = "{" + ", ".join([*fields[:20], insult, *fields[20:]]) + "}"
+        assert model.document(dump) > 0.5
+    assert model.document("{" + ", ".join(fields) + "}") < 0.3
+    before, after = (" ".join(word() for _ in range(300)) for _ in range(2))
+    assert model.document(f"{before} you bastard {after}") > 1.5 * model.document(before) + 0.05
+    assert "you are a bastard" in abuse._together(abuse.sentences("you are\na bastard"))
+
+
+def test_windows_cover_a_long_unit():
+    for n in (1, 30, 31, 36, 37, 400):
+        words = [f"w{i}" for i in range(n)]
+        got = [w.split() for w in abuse.windows(" ".join(words))]
+        assert all(len(w) <= abuse.LONG for w in got)
+        for i in range(max(1, n - abuse.SPAN // 2)):
+            run = words[i : i + abuse.SPAN // 2]
+            assert any(w[j : j + len(run)] == run for w in got for j in range(len(w)))
