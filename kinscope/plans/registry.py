@@ -49,6 +49,22 @@ def _queries(spark: SparkSession, folder: str) -> DataFrame:
     return known.unionByName(three.select(F.col("entity_id").alias("query_id"), F.lit("unseen|0").alias("feature_id")))
 
 
+def _whole_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """(query_id, feature_id): every feature of every user whose id is divisible by 20, and one feature nobody has."""
+    known = event_edges(spark, folder).where(F.col("entity_id").cast("bigint") % 20 == 0).select(F.col("entity_id").alias("query_id"), "feature_id")
+    return known.unionByName(known.select("query_id").distinct().withColumn("feature_id", F.lit("unseen|0")))
+
+
+def searched(f):
+    """Registers the query as it is, for the few searches that its SQL has, and as NAME_whole for all searches of the job."""
+
+    def whole(spark, folder):
+        return f(spark, folder, _whole_queries)
+
+    QUERIES[f"{f.__name__}_whole"] = whole
+    return query(f)
+
+
 @query
 def feature_frequency(spark, folder):
     return _r(weighting.feature_frequency(actor_edges(spark, folder), technique_names(spark, folder)), "entity_ratio")
@@ -80,9 +96,9 @@ def vector_space(spark, folder):
     return _r(_space(spark, folder), "w", "u")
 
 
-@query
-def query_vectors(spark, folder):
-    return _r(vectors.query_vectors(_queries(spark, folder), _weights(spark, folder)), "w", "u")
+@searched
+def query_vectors(spark, folder, asked=_queries):
+    return _r(vectors.query_vectors(asked(spark, folder), _weights(spark, folder)), "w", "u")
 
 
 @query
@@ -90,66 +106,66 @@ def entity_totals(spark, folder):
     return _r(vectors.entity_totals(vectors.vector_space(actor_edges(spark, folder), weighting.feature_weights(actor_edges(spark, folder)))), "total")
 
 
-def _scores(spark, folder, **config):
-    return scoring.score(_space(spark, folder), _queries(spark, folder), _weights(spark, folder), Config(**config))
+def _scores(spark, folder, asked, **config):
+    return scoring.score(_space(spark, folder), asked(spark, folder), _weights(spark, folder), Config(**config))
 
 
-@query
-def scores_cosine(spark, folder):
-    return _scores(spark, folder)
+@searched
+def scores_cosine(spark, folder, asked=_queries):
+    return _scores(spark, folder, asked)
 
 
-@query
-def scores_cosine_uncorrected(spark, folder):
-    return _scores(spark, folder, coverage_correction=False)
+@searched
+def scores_cosine_uncorrected(spark, folder, asked=_queries):
+    return _scores(spark, folder, asked, coverage_correction=False)
 
 
-@query
-def scores_jaccard(spark, folder):
-    return _scores(spark, folder, metric="jaccard")
+@searched
+def scores_jaccard(spark, folder, asked=_queries):
+    return _scores(spark, folder, asked, metric="jaccard")
 
 
-@query
-def scores_weighted_jaccard(spark, folder):
-    return _scores(spark, folder, metric="weighted_jaccard")
+@searched
+def scores_weighted_jaccard(spark, folder, asked=_queries):
+    return _scores(spark, folder, asked, metric="weighted_jaccard")
 
 
-@query
-def candidates(spark, folder):
-    return scoring.rank(_scores(spark, folder)).withColumn("rank", F.col("rank").cast("bigint"))
+@searched
+def candidates(spark, folder, asked=_queries):
+    return scoring.rank(_scores(spark, folder, asked)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query
-def candidate_evidence(spark, folder):
-    w, s, q = _weights(spark, folder), _space(spark, folder), _queries(spark, folder)
+@searched
+def candidate_evidence(spark, folder, asked=_queries):
+    w, s, q = _weights(spark, folder), _space(spark, folder), asked(spark, folder)
     return scoring.evidence(scoring.rank(scoring.score(s, q, w)), s, q, w).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query
-def matched_and_missing(spark, folder):
-    w, s, q = _weights(spark, folder), _space(spark, folder), _queries(spark, folder)
+@searched
+def matched_and_missing(spark, folder, asked=_queries):
+    w, s, q = _weights(spark, folder), _space(spark, folder), asked(spark, folder)
     rows = scoring.matched_and_missing(scoring.rank(scoring.score(s, q, w)), s, q, w)
     return rows.select("query_id", "entity_id", F.array_join("matched_ids", ",").alias("matched"), F.array_join("missing_ids", ",").alias("missing"))
 
 
-@query
-def query_confidence(spark, folder):
-    w, s, q = _weights(spark, folder), _space(spark, folder), _queries(spark, folder)
+@searched
+def query_confidence(spark, folder, asked=_queries):
+    w, s, q = _weights(spark, folder), _space(spark, folder), asked(spark, folder)
     return confidence(scoring.score(s, q, w), s, q, w)
 
 
-@query
-def query_result(spark, folder):
+@searched
+def query_result(spark, folder, asked=_queries):
     """The flagship: candidates with lists and evidence, and the confidence of each query."""
-    w, s, q = _weights(spark, folder), _space(spark, folder), _queries(spark, folder)
+    w, s, q = _weights(spark, folder), _space(spark, folder), asked(spark, folder)
     names = s.select("entity_id").distinct().withColumn("entity_name", F.concat(F.lit("user "), "entity_id"))
     return service.result_rows(s, q, w, names).drop("evidence")
 
 
-@query
-def query_documents(spark, folder):
+@searched
+def query_documents(spark, folder, asked=_queries):
     """Each result as a nested JSON document."""
-    return service.result_document(service.nested_results(_space(spark, folder), _queries(spark, folder), _weights(spark, folder)))
+    return service.result_document(service.nested_results(_space(spark, folder), asked(spark, folder), _weights(spark, folder)))
 
 
 def _pairs(spark, folder, metric="cosine"):

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from kinscope.plans.registry import ORACLES, QUERIES
@@ -25,3 +27,16 @@ def test_entry(spark, folder):
     assert set(e.oracle_sql()) <= set(e.queries())
     rows = e.entry(spark).collect()
     assert rows and {"query_id", "entity_id", "score", "level"} <= set(rows[0].asDict())
+
+
+SEARCHES = ["query_vectors", "scores_cosine", "scores_cosine_uncorrected", "scores_jaccard", "scores_weighted_jaccard", "candidates", "candidate_evidence", "matched_and_missing", "query_confidence", "query_result"]
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_whole_search_equals_sql_over_all_its_users_and_features(spark, name):
+    larger = "/root/testdata/sf0.01"
+    if not os.path.isdir(larger):
+        pytest.skip("no test tables")
+    sql = ORACLES[name].replace("SELECT DISTINCT e FROM E ORDER BY e LIMIT 3", "SELECT DISTINCT e FROM E WHERE CAST(e AS BIGINT) % 20 = 0").replace(" WHERE p <= 12 ", " ")
+    assert "LIMIT 3" not in sql and "p <= 12" not in sql
+    assert same(spark, larger, QUERIES[f"{name}_whole"], sql, connect(larger)) > 3
