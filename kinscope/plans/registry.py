@@ -303,13 +303,26 @@ def footprint(spark, folder):
     return actor_edges(spark, folder).join(t, "feature_id").groupBy("entity_id", "tactic").agg(F.count(F.lit(1)).alias("techniques"))
 
 
+def _named(spark: SparkSession, folder: str) -> DataFrame:
+    """(attack_id, text): every name and alias of the raw records."""
+    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return table(spark, folder, "raw_actors").select("attack_id", F.explode(names).alias("text"))
+
+
+def _keyed(names: DataFrame, slug) -> DataFrame:
+    return names.select("attack_id", text.alias_key(slug(F.col("text"))).alias("key")).where("key is not null").distinct()
+
+
 @query
 def alias_keys(spark, folder):
-    """Usable alias keys of the records whose names are plain ASCII."""
-    t = table(spark, folder, "raw_actors")
-    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    rows = t.select("attack_id", F.explode(names).alias("text")).where(F.col("text").rlike(r"^[\x20-\x7E]+$"))
-    return rows.select("attack_id", text.alias_key(text.ascii_slug(F.col("text"))).alias("key")).where("key is not null").distinct()
+    """Usable alias keys of the names that are plain ASCII, as SQL can tell them; `alias_keys_whole` has all."""
+    return _keyed(_named(spark, folder).where(F.col("text").rlike(r"^[\x20-\x7E]+$")), text.ascii_slug)
+
+
+@query
+def alias_keys_whole(spark, folder):
+    """Usable alias keys of every name and alias, in any script."""
+    return _keyed(_named(spark, folder), text.slug)
 
 
 @query

@@ -40,3 +40,27 @@ def test_whole_search_equals_sql_over_all_its_users_and_features(spark, name):
     sql = ORACLES[name].replace("SELECT DISTINCT e FROM E ORDER BY e LIMIT 3", "SELECT DISTINCT e FROM E WHERE CAST(e AS BIGINT) % 20 = 0").replace(" WHERE p <= 12 ", " ")
     assert "LIMIT 3" not in sql and "p <= 12" not in sql
     assert same(spark, larger, QUERIES[f"{name}_whole"], sql, connect(larger)) > 3
+
+
+def test_alias_keys_of_all_names_equal_brute_force(spark):
+    import re
+    import unicodedata
+
+    import pandas as pd
+
+    from kinscope.functions.text import ALIAS_STOPLIST
+
+    larger = "/root/testdata/sf0.01"
+    if not os.path.isdir(larger):
+        pytest.skip("no test tables")
+    want, other = set(), 0
+    for r in pd.read_parquet(f"{larger}/raw_actors.parquet")[["attack_id", "name", "aliases"]].itertuples():
+        for n in [r.name, *(r.aliases if r.aliases is not None else [])]:
+            if n is None:
+                continue
+            key = re.sub("[^a-z0-9]+", "-", unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower()).strip("-")
+            if len(key) >= 3 and key not in ALIAS_STOPLIST:
+                want.add((r.attack_id, key))
+                other += not n.isascii()
+    assert other
+    assert {tuple(r) for r in QUERIES["alias_keys_whole"](spark, larger).select("attack_id", "key").collect()} == want
