@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ DIMS = 1 << 18
 LABELLED_DOCUMENTS = 4_000
 COUNTERFACTUAL = 4.0
 ROUNDS, STEPS, HOLD = 4, 40, 0.2
+# The weight that strong words start with.
+STRONG_START = 15.0
 # A sentence without any known feature is clean: the bias is not learned.
 BIAS = -2.5
 
@@ -40,104 +41,238 @@ STRONG = {
     "es": "basura bastardo cabron cabrón coño desnuda desnudo escoria follar follo gilipollas hijoputa idiota imbécil maricón mierda parásito pendejo perra polla puta puto zorra".split(),
 }
 
-# Line ends, also escaped ones; sentence ends; and the quotes that end a field of a dump.
-_SPLIT = re.compile(r"[\r\n]+|(?:\\[rn])+|(?<=[.!?…])[\"'”»)\]]*\s+|\\?[\"”»]\s*[,:}\]]+\s*(?:(?:\\?[\"“«{\[])+|$)")
 # A unit of more words than LONG is read in windows of SPAN words, each half over the next.
 LONG, SPAN = 30, 24
-_STAMP = re.compile(r"^\W{0,3}\d{1,2}:\d{2}\]?\s*(?:<[^>]*>)?")
-_SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*·]){2,}[^\W\d_](?![^\W\d_])")
-_INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$€!]|[0-9@$€](?=[^\W\d_])")
-_STAR = re.compile(r"(?<=\w)[*#_]+(?=\w)")
-_RUN = re.compile(r"(.)\1{2,}")
-_PIECE = re.compile(r"\w+")
-_WORD = re.compile(r"[^\W\d_]+|\d+|[!?]+")
+# Texts are taken together up to so many characters.
+CHARS = 1 << 22
+_TEXT = "\x01"
+# Sentence ends; then line ends, also escaped ones, and the quotes that end a field of a dump.
+_END = re.compile(r"([.!?…])[\"'”»)\]]*\s+")
+_FIELD = re.compile(r"\r+|(?:\\[rn])+|\\?[\"”»][^\S\n]*[,:}\]]+[^\S\n]*(?:(?:\\?[\"“«{\[])+|$)")
+_STAMP = re.compile(r"^[^\w\n\x01]{0,3}\d{1,2}:\d{2}\]?[^\S\n]*(?:<[^>\n]*>)?", re.M)
+_FIELD_SIGNS, _ALIKE = frozenset("\r\\\"”»"), frozenset(ALIKE)
+# Kinds of characters.
+_OTHER, _LETTER, _DIGIT, _BANG, _LINE, _NEXT = range(6)
 
 
-def plain(text: str) -> str:
-    """Lower-case base letters, with disguises undone: invisible signs, look-alike letters, digits for letters, letters set apart, stars, long runs."""
-    text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf").casefold()
-    if any(c in ALIKE for c in text) and re.search(r"[a-z]", text):
-        text = re.sub(r"[^\W\d_]+", lambda m: "".join(ALIKE.get(c, c) for c in m[0]) if re.search("[a-z]", m[0]) or all(c in ALIKE for c in m[0]) else m[0], text)
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m[0]), text)
-    text = _INSIDE.sub(lambda m: SIGNS.get(m[0], m[0]), text)
-    return _RUN.sub(r"\1", _STAR.sub("", text))
-
-
-def windows(unit: str) -> list[str]:
-    """A unit of at most LONG words as it is, a longer one in overlapping windows that cover all of it."""
-    at = [m.span() for m in _PIECE.finditer(unit)]
-    if len(at) <= LONG:
-        return [unit]
-    out = []
-    for i in range(0, len(at) - SPAN // 2, SPAN // 2):
-        j = i + SPAN
-        out.append(unit[at[i - 1][1] if i else 0 : at[j][0] if j < len(at) else len(unit)].strip())
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def _string(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le")
+
+
+def _table(points: np.ndarray, of, kind: type) -> np.ndarray:
+    """What `of` says of each character; asked once for each distinct one."""
+    seen = np.flatnonzero(np.bincount(points)) if len(points) else np.empty(0, np.int64)
+    out = np.zeros(int(seen[-1]) + 1 if len(seen) else 1, kind)
+    out[seen] = [of(chr(c)) for c in seen]
+    return out[points]
+
+
+def _kind(c: str) -> int:
+    if c.isalnum():
+        return _DIGIT if c.isdecimal() else _LETTER
+    return {"!": _BANG, "?": _BANG, "\n": _LINE, _TEXT: _NEXT}.get(c, _OTHER)
+
+
+def _beside(mask: np.ndarray, by: int) -> np.ndarray:
+    """The mask of the neighbours `by` places on."""
+    out = np.zeros_like(mask)
+    if by > 0:
+        out[:-by] = mask[by:]
+    else:
+        out[-by:] = mask[:by]
     return out
 
 
-def sentences(text: str) -> list[str]:
-    """The sentences, lines and fields of a text, long ones in windows, speaker stamps cut off; the whole text is covered."""
-    return [w for p in _SPLIT.split(text) if (s := _STAMP.sub("", p).strip()) for w in windows(s)]
+def _undone(x: np.ndarray) -> np.ndarray:
+    """Characters with letters set apart put together, signs inside words as letters, stars inside words and long runs dropped."""
+    if len(x) < 3:
+        return x
+    letter = _table(x, _kind, np.int8) == _LETTER
+    # Three letters or more, each alone, with one sign between.
+    alone = letter & ~_beside(letter, 1) & ~_beside(letter, -1)
+    link = alone & _beside(np.isin(x, _points(" .-_*·")), 1) & _beside(alone, 2)
+    link &= _beside(link, 2) | _beside(link, -2)
+    x = x[~_beside(link, -1)]
+    letter = _table(x, _kind, np.int8) == _LETTER
+    sign = np.isin(x, _points("0123456789@$€"))
+    inside = (sign & _beside(letter, 1)) | ((sign | (x == ord("!"))) & _beside(letter, -1))
+    at = np.flatnonzero(inside)
+    x = x.copy()
+    x[at] = [ord(SIGNS.get(chr(c), chr(c))) for c in x[at]]
+    star, word = np.isin(x, _points("*#_")), np.isin(_table(x, _kind, np.int8), (_LETTER, _DIGIT))
+    edge = np.flatnonzero(np.diff(np.r_[False, star, False].astype(np.int8)))
+    lo, hi = edge[::2], edge[1::2]
+    drop = (lo > 0) & (hi < len(x)) & word[np.maximum(lo - 1, 0)] & word[np.minimum(hi, len(x) - 1)]
+    gone = np.zeros(len(x) + 1, np.int64)
+    gone[lo[drop]] += 1
+    gone[hi[drop]] -= 1
+    x = x[np.cumsum(gone)[:-1] == 0]
+    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    size = np.diff(np.r_[start, len(x)])
+    return np.repeat(x[start], np.where((size > 2) & (x[start] != 10), 1, size))
+
+
+def _plain(text: str) -> np.ndarray:
+    lines = text.split("\n")
+    other = [i for i, line in enumerate(lines) if not line.isascii()]
+    if other:
+        x = _points(unicodedata.normalize("NFKC", "\n".join(lines[i] for i in other)))
+        wide = _string(x[~_table(x, lambda c: unicodedata.category(c) == "Cf", bool)]).casefold().split("\n")
+        for k, line in enumerate(wide):
+            if not line.isascii() and not _ALIKE.isdisjoint(line) and re.search(r"[a-z]", line):
+                wide[k] = re.sub(r"[^\W\d_]+", lambda m: "".join(ALIKE.get(c, c) for c in m[0]) if re.search("[a-z]", m[0]) or all(c in ALIKE for c in m[0]) else m[0], line)
+        x = _points(unicodedata.normalize("NFKD", "\n".join(wide)))
+        for i, line in zip(other, _string(x[~_table(x, lambda c: unicodedata.combining(c) > 0, bool)]).split("\n")):
+            lines[i] = line
+    return _undone(_points("\n".join(lines).lower()))
+
+
+def plain(text: str) -> str:
+    """Lower-case base letters, with disguises undone: invisible signs, look-alike letters, digits for letters, letters set apart, stars, long runs.
+
+    Line by line, and lines stay: a text may hold many units.
+    """
+    return _string(_plain(text))
+
+
+def _tokens(x: np.ndarray) -> pa.DictionaryArray:
+    """Runs of letters, of digits, of marks, and single line ends, in order."""
+    kind = _table(x, _kind, np.int8)
+    kept = kind != _OTHER
+    cut = kept & ((kind != np.r_[0, kind[:-1]]) | (kind >= _LINE)) if len(x) else kept
+    x = x[kept]
+    wide = 1 + (x >= 0x80) + (x >= 0x800) + (x >= 0x10000)
+    ends = np.r_[0, np.cumsum(wide)].astype(np.int64)
+    first = np.flatnonzero(cut[kept])
+    offsets = np.r_[ends[first], ends[-1]].astype(np.int32) if len(first) else np.zeros(1, np.int32)
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(_string(x).encode())).dictionary_encode()
 
 
-def _together(units: list[str]) -> list[str]:
-    """Each unit joined with the next, where both are no longer than a window together."""
-    words = [len(_PIECE.findall(u)) for u in units]
-    return [f"{a} {b}" for a, b, m, n in zip(units, units[1:], words, words[1:]) if m and n and m + n <= SPAN]
+@dataclass
+class Units:
+    """Many texts as one row of tokens, and the stretches of it that are scored.
+
+    Stretches are the sentences, lines and fields of each text, those of more than LONG words in overlapping windows that
+    cover all of it; and each unit together with the next where both are no longer than a window.
+    """
+
+    words: list[str]
+    token: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    single: np.ndarray
+
+    @staticmethod
+    def read(texts: list[str | None]) -> Units:
+        whole = f"\n{_TEXT}\n".join((t or "").replace(_TEXT, " ") for t in texts)
+        lines = [_FIELD.sub("\n", line) if not _FIELD_SIGNS.isdisjoint(line) else line for line in _END.sub(r"\1\n", whole).split("\n")]
+        found = _tokens(_plain(_STAMP.sub("", "\n".join(lines))))
+        words = ["0" if w[0].isdigit() else w for w in found.dictionary.to_pylist()]
+        code = np.asarray(found.indices, np.int64)
+        kind = np.array([1 if w == "\n" else 2 if w == _TEXT else 3 if w[0] in "!?" else 0 for w in words], np.int8)[code] if words else np.empty(0, np.int8)
+        own = np.flatnonzero((kind == 0) | (kind == 3))
+        unit, text = np.cumsum((kind == 1) | (kind == 2))[own], np.cumsum(kind == 2)[own]
+        token = code[own]
+        # Units that hold a token, and the words among their tokens.
+        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(own) else np.empty(0, np.int64)
+        last = np.r_[first[1:], len(own)] if len(own) else first
+        place = np.flatnonzero(kind[own] == 0)
+        low, high = np.searchsorted(place, first), np.searchsorted(place, last)
+        many = high - low
+        short = np.flatnonzero(many <= LONG)
+        long = np.flatnonzero(many > LONG)
+        times = -(-(many[long] - SPAN // 2) // (SPAN // 2))
+        which = np.repeat(long, times)
+        step = (np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)) * (SPAN // 2)
+        start = np.where(step == 0, first[which], place[np.minimum(low[which] + step, high[which] - 1)]) if len(which) else which
+        after = low[which] + step + SPAN
+        stop = np.where(after < high[which], place[np.minimum(after, len(place) - 1)], last[which]) if len(which) else which
+        pair = np.flatnonzero((text[first[:-1]] == text[first[1:]]) & (many[:-1] > 0) & (many[1:] > 0) & (many[:-1] + many[1:] <= SPAN)) if len(first) > 1 else np.empty(0, np.int64)
+        begin = np.concatenate([first[short], start, first[pair]])
+        end = np.concatenate([last[short], stop, last[pair + 1] if len(pair) else pair])
+        single = np.arange(len(begin)) < len(short) + len(which)
+        return Units(words, token, begin, end, text[begin] if len(begin) else begin, single)
 
 
 _BASE = {lang: [plain(w) for w in words] for lang, words in GROUPS.items()}
 _GROUP_OF = {w: lang for lang, words in _BASE.items() for w in words}
 _STRONG = {plain(w) for words in STRONG.values() for w in words}
+_STRONG_WORD = xxhash.xxh32_intdigest("s") % DIMS
+
+
+def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed features of all words, how many each has): the word, its pieces of four letters, and whether it is a strong one."""
+    out, count = [], np.empty(len(words), np.int64)
+    for i, w in enumerate(words):
+        padded = f"<{w}>"
+        own = {xxhash.xxh32_intdigest(f) % DIMS for f in ["w" + w, *("c" + padded[j : j + 4] for j in range(len(padded) - 3))]}
+        if w in _STRONG:
+            own.add(_STRONG_WORD)
+        out += sorted(own)
+        count[i] = len(own)
+    return np.array(out, np.int64), count
 
 
-@lru_cache(maxsize=200_000)
-def _word(w: str) -> tuple[int, ...]:
-    padded = f"<{w}>"
-    own = ["w" + w, *("c" + padded[j : j + 4] for j in range(len(padded) - 3))]
-    return tuple(xxhash.xxh32_intdigest(f) % DIMS for f in (own + ["s"] if w in _STRONG else own))
+def _marks(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh32_intdigest(w) for w in words], np.uint64)
 
 
-@lru_cache(maxsize=400_000)
-def _pair(a: str, b: str) -> int:
-    return xxhash.xxh32_intdigest(f"b{a} {b}") % DIMS
+def _pair_features(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashed features of neighbouring words, out of the marks of both."""
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % DIMS
 
 
-def features(sentence: str) -> np.ndarray:
-    """Hashed features of a plain sentence: words, pairs of neighbours, pieces of four letters, and whether a word is a strong one."""
-    words = ["0" if w[0].isdigit() else w for w in _WORD.findall(sentence)]
-    out: set[int] = set()
-    for w in words:
-        out.update(_word(w))
-    out.update(map(_pair, words, words[1:]))
-    return np.array(sorted(out), np.int64)
+def features(words: list[str]) -> np.ndarray:
+    """All features of a row of words, as often as they come: those of the words, and of pairs of neighbours."""
+    own, _ = _word_features(words)
+    mark = _marks(words)
+    return np.concatenate([own, _pair_features(mark[:-1], mark[1:])])
 
 
 @dataclass
 class Classifier:
-    weight: np.ndarray
+    """A linear model of the features; `weight` is None where there was nothing to learn from, and then nothing is scored."""
+
+    weight: np.ndarray | None
     bias: float
     threshold: float = 0.5
 
-    def score(self, sentence: np.ndarray) -> float:
-        n = len(sentence)
-        return 1 / (1 + np.exp(-np.clip(self.weight[sentence].sum() / np.sqrt(max(n, 1)) + self.bias, -30, 30)))
-
-    def document(self, text: str | None, memo: dict[str, float] | None = None) -> float:
-        """The highest score of a text's sentences and windows, and of short neighbours read together; 0 for no text."""
-        best = 0.0
-        units = sentences(text or "")
-        for s in units + _together(units):
-            if memo is None or s not in memo:
-                p = float(self.score(features(plain(s))))
-                if memo is not None:
-                    memo[s] = p
-            else:
-                p = memo[s]
-            best = max(best, p)
+    def documents(self, texts: list[str | None]) -> np.ndarray:
+        """The highest score of each text's stretches (`Units`), the whole text read; 0 for no text.
+
+        A stretch has the sum of its features' weights over the root of their number; running sums give it for all
+        stretches at once.
+        """
+        best = np.zeros(len(texts))
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size < CHARS):
+                size += len(texts[hi] or "")
+                hi += 1
+            u = Units.read(texts[lo:hi])
+            if len(u.begin):
+                feature, count = _word_features(u.words)
+                own = np.bincount(np.repeat(np.arange(len(count)), count), weights=self.weight[feature], minlength=len(count))
+                mark = _marks(u.words)[u.token]
+                pairs = self.weight[_pair_features(mark[:-1], mark[1:])].astype(np.float64)
+                total, number = np.r_[0, np.cumsum(own[u.token])], np.r_[0, np.cumsum(count[u.token])]
+                beside = np.r_[0, np.cumsum(pairs)]
+                z = total[u.end] - total[u.begin] + beside[u.end - 1] - beside[u.begin]
+                n = number[u.end] - number[u.begin] + u.end - u.begin - 1
+                np.maximum.at(best, lo + u.text, 1 / (1 + np.exp(-np.clip(z / np.sqrt(n) + self.bias, -30, 30))))
+            lo = hi
         return best
 
+    def document(self, text: str | None) -> float:
+        return float(self.documents([text])[0])
+
 
 class _Rows:
     """Sparse rows, normalised by the root of their length."""
@@ -156,22 +291,23 @@ class _Rows:
         return np.bincount(self.index, weights=g[self.row] * self.value, minlength=DIMS)
 
 
-def _swap(sentence: str) -> str | None:
-    """The sentence with its group words exchanged for others of the same language, chosen by its hash; None if it names no group."""
-    words = re.split(r"(\W+)", sentence)
-    hit = False
+def _swap(words: tuple[str, ...]) -> list[str] | None:
+    """The words with those for groups exchanged for others of the same language, chosen by a hash; None if they name no group."""
+    if not any(w in _GROUP_OF for w in words):
+        return None
+    turn = xxhash.xxh32_intdigest(" ".join(words))
+    out = list(words)
     for i, w in enumerate(words):
         if lang := _GROUP_OF.get(w):
             own = _BASE[lang]
-            words[i] = own[(own.index(w) + 1 + xxhash.xxh32_intdigest(sentence) % (len(own) - 1)) % len(own)]
-            hit = True
-    return "".join(words) if hit else None
+            out[i] = own[(own.index(w) + 1 + turn % (len(own) - 1)) % len(own)]
+    return out
 
 
 def _fit(rows: _Rows, y: np.ndarray, weight: np.ndarray, twin: _Rows, twin_of: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by Adam, with the counterfactual penalty. Strong words start with a weight."""
     w, bias = np.zeros(DIMS), BIAS
-    w[_word("cunt")[-1]] = 15.0
+    w[_STRONG_WORD] = STRONG_START
     m, v = np.zeros(DIMS), np.zeros(DIMS)
     for k in range(1, STEPS + 1):
         z = rows.dot(w)
@@ -196,21 +332,19 @@ def train(texts: list[str | None], labels: list[float], penalty: float = COUNTER
     the texts, so a wrong label cannot confirm itself: a text labelled abusive without any suspicious sentence, and a
     clean one with a plainly abusive sentence, drop out. The loss also has `penalty` times the squared change of a
     sentence's score when the groups it names are exchanged for others.
-    Without texts of both labels the model only knows the fixed strong words.
+    Without texts of both labels nothing can be learnt, and the model scores nothing.
     """
-    own, plains = [], []
-    for i, t in enumerate(texts):
-        for s in sentences(t or ""):
-            own.append(i)
-            plains.append(re.sub(r"\d+", "0", plain(s)))
-    own, label = np.array(own, np.int64), np.array(labels, np.float64)
-    if not plains or not (label > 0.5).any() or not (label < 0.5).any():
-        w = np.zeros(DIMS, np.float32)
-        w[_word("cunt")[-1]] = 24.0
-        return Classifier(w, BIAS)
-    distinct = {s: k for k, s in enumerate(dict.fromkeys(plains))}
-    at = np.array([distinct[s] for s in plains])
-    sparse = [features(s) for s in distinct]
+    label = np.array(labels, np.float64)
+    u = Units.read(texts)
+    kept = np.flatnonzero(u.single)
+    if not len(kept) or not (label > 0.5).any() or not (label < 0.5).any():
+        return Classifier(None, BIAS)
+    begin, end, own = u.begin[kept], u.end[kept], u.text[kept]
+    listed = u.token.tolist()
+    spelled = [tuple(u.words[t] for t in listed[i:j]) for i, j in zip(begin.tolist(), end.tolist())]
+    distinct = {s: k for k, s in enumerate(dict.fromkeys(spelled))}
+    at = np.array([distinct[s] for s in spelled])
+    sparse = [features(list(s)) for s in distinct]
     swapped = {k: features(x) for s, k in distinct.items() if (x := _swap(s)) is not None}
     positive = label[own] > 0.5
     half = np.array([xxhash.xxh32_intdigest(t or "") & 1 for t in texts], np.int64)[own]
@@ -273,17 +407,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, at_most: int = LABELLED_DOCUMENTS
 
 
 def score(docs: DataFrame, model: Classifier, keep: list[str], text: str) -> DataFrame:
-    """(keep..., score, abusive) of every row: the highest score of its sentences, the whole text read; 0 for null and empty texts."""
+    """(keep..., score, abusive) of every row: the highest score of its sentences, the whole text read; 0 for null and empty texts.
+
+    A model that had nothing to learn from gives null for both.
+    """
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    if model.weight is None:
+        return docs.select(*keep, F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("abusive"))
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.threshold))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(*shared.value)
-        memo: dict[str, float] = {}
         for b in it:
-            if len(memo) > 200_000:
-                memo.clear()
-            p = np.array([own.document(t, memo) for t in b.column(b.num_columns - 1).to_pylist()], np.float64)
+            p = own.documents(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array(p >= own.threshold)], names=[*keep, "score", "abusive"])
 
     return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{fields}, score double, abusive boolean")

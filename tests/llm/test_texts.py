@@ -212,7 +212,7 @@ def test_classifier_learns_from_noisy_labels():
 def test_group_words_do_not_decide():
     rows = texts()
     model = abuse.train([t for t, _, _ in rows], [float(y) for _, y, _ in rows])
-    score = lambda s: model.score(abuse.features(abuse.plain(s)))
+    score = model.document
     neutral = [score(f"{g} were among the 7 victims.") for g in ("Women", "Refugees", "Foreigners", "Muslims")]
     assert max(neutral) < model.threshold
     assert score("Foreigners are vermin and should be driven out 3.") >= model.threshold
@@ -227,12 +227,30 @@ def test_classifier_tables(spark):
     assert len(got) == 403 and not got[900] and not got[901] and not got[902]
     assert np.mean([got[i] == bool(y) for i, (_, _, y) in enumerate(rows)]) >= 0.97
     bare = abuse.fit(docs, labels.limit(0))
-    assert bare.document("You asshole") >= bare.threshold and bare.document("Good morning") < bare.threshold
+    # Nothing to learn from: nothing is scored, the list of strong words alone decides nothing.
+    assert abuse.score(docs, bare, ["doc_id"], "text").where("score is null and abusive is null").count() == 403
     assert abuse.score(docs.limit(0), bare, ["doc_id"], "text").count() == 0
+    assert abuse.score(docs.limit(0), abuse.fit(docs, labels), ["doc_id"], "text").count() == 0
+
+
+def test_scores_do_not_depend_on_the_texts_read_together(monkeypatch):
+    rows = texts()
+    model = abuse.train([t for t, _, _ in rows], [float(y) for _, y, _ in rows])
+    together = model.documents([t for t, _, _ in rows] + [None, "", " \n\x01\n "])
+    monkeypatch.setattr(abuse, "CHARS", 500)
+    assert np.allclose(model.documents([t for t, _, _ in rows] + [None, "", " \n\x01\n "]), together)
+    assert np.allclose([model.document(t) for t, _, _ in rows[:40]], together[:40]) and not together[-3:].any()
+
+
+def spelled(text):
+    u = abuse.Units.read([text])
+    return [" ".join(u.words[t] for t in u.token[b:e]) for b, e, s in zip(u.begin, u.end, u.single) if s], [" ".join(u.words[t] for t in u.token[b:e]) for b, e, s in zip(u.begin, u.end, u.single) if not s]
 
 
 def test_an_insult_in_a_dump_counts_as_much_as_alone():
-    model = abuse.train([], [])
+    weight = np.zeros(abuse.DIMS, np.float32)
+    weight[abuse.features(["bastard"])] = 8
+    model = abuse.Classifier(weight, abuse.BIAS)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("bdfglmnprstv") + rng.choice("aeio") for _ in range(3))
     fields = [f'"note": "{" ".join(word() for _ in range(12))}."' for _ in range(40)]
@@ -243,13 +261,13 @@ def test_an_insult_in_a_dump_counts_as_much_as_alone():
     assert model.document("{" + ", ".join(fields) + "}") < 0.3
     before, after = (" ".join(word() for _ in range(300)) for _ in range(2))
     assert model.document(f"{before} you bastard {after}") > 1.5 * model.document(before) + 0.05
-    assert "you are a bastard" in abuse._together(abuse.sentences("you are\na bastard"))
+    assert spelled("you are\na bastard") == (["you are", "a bastard"], ["you are a bastard"])
 
 
 def test_windows_cover_a_long_unit():
     for n in (1, 30, 31, 36, 37, 400):
-        words = [f"w{i}" for i in range(n)]
-        got = [w.split() for w in abuse.windows(" ".join(words))]
+        words = [chr(97 + i // 26) + chr(97 + i % 26) + "x" for i in range(n)]
+        got = [w.split() for w in spelled(" ".join(words))[0]]
         assert all(len(w) <= abuse.LONG for w in got)
         for i in range(max(1, n - abuse.SPAN // 2)):
             run = words[i : i + abuse.SPAN // 2]
