@@ -15,7 +15,9 @@ from kinscope.runtime import materialise
 
 DIMS = 512
 SEED_FACTOR = 4.0
-SEED_ROUNDS, MEAN_ROUNDS = 3, 1
+SEED_ROUNDS = 3
+# k-means ends when a round brings the rows nearer to their centres by less than SETTLED of their mean product, or after ROUNDS.
+SETTLED, ROUNDS = 0.01, 12
 REST_FACTOR, REST_SEEDS = 16.0, 4_096
 _ODD = 40_503
 
@@ -56,6 +58,11 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return who, best
 
 
+def _sent(rows: DataFrame, *arrays):
+    """Arrays of one row a centre as a broadcast: they go to each executor once, not with every task."""
+    return rows.sparkSession.sparkContext.broadcast(arrays)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
@@ -76,9 +83,11 @@ def _seeds(rows: DataFrame, want: int, dims: int, seed: int) -> np.ndarray:
     each = max(1, -(-want // SEED_ROUNDS))
     for r in range(SEED_ROUNDS + 1):
         take = 1 if r == 0 else each
+        sent = _sent(rows, centres)
 
-        def race(it: Iterator[pa.RecordBatch], take=take, r=r, centres=centres) -> Iterator[pa.RecordBatch]:
+        def race(it: Iterator[pa.RecordBatch], take=take, r=r, sent=sent) -> Iterator[pa.RecordBatch]:
             best: pa.Table | None = None
+            centres = sent.value[0]
             for t, x in _blocks(one(it), dims):
                 far = np.maximum(1 - _nearest(x, centres)[1], 0) if len(centres) else np.ones(len(x))
                 order = -np.log(_uniform(t.column("key").to_pylist(), seed + r)) / np.maximum(far, 1e-12)
@@ -89,22 +98,27 @@ def _seeds(rows: DataFrame, want: int, dims: int, seed: int) -> np.ndarray:
                 yield from best.combine_chunks().to_batches()
 
         won = rows.mapInArrow(race, "race double, key string, ix binary, vx binary").orderBy("race", "key").limit(take).toArrow().combine_chunks()
+        sent.destroy()
         if won.num_rows:
             centres = np.vstack([centres, hashed(won.column("ix").chunk(0), won.column("vx").chunk(0), dims)])
     return centres
 
 
-def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Per centre, the number of rows nearest to it (with a product of at least `at_least`, one bound or one a centre) and their sum.
+def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+    """Per centre, the number of rows nearest to it (with a product of at least `at_least`, one bound or one a centre) and their sum; and the sum of all those products.
 
     With `every`, a row counts for each centre whose bound it reaches, not for the nearest alone.
-    Each task sends one row a centre; these are added by a shuffle, not on the driver, so what the driver gets is one row a centre.
+    Each task sends one row a centre it met, only with the buckets in use; these are added by a shuffle, not on the
+    driver, so what the driver gets is one row a centre.
     """
+    bounds = np.broadcast_to(np.asarray(at_least, np.float32), len(centres)).copy()
+    sent = _sent(rows, centres, bounds)
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bound = np.broadcast_to(np.asarray(at_least, np.float32), len(centres))
+        centres, bound = sent.value
         total = np.zeros((len(centres), dims), np.float64)
         count = np.zeros(len(centres), np.int64)
+        near_by = np.zeros(len(centres))
         for t, x in _blocks(one(it), dims):
             if every:
                 for lo in range(0, len(x), 2048):
@@ -119,71 +133,113 @@ def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.
             own = keep[row]
             np.add.at(total.reshape(-1), who[row[own]] * dims + bucket[own], value[own])
             count += np.bincount(who[keep], minlength=len(centres))
+            near_by += np.bincount(who[keep], weights=best[keep], minlength=len(centres))
         c = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(count[c]), binary(total[c].astype("<f4").ravel(), np.full(len(c), dims))], names=["c", "n", "s"])
+        at, bucket = np.nonzero(total[c])
+        size = np.bincount(at, minlength=len(c))
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(count[c]), pa.array(near_by[c]), binary(bucket.astype("<u2"), size), binary(total[c][at, bucket].astype("<f4"), size)], names=["c", "n", "p", "ix", "s"])
 
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = one(it)
         if t is None:
             return
         c, at = np.unique(np.asarray(t.column("c").chunk(0)), return_inverse=True)
-        total = np.zeros((len(c), dims))
-        np.add.at(total, at, flat(t.column("s").chunk(0), "<f4")[0].reshape(-1, dims))
-        n = np.bincount(at, weights=np.asarray(t.column("n").chunk(0))).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), binary(total.astype("<f4").ravel(), np.full(len(c), dims))], names=["c", "n", "s"])
-
-    got = rows.mapInArrow(part, "c int, n bigint, s binary").repartition("c").mapInArrow(add, "c int, n bigint, s binary").toArrow().combine_chunks()
+        bucket, size = flat(t.column("ix").chunk(0), "<u2")
+        total = np.bincount(np.repeat(at, size) * dims + bucket, weights=flat(t.column("s").chunk(0), "<f4")[0], minlength=len(c) * dims).reshape(-1, dims)
+        n, p = (np.bincount(at, weights=np.asarray(t.column(k).chunk(0))) for k in "np")
+        at, bucket = np.nonzero(total)
+        size = np.bincount(at, minlength=len(c))
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n.astype(np.int64)), pa.array(p), binary(bucket.astype("<u2"), size), binary(total[at, bucket].astype("<f4"), size)], names=["c", "n", "p", "ix", "s"])
+
+    kind = "c int, n bigint, p double, ix binary, s binary"
+    got = rows.mapInArrow(part, kind).repartition("c").mapInArrow(add, kind).toArrow().combine_chunks()
+    sent.destroy()
     if not got.num_rows:
-        return np.zeros(0), np.zeros((0, dims))
+        return np.zeros(0), np.zeros((0, dims)), 0.0
     order = np.argsort(np.asarray(got.column("c").chunk(0)))
-    return np.asarray(got.column("n").chunk(0))[order].astype(np.float64), flat(got.column("s").chunk(0), "<f4")[0].reshape(-1, dims)[order].astype(np.float64)
+    bucket, size = flat(got.column("ix").chunk(0), "<u2")
+    total = np.zeros((len(order), dims))
+    total[np.repeat(np.arange(len(order)), size), bucket] = flat(got.column("s").chunk(0), "<f4")[0]
+    return np.asarray(got.column("n").chunk(0))[order].astype(np.float64), total[order], float(np.asarray(got.column("p").chunk(0)).sum())
+
+
+def _closest(mean: np.ndarray, rows: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the groups `rows` the greatest product with another of the groups `among`, and that group; a bounded block of products at a time."""
+    top, arg = np.full(len(rows), -2, np.float32), np.zeros(len(rows), np.int64)
+    if not len(among):
+        return top, arg
+    other = mean[among]
+    step = max(1, (1 << 24) // len(among))
+    for lo in range(0, len(rows), step):
+        own = rows[lo : lo + step]
+        s = mean[own] @ other.T
+        at = np.searchsorted(among, own).clip(0, len(among) - 1)
+        same = np.flatnonzero(among[at] == own)
+        s[same, at[same]] = -2
+        best = s.argmax(axis=1)
+        top[lo : lo + step], arg[lo : lo + step] = s[np.arange(len(own)), best], among[best]
+    return top, arg
 
 
 def agglomerate(count: np.ndarray, total: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Joins the two groups with the greatest average cosine between their members, while that is at least `threshold`.
+    """Joins groups by average linkage while the average cosine between two groups' members is at least `threshold`.
 
     The average cosine between two groups of unit vectors is the product of their means, so groups are told by count and
-    sum alone and the result is that of average linkage over all members.
+    sum alone and the result is that of average linkage over all members. Two groups that are each other's nearest join
+    sooner or later in any order, as no join brings a third group nearer than both were; so all such pairs join in one
+    round. No matrix of all groups is held, only the nearest other group of each.
     """
-    count, total = count.copy(), total.copy()
-    alive = count > 0
-    mean = (total / np.maximum(count, 1)[:, None]).astype(np.float32)
-    g = mean @ mean.T
-    np.fill_diagonal(g, -2)
-    g[~alive] = -2
-    g[:, ~alive] = -2
-    top, arg = (g.max(axis=1), g.argmax(axis=1)) if len(g) else (np.zeros(0), np.zeros(0, int))
-    while len(top) and top.max() >= threshold:
-        i = int(top.argmax())
-        j = int(arg[i])
-        i, j = min(i, j), max(i, j)
+    used = np.flatnonzero(count > 0)
+    count, total = count[used].astype(np.float64), total[used].astype(np.float64)
+    mean = (total / count[:, None]).astype(np.float32)
+    live = np.arange(len(count))
+    alive = np.ones(len(count), bool)
+    top, arg = _closest(mean, live, live)
+    while True:
+        near = live[top[live] >= threshold]
+        i = near[(arg[arg[near]] == near) & (near < arg[near])]
+        if not len(i):
+            if not len(near):
+                break
+            # Equal products may leave no pair that is each other's first choice.
+            i = near[[top[near].argmax()]]
+        j = arg[i]
+        i, j = np.minimum(i, j), np.maximum(i, j)
         count[i] += count[j]
         total[i] += total[j]
+        mean[i] = total[i] / count[i, None]
         alive[j] = False
-        row = mean @ (total[i] / count[i]).astype(np.float32)
-        mean[i] = total[i] / count[i]
-        row[~alive] = -2
-        row[i] = -2
-        g[i], g[:, i], g[j], g[:, j] = row, row, -2, -2
-        top[j] = -2
-        stale = np.flatnonzero(alive & ((arg == i) | (arg == j)))
-        top[stale], arg[stale] = g[stale].max(axis=1), g[stale].argmax(axis=1)
-        top[i], arg[i] = row.max(), row.argmax()
-        better = alive & (row > top)
-        top[better], arg[better] = row[better], i
+        live = np.flatnonzero(alive)
+        gone = np.zeros(len(alive), bool)
+        gone[i] = gone[j] = True
+        stale = live[gone[live] | gone[arg[live]]]
+        top[stale], arg[stale] = _closest(mean, stale, live)
+        rest = live[~(gone[live] | gone[arg[live]])]
+        new, which = _closest(mean, rest, i)
+        better = new > top[rest]
+        top[rest[better]], arg[rest[better]] = new[better], which[better]
     return count[alive], total[alive]
 
 
 def _found(rows: DataFrame, want: int, dims: int, threshold: float, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, means) of the families that one run of seeding, k-means and joining finds among the rows."""
     centres = _seeds(rows, want, dims, seed)
-    count, total = np.zeros(0), np.zeros((0, dims))
-    for _ in range(MEAN_ROUNDS):
-        count, total = _sums(rows, centres, dims, -1.0)
-        centres = _unit(total)
+    count, total, before = np.zeros(0), np.zeros((0, dims)), None
+    for _ in range(ROUNDS):
+        count, total, near = _sums(rows, centres, dims, -1.0)
+        if before is not None and near - before < SETTLED * abs(before):
+            break
+        centres, before = _unit(total), near
     size, means = _joined(count, total, threshold, least)
-    # Every row to the nearest mean, if it fits there: rows that only a split centre had drawn in fall out.
-    return _joined(*_sums(rows, means, dims, threshold), threshold, least) if len(means) else (size, means)
+    # Every row to the nearest mean, if it fits there, until the families stay: rows that only a split centre had drawn in fall out.
+    for _ in range(ROUNDS):
+        if not len(means):
+            break
+        before = size
+        size, means = _joined(*_sums(rows, means, dims, threshold)[:2], threshold, least)
+        if len(size) == len(before) and np.abs(np.sort(size) - np.sort(before)).sum() <= SETTLED * size.sum():
+            break
+    return size, means
 
 
 def _drawn(rows: DataFrame, last: tuple[int, str] | None, dims: int) -> tuple[np.ndarray, tuple[int, str] | None]:
@@ -203,12 +259,12 @@ def _around(rows: DataFrame, seeds: np.ndarray, dims: int, threshold: float, lea
     The members of a family have an average of at least `threshold` to the others, so each has a neighbour at
     `threshold`. The rows that near to a seed are its neighbourhood; those unlike the average of it fall out in two passes.
     """
-    count, total = _sums(rows, seeds, dims, threshold, every=True)
+    count, total, _ = _sums(rows, seeds, dims, threshold, every=True)
     size, means = count[count > 1], (total[count > 1] / count[count > 1, None]).astype(np.float32)
     for strict in (False, True):
         if not len(means):
             return np.zeros(0), np.zeros((0, dims), np.float32)
-        count, total = _sums(rows, means, dims, _member(size, threshold) if strict else threshold, every=True)
+        count, total, _ = _sums(rows, means, dims, _member(size, threshold) if strict else threshold, every=True)
         # Seeds of one family have the same neighbourhood by now, or nearly.
         _, first = np.unique(np.round(np.column_stack([count, total]), 4), axis=0, return_index=True)
         first = np.sort(first[count[first] >= least])
@@ -221,7 +277,7 @@ def _around(rows: DataFrame, seeds: np.ndarray, dims: int, threshold: float, lea
         if not kept or (means[kept] @ means[k]).max() < threshold:
             kept.append(int(k))
     size, means = size[kept], means[kept]
-    return _joined(*_sums(rows, means, dims, _member(size, threshold)), threshold, least) if len(means) else (size, means)
+    return _joined(*_sums(rows, means, dims, _member(size, threshold))[:2], threshold, least) if len(means) else (size, means)
 
 
 def _joined(count: np.ndarray, total: np.ndarray, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,14 +299,15 @@ def _member(size: np.ndarray, threshold: float) -> np.ndarray:
 def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float = 0.36, least: int = 5, dims: int = DIMS, seed_factor: float = SEED_FACTOR) -> DataFrame:
     """(key, lead, typicality, size): every key whose current vector belongs to a family; lead is the family's lowest key.
 
-    Vectors are hashed weighted features (`hashed`). k-means with parallel oversampled seeding splits them into more
-    centres than there are families: seed_factor * sqrt(rows). Centres then join by average cosine, exactly as average
-    linkage would, while it is at least `threshold`; every row then goes to the nearest family mean of at least
-    `threshold`. The rows left over go through the same again, with relatively more seeds, until a round finds no family.
+    Vectors are hashed weighted features (`hashed`). k-means with parallel oversampled seeding splits them into
+    seed_factor * sqrt(rows) centres, in rounds until they settle (SETTLED). Centres then join by average cosine, exactly
+    as average linkage would, while it is at least `threshold`; every row then goes to the nearest family mean of at least
+    `threshold`, until the families stay. The rows left over go through the same again, with relatively more seeds, until a round finds no family.
     Then every row still left over is held against its own neighbourhood among them, REST_SEEDS at a time, until a sweep
     over all of them finds no further family of `least` rows: at every size alike, and quadratic in the rows left over.
     typicality is the cosine to the family's centre.
-    Rows that fit no family are left out, as are null, all-zero and non-finite vectors. The driver holds one sum a centre.
+    Rows that fit no family are left out, as are null, all-zero and non-finite vectors. The driver holds the count and sum
+    of each centre and family, in broadcasts as well, and no product of all centres with all.
     Equal rows fall into the same family; an empty table gives no rows. Keys are compared as strings.
     """
     packed = materialise(pack_vectors(df.withColumn(key, F.col(key).cast("string")), key, vec, stamp).select("key", "ix", "vx"), "family-vectors")
@@ -260,7 +317,10 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
     def outside(rows: DataFrame, means: np.ndarray, bound: np.ndarray, n: int) -> tuple[DataFrame, int]:
         """The rows that fit none of the families, and their number."""
 
+        sent = _sent(rows, means, bound)
+
         def left(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            means, bound = sent.value
             for t, x in _blocks(one(it), dims):
                 if len(means):
                     who, best = _nearest(x, means)
@@ -268,6 +328,7 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
                 yield from t.combine_chunks().to_batches()
 
         rows = materialise(rows.mapInArrow(left, "key string, ix binary, vx binary").coalesce(max(1, n // 20_000)), "family-rest")
+        sent.destroy()
         return rows, rows.count()
 
     want = math.ceil(seed_factor * math.sqrt(n))
@@ -275,7 +336,7 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
         own, new = _found(rest, min(n, max(16, want)), dims, threshold, least, 1000 * r)
         if r and len(new):
             # Few rows, so that a stray one weighs much: those unlike the others of their family fall out before it counts as one.
-            own, new = _joined(*_sums(rest, new, dims, _member(own, threshold)), threshold, least)
+            own, new = _joined(*_sums(rest, new, dims, _member(own, threshold))[:2], threshold, least)
         if r and not len(new):
             break
         size, means, before = np.concatenate([size, own]), np.vstack([means, new]), n
@@ -301,20 +362,24 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
                 size, means, found = np.concatenate([size, own]), np.vstack([means, new]), True
     if len(means):
         # Families of different rounds meet here, and every row is held against all of them.
-        size, means = _joined(*_sums(packed, means, dims, _member(size, threshold)), threshold, least)
+        size, means = _joined(*_sums(packed, means, dims, _member(size, threshold))[:2], threshold, least)
     if not len(means):
         return packed.select("key", F.lit("").alias("lead"), F.lit(0.0).alias("typicality"), F.lit(0).cast("bigint").alias("size")).limit(0)
 
+    sent = _sent(packed, means, _member(size, threshold))
+
     def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norm, bound = np.maximum(np.linalg.norm(means, axis=1), 1e-12), _member(size, threshold)
+        means, bound = sent.value
+        norm = np.maximum(np.linalg.norm(means, axis=1), 1e-12)
         for t, x in _blocks(one(it), dims):
             who, best = _nearest(x, means)
             keep = np.flatnonzero(best >= bound[who])
             yield pa.RecordBatch.from_arrays([t.column("key").chunk(0).take(pa.array(keep)), pa.array(who[keep].astype(np.int32)), pa.array((best / norm[who])[keep].astype(np.float64))], names=["key", "family", "typicality"])
 
     own = materialise(packed.mapInArrow(assign, "key string, family int, typicality double"), "family-members")
+    sent.destroy()
     named = own.groupBy("family").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    return own.join(F.broadcast(named), "family").select("key", "lead", "typicality", "size")
+    return own.join(named, "family").select("key", "lead", "typicality", "size")
 
 
 def typical_members(members: DataFrame, top: int = 5) -> DataFrame:
