@@ -312,9 +312,11 @@ class _Anchors:
 
     def slips(self, words: list[str]) -> dict[str, list[tuple[int, str]]]:
         """The anchors within a slip or two of each word, with their distances."""
-        i, j = np.nonzero(np.bitwise_count(_grams(words)[:, None] ^ self.grams[None]) <= 8)
+        grams = _grams(words)
+        hits = [np.nonzero(np.bitwise_count(grams[lo : lo + 256, None] ^ self.grams[None]) <= 8) for lo in range(0, len(words), 256)]
+        i = np.concatenate([256 * k + h[0] for k, h in enumerate(hits)]) if hits else np.empty(0, np.int64)
+        j = np.concatenate([h[1] for h in hits]) + len(words) if hits else i
         chars, size = letters(words + self.names)
-        j = j + len(words)
         near = np.abs(size[i] - size[j]) <= 2
         i, j = i[near], j[near]
         out: dict[str, list[tuple[int, str]]] = {}
@@ -475,7 +477,7 @@ def same_names(df: DataFrame, key: str, name: str, aliases: str, *, radius: int
     companion = F.concat_ws("|", F.get(parts, F.lit(2)), F.substring(F.get(parts, F.lit(3)), 1, 3))
     beside = far.where(unlike).groupBy("node").agg(F.countDistinct(companion).alias("n"), F.count(F.lit(1)).alias("seen"))
     anybody = materialise(beside.where("n >= 8 and n >= 0.1 * seen").select("node"), "anybody")
-    telling = forms.join(anybody, "node", "left_anti")
+    telling = materialise(forms.join(anybody, "node", "left_anti"), "telling-names")
     node = lambda s: F.concat_ws("|", F.lit("~"), F.lit("full"), "anchor", s)
     full = telling.where("kind = 'full'").select("anchor", "stem").distinct()
     visits = materialise(telling.where("kind = 'full' and size(more) > 0").select("node", "stem", F.explode("more").alias("anchor")).distinct(), "name-visits")
