@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from kinscope.llm.common import offsets_of, one
 from kinscope.runtime import materialise, spread
 
-SMALL = 9
-LIST_TOKENS = 2
+SMALL, MIDDLE = 9, 128
 HOT = 32_768
+# Lists that are split number at most so many: of longer tables only longer lists are split.
+MOST_HOT = 1 << 20
 HEAVY_SHARE = 512
 
 
@@ -34,24 +35,30 @@ def _keys(n: int, t: Fraction) -> list[tuple[int, ...]]:
     """Which places of a set of n tokens, rarest first, make its keys.
 
     A small set gives all subsets as large as the overlap that some partner size asks for; two small sets above the
-    threshold share one of them. A set that can have a large partner gives its list keys: two sets that share at least
-    ceil(t * n) tokens share `LIST_TOKENS` of the first n - ceil(t * n) + LIST_TOKENS.
+    threshold share one of them. A set that can have a larger partner gives its list keys: two sets that share at least
+    ceil(t * n) tokens share k of the first n - ceil(t * n) + k. Lists are of pairs of tokens where the larger set has up
+    to MIDDLE tokens, and of single tokens beyond, where pairs would be too many.
     """
     need = lambda m: ceil(t * (n + m) / (1 + t))
     out: list[tuple[int, ...]] = []
     low, high = ceil(t * n), floor(n / t)
     if n <= SMALL:
         out += [c for o in sorted({need(m) for m in range(low, min(high, SMALL) + 1)}) if o <= n for c in combinations(range(n), o)]
-    if high > SMALL:
-        width = min(n, n - low + LIST_TOKENS)
-        out += list(combinations(range(width), min(LIST_TOKENS, n)))
+    if high > SMALL and n <= MIDDLE:
+        out += list(combinations(range(min(n, n - low + 2)), min(2, n)))
+    if high > MIDDLE:
+        out += [(i,) for i in range(n - low + 1)]
     return out
 
 
-def _key_rows(heavy: np.ndarray, weight: np.ndarray, t: Fraction, hot: np.ndarray, hot_parts: np.ndarray, full: bool):
-    """Arrow function: sets to key rows. `full` adds what the scan needs, and spreads keys of hot lists over a grid."""
+def _key_rows(shared, t: Fraction, full: bool):
+    """Arrow function: sets to key rows. `full` adds what the scan needs, and spreads keys of hot lists over a grid.
+
+    shared: a broadcast of (heavy tokens, how often they come, hot keys, into how many chunks these are split).
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, weight, hot, hot_parts = shared.value
         for b in it:
             lists = b.column("tokens")
             off = offsets_of(lists)
@@ -80,6 +87,8 @@ def _key_rows(heavy: np.ndarray, weight: np.ndarray, t: Fraction, hot: np.ndarra
                         w = words[part]
                         key = _mix(np.full((len(w), len(group)), length, np.uint64), *[w[:, pick[:, k]] for k in range(length)]).view(np.int64).ravel()
                         who = np.repeat(rows[part], len(group))
+                        # A key of one token has its place: what comes before it is not shared, if it is the first one shared.
+                        place = np.tile(pick[:, 0] if length == 1 and n > SMALL else np.zeros(len(group), np.int64), len(w))
                         if not full:
                             yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
                             continue
@@ -96,32 +105,37 @@ def _key_rows(heavy: np.ndarray, weight: np.ndarray, t: Fraction, hot: np.ndarra
                             mine = chunk[again]
                             low, high = np.minimum(mine, other), np.maximum(mine, other)
                             cell = (low << 40) | (high << 16) | (mine == high).astype(np.int64) << 1 | (mine == low)
-                            key, who = key[again], who[again]
+                            key, who, place = key[again], who[again], place[again]
                         else:
                             cell = np.full(len(key), 3, np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cell >> 16), pa.array((cell & 3).astype(np.int8)), b.column("rep").take(pa.array(who)), pa.array((size[who] * 2 + np.asarray(b.column("left"))[who]).astype(np.int32)), pa.array(sketch[who].view(np.int64))], names=["key", "cell", "side", "rep", "size", "sketch"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cell >> 16), pa.array((cell & 3).astype(np.int8)), b.column("rep").take(pa.array(who)), pa.array((size[who] * 2 + np.asarray(b.column("left"))[who]).astype(np.int32)), pa.array(sketch[who].view(np.int64)), pa.array(place.astype(np.int32))], names=["key", "cell", "side", "rep", "size", "sketch", "place"])
 
     return run
 
 
 def _scan(t: Fraction):
-    """Arrow function: all lists of a task; gives the pairs whose token sketches differ in no more bits than the threshold lets sets differ."""
+    """Arrow function: all lists of a task; gives the pairs that may reach the threshold.
+
+    Sketches differ in no more bits than the threshold lets sets differ, and what follows the shared token in both sets
+    is enough for the overlap that their sizes ask for.
+    """
     num, den = t.denominator - t.numerator, t.denominator + t.numerator
 
-    def fits(xa, xb, sa, sb) -> np.ndarray:
-        total = (sa >> 1) + (sb >> 1)
-        return (np.bitwise_count(xa ^ xb).astype(np.int32) * den <= total * num) & ((sa | sb) & 1 == 1)
+    def fits(xa, xb, sa, sb, pa_, pb) -> np.ndarray:
+        na, nb = sa >> 1, sb >> 1
+        total = na + nb
+        return (np.bitwise_count(xa ^ xb).astype(np.int32) * den <= total * num) & ((sa | sb) & 1 == 1) & (np.minimum(na - pa_, nb - pb).astype(np.int64) * den >= total.astype(np.int64) * t.numerator)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = one(it)
         if table is None:
             return
         get = lambda c: table.column(c).chunk(0)
-        key, cell, side, size = (np.asarray(get(c)) for c in ("key", "cell", "side", "size"))
+        key, cell, side, size, place = (np.asarray(get(c)) for c in ("key", "cell", "side", "size", "place"))
         sketch, rep = np.asarray(get("sketch")).view(np.uint64), get("rep").dictionary_encode()
         code = np.asarray(rep.indices, dtype=np.int64)
         order = np.lexsort((code, size >> 1, cell, key))
-        key, cell, side, size, sketch, code = (x[order] for x in (key, cell, side, size, sketch, code))
+        key, cell, side, size, sketch, code, place = (x[order] for x in (key, cell, side, size, sketch, code, place))
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]), True])
         found: list[np.ndarray] = []
         held = 0
@@ -143,7 +157,7 @@ def _scan(t: Fraction):
                 s = starts[lo : lo + max(1, (1 << 19) // len(i))][:, None]
                 a, b = (s + i).ravel(), (s + j).ravel()
                 # In a grid cell of two chunks only pairs across them count; elsewhere every row has both sides.
-                ok = fits(sketch[a], sketch[b], size[a], size[b]) & ((side[a] | side[b]) == 3)
+                ok = fits(sketch[a], sketch[b], size[a], size[b], place[a], place[b]) & ((side[a] | side[b]) == 3)
                 put(a[ok], b[ok])
         for k in np.flatnonzero(count > 48):
             lo, hi = cut[k], cut[k + 1]
@@ -153,7 +167,7 @@ def _scan(t: Fraction):
                 top = np.searchsorted(size[lo:hi] >> 1, (size[a.stop - 1] >> 1) / float(t) + 1e-9, "right") + lo
                 for y in range(x, top, 4096):
                     b = slice(y, min(y + 4096, top))
-                    ok = fits(sketch[a, None], sketch[None, b], size[a, None], size[None, b]) & ((side[a, None] | side[None, b]) == 3)
+                    ok = fits(sketch[a, None], sketch[None, b], size[a, None], size[None, b], place[a, None], place[None, b]) & ((side[a, None] | side[None, b]) == 3)
                     i, j = np.nonzero(ok)
                     i, j = i + a.start, j + b.start
                     put(i[i < j], j[i < j])
@@ -174,10 +188,11 @@ def similar_sets(left: DataFrame, right: DataFrame | None = None, *, threshold:
     links = (rep_a, rep_b, shared, united) between different classes, no link between classes of `right` only.
     Records of one class are linked by being in it. `expand_pairs` turns both into pairs of records.
 
-    Small sets meet in their threshold-sized subsets; large sets scan inverted lists, keyed by the rarest tokens. Lists
-    above `list_rows` are split into a grid of chunk pairs, so no task scans more than two chunks of a list at once. The
-    scan compares 64-bit sketches, a lower bound of the sets' difference, so it loses nothing; survivors are checked on the sets
-    themselves. Nothing is capped or sampled.
+    Small sets meet in their threshold-sized subsets; large sets scan inverted lists, keyed by their rarest tokens: pairs
+    of them up to MIDDLE tokens, single ones beyond, with the bounds of length and place. Lists above `list_rows` are
+    split into a grid of chunk pairs, so no task scans more than two chunks of a list at once. The scan compares 64-bit
+    sketches, a lower bound of the sets' difference, so it loses nothing; survivors are checked on the sets themselves.
+    Nothing is capped or sampled.
     Null ids, null lists, null items and sets below `min_size` link nothing; an empty table gives no rows; exactly
     `threshold` counts. Repeats of a whole row change nothing; an id with several different sets is linked by each.
     """
@@ -187,28 +202,29 @@ def similar_sets(left: DataFrame, right: DataFrame | None = None, *, threshold:
         parts = parts.unionByName(right.select(F.lit("r").alias("part"), F.col("id").cast("string").alias("id"), "ids"))
     ids = F.array_sort(F.array_distinct(F.filter("ids", lambda x: x.isNotNull())))
     parts = parts.select("part", "id", ids.alias("ids")).where(F.col("id").isNotNull() & (F.size("ids") >= min_size))
+    parts = materialise(parts.withColumn("h", F.xxhash64("ids")), "set-records")
     tag = F.concat("part", "id")
-    grouped = parts.withColumn("h", F.xxhash64("ids")).groupBy("h", "ids").agg(F.min(tag).alias("rep"), F.max(F.when(F.col("part") == "l", 1).otherwise(0)).alias("left"))
+    grouped = parts.groupBy("h", "ids").agg(F.min(tag).alias("rep"), F.max(F.when(F.col("part") == "l", 1).otherwise(0)).alias("left"))
     sets = materialise(grouped.select("rep", "ids", "left", F.xxhash64("rep").alias("mark"), F.transform("ids", lambda x: F.xxhash64(x)).alias("tokens")), "sets")
-    n = sets.count()
+    sizes = [(r["n"], r["count"]) for r in sets.groupBy(F.size("ids").alias("n")).count().collect()]
+    n, keys = sum(c for _, c in sizes), sum(c * len(_keys(size, t)) for size, c in sizes)
     # A token in one of 512 sets or more is heavy. At most 512 times the mean set size tokens can be, whatever the data.
-    heavy = sets.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") * HEAVY_SHARE >= max(n, 1)).collect()
-    heavy.sort()
+    heavy = sorted(sets.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") * HEAVY_SHARE >= max(n, 1)).collect())
     tokens, weight = np.array([r[0] for r in heavy], np.int64), np.array([r[1] for r in heavy], np.int64)
     none = np.empty(0, np.int64)
-    source = sets.select("rep", "left", "mark", "tokens")
-    # Lists above `list_rows` number at most keys / list_rows.
-    hot = source.mapInArrow(_key_rows(tokens, weight, t, none, none, False), "key bigint").groupBy("key").count().where(F.col("count") > list_rows).collect()
-    hot.sort()
-    hot_keys, hot_parts = np.array([r[0] for r in hot], np.int64), np.array([-(-r[1] // list_rows) for r in hot], np.int64)
-    rows = source.mapInArrow(_key_rows(tokens, weight, t, hot_keys, hot_parts, True), "key bigint, cell bigint, side tinyint, rep string, size int, sketch bigint")
+    sc, source = sets.sparkSession.sparkContext, sets.select("rep", "left", "mark", "tokens")
+    # Lists above `list_rows` number at most keys / list_rows, so at most MOST_HOT of 16 bytes.
+    list_rows = max(list_rows, -(-keys // MOST_HOT))
+    hot = sorted(source.mapInArrow(_key_rows(sc.broadcast((tokens, weight, none, none)), t, False), "key bigint").groupBy("key").count().where(F.col("count") > list_rows).collect())
+    shared = sc.broadcast((tokens, weight, np.array([r[0] for r in hot], np.int64), np.array([-(-r[1] // list_rows) for r in hot], np.int64)))
+    rows = source.mapInArrow(_key_rows(shared, t, True), "key bigint, cell bigint, side tinyint, rep string, size int, sketch bigint, place int")
     pairs = spread(rows, "key", "cell").mapInArrow(_scan(t), "x string, y string").distinct()
     a = sets.select(F.col("rep").alias("x"), F.col("ids").alias("ids_x"))
     b = sets.select(F.col("rep").alias("y"), F.col("ids").alias("ids_y"))
     checked = pairs.join(a, "x").join(b, "y").withColumn("shared", F.size(F.array_intersect("ids_x", "ids_y")).cast("bigint"))
     checked = checked.withColumn("united", F.size("ids_x") + F.size("ids_y") - F.col("shared")).where(F.col("shared") * t.denominator >= F.col("united") * t.numerator)
     links = checked.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "shared", "united")
-    members = parts.withColumn("h", F.xxhash64("ids")).join(sets.select(F.xxhash64("ids").alias("h"), F.col("ids").alias("own"), "rep"), "h").where("ids = own").select("rep", "part", "id").distinct()
+    members = parts.join(sets.select(F.xxhash64("ids").alias("h"), F.col("ids").alias("own"), "rep"), "h").where("ids = own").select("rep", "part", "id").distinct()
     return links, members
 
 
