@@ -15,42 +15,44 @@ from kinscope.runtime import materialise
 
 BLOCK = 512
 DENSE_BLOCKS = 4
-FLUSH = 1 << 21
+FLUSH, NAMES = 1 << 21, 1 << 20
 
 
 class _Gram:
     """Upper triangle of sum(X' X) of one task.
 
-    Items get codes as they are first met, so common items sit in the leading blocks. The leading `DENSE_BLOCKS`
-    blocks are multiplied as dense 0/1 blocks; pairs with an item beyond them, all of it rare, are listed and counted.
-    Memory is bounded: `DENSE_BLOCKS` dense blocks a side, and at most about `FLUSH` listed pairs before they are passed on.
+    Items are in the order of how many records they are in. The leading `DENSE_BLOCKS` blocks of them (`head`) are
+    multiplied as dense 0/1 blocks; of the rarer rest, pairs are listed and counted, as a product of blocks that are
+    nearly empty comes to. Memory is bounded: `DENSE_BLOCKS` dense blocks a side, at most about `FLUSH` listed pairs and
+    `NAMES` names of rare items before they are passed on.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, head: list[str]) -> None:
+        self.top = head
+        self.head = len(head)
         self.code: dict[str, int] = {}
         self.names: list[str] = []
-        self.head = BLOCK * DENSE_BLOCKS
-        self.dense = np.zeros((0, 0), dtype=np.float64)
+        self.forget()
+        side = -(-self.head // BLOCK) * BLOCK
+        self.dense = np.zeros((side, side))
         self.keys: list[np.ndarray] = []
         self.held = 0
 
-    def codes(self, words: list[str]) -> np.ndarray:
+    def forget(self) -> None:
+        self.names = list(self.top)
+        self.code = {w: i for i, w in enumerate(self.top)}
+
+    def codes(self, words: list[str], rest: bool = True) -> np.ndarray:
+        """The number of each item; -1 for those outside the head, if `rest` does not count."""
         for w in words:
-            if w not in self.code:
+            if rest and w not in self.code:
                 self.code[w] = len(self.names)
                 self.names.append(w)
-        return np.array([self.code[w] for w in words], dtype=np.int64)
-
-    def grow(self, n: int) -> None:
-        if n > len(self.dense):
-            wide = np.zeros((-(-n // BLOCK) * BLOCK,) * 2)
-            wide[: len(self.dense), : len(self.dense)] = self.dense
-            self.dense = wide
+        return np.array([self.code.get(w, -1) for w in words], dtype=np.int64)
 
     def add(self, row: np.ndarray, item: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
         head = item < self.head
         if head.any():
-            self.grow(min(self.head, len(self.names)))
             blocks = [(b, head & (item // BLOCK == b)) for b in range(-(-len(self.dense) // BLOCK))]
             mats = []
             for b, own in blocks:
@@ -103,16 +105,17 @@ class _Gram:
                 yield self.batch(a + lo, b, self.dense[a + lo, b].astype(np.int64))
 
 
-def pair_counts(df: DataFrame, items: Column) -> DataFrame:
+def pair_counts(df: DataFrame, items: Column, head: list[str], rest: bool = True) -> DataFrame:
     """(item_a, item_b, both) with item_a <= item_b: the records that hold both; item_a = item_b gives an item's users.
 
-    `items` must hold no item twice in a record. Each task multiplies its records block by block and sends one row for
-    each pair it met; a further aggregation adds these. Null lists and null items count for nothing; an empty table
-    gives an empty result.
+    `head`: the commonest items, at most DENSE_BLOCKS * BLOCK; without `rest`, no others count. `items` must hold no item
+    twice in a record. Each task multiplies its records block by block and sends one row for each pair it met; a further
+    aggregation adds these. Null lists and null items count for nothing; an empty table gives an empty result.
     """
+    shared = df.sparkSession.sparkContext.broadcast(head)
 
     def gram(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _Gram()
+        g = _Gram(shared.value)
         for b in it:
             lists = b.column("items")
             off = offsets_of(lists)
@@ -121,10 +124,14 @@ def pair_counts(df: DataFrame, items: Column) -> DataFrame:
             d = words.dictionary_encode()
             index = np.asarray(d.indices.fill_null(-1))
             rows, index = rows[index >= 0], index[index >= 0]
-            code = g.codes(d.dictionary.to_pylist())[index] if len(index) else index
+            code = g.codes(d.dictionary.to_pylist(), rest)[index] if len(index) else index
+            rows, code = rows[code >= 0], code[code >= 0]
             for lo in range(0, len(lists), 4096):
                 own = slice(*np.searchsorted(rows, [lo, lo + 4096]))
                 yield from g.add(rows[own] - lo, code[own], min(4096, len(lists) - lo))
+            if len(g.names) > g.head + NAMES:
+                yield from g.flush()
+                g.forget()
         yield from g.close()
 
     parts = df.select(items.cast("array<string>").alias("items")).where(F.size("items") > 0).mapInArrow(gram, "item_a string, item_b string, both bigint")
@@ -135,17 +142,18 @@ def co_occurrence(df: DataFrame, items: Column, *, min_share: float = 0.0, min_l
     """(item_a, item_b, both, users_a, users_b, records, lift) of each pair with item_a < item_b that occurs together.
 
     records: rows with any item; lift = records * both / (users_a * users_b), how much more often than chance.
-    Only pairs with both >= min_share * records and lift >= min_lift are given. Repeats of an item in a row count once.
+    Only pairs with both >= min_share * records and lift >= min_lift are given; where the items that themselves reach
+    min_share fit the dense blocks, all others leave before the product. Repeats of an item in a row count once.
     A row of null or no items counts for nothing; an empty table gives an empty result.
     """
-    held = df.select(F.array_distinct(F.filter(items, lambda x: x.isNotNull())).alias("items")).where(F.size("items") > 0)
-    # The null-item trick would need a name no item has; an own one-row aggregate over the counted list sizes is as cheap.
-    held = held.select(F.concat(F.transform("items", lambda x: F.concat(F.lit("i"), x)), F.array(F.lit("n"))).alias("items"))
-    counts = materialise(pair_counts(held, F.col("items")), "pairs")
-    own = counts.where(F.col("item_a") == F.col("item_b"))
-    n = own.where(F.col("item_a") == "n").select(F.col("both").alias("records"))
-    pairs = counts.where((F.col("item_a") < F.col("item_b")) & (F.col("item_b") != "n")).crossJoin(F.broadcast(n)).where(F.col("both") >= min_share * F.col("records"))
-    users = own.where(F.col("item_a") != "n")
-    pairs = pairs.join(users.select("item_a", F.col("both").alias("users_a")), "item_a").join(users.select("item_b", F.col("both").alias("users_b")), "item_b")
+    held = materialise(df.select(F.array_distinct(F.filter(items, lambda x: x.isNotNull())).cast("array<string>").alias("items")).where(F.size("items") > 0), "baskets")
+    users = materialise(held.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item-users")
+    records = held.count()
+    head = DENSE_BLOCKS * BLOCK
+    # At most one item more than the dense blocks hold.
+    common = [r["item"] for r in users.where(F.col("n") >= min_share * records).orderBy(F.desc("n"), "item").limit(head + 1).collect()]
+    counts = pair_counts(held, F.col("items"), common[:head], rest=len(common) > head).where(F.col("item_a") < F.col("item_b"))
+    pairs = counts.where(F.col("both") >= min_share * records).withColumn("records", F.lit(records).cast("bigint"))
+    pairs = pairs.join(users.toDF("item_a", "users_a"), "item_a").join(users.toDF("item_b", "users_b"), "item_b")
     pairs = pairs.withColumn("lift", F.col("records") * F.col("both") / (F.col("users_a") * F.col("users_b"))).where(F.col("lift") >= min_lift)
-    return pairs.select(F.substring("item_a", 2, 1 << 30).alias("item_a"), F.substring("item_b", 2, 1 << 30).alias("item_b"), "both", "users_a", "users_b", "records", "lift")
+    return pairs.select("item_a", "item_b", "both", "users_a", "users_b", "records", "lift")
