@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinscope.llm import cooccurrence
+from kinscope.llm import cooccurrence, setjoin
 from kinscope.llm.components import connected_components, merge_edges
 from kinscope.llm.cooccurrence import co_occurrence
 from kinscope.llm.frequency import term_frequency
@@ -53,7 +53,8 @@ def test_gram_blocks_and_listed_pairs(monkeypatch, block, dense, flush):
     monkeypatch.setattr(cooccurrence, "FLUSH", flush)
     rows = [sorted(set(x)) for _, x in random_sets(120, 1)]
     want = Counter(p for x in rows for p in combinations(x, 2)) + Counter((t, t) for x in rows for t in x)
-    g, got = cooccurrence._Gram(), Counter()
+    users = Counter(t for x in rows for t in x)
+    g, got = cooccurrence._Gram(sorted(users, key=lambda w: (-users[w], w))[: block * dense]), Counter()
     batches = []
     for lo in range(0, len(rows), 17):
         part = rows[lo : lo + 17]
@@ -73,6 +74,19 @@ def test_co_occurrence(spark):
     assert co_occurrence(table(spark, []), F.col("ids")).count() == 0
 
 
+@pytest.mark.parametrize(("share", "blocks"), [(0.0, 4), (0.0, 1), (0.01, 4)])
+def test_twenty_thousand_items_equal_brute_force(spark, monkeypatch, share, blocks):
+    monkeypatch.setattr(cooccurrence, "DENSE_BLOCKS", blocks)
+    monkeypatch.setattr(cooccurrence, "NAMES", 3_000)
+    rng = np.random.default_rng(4)
+    rows = [(str(i), [f"w{int(w)}" for w in np.unique(np.minimum(rng.zipf(1.15, 25), 20_000))]) for i in range(1_500)]
+    rows += [(f"x{i}", [f"w{j}" for j in range(i * 9, i * 9 + 9)]) for i in range(2_300)]
+    users, both = Counter(t for _, x in rows for t in x), Counter(p for _, x in rows for p in combinations(sorted(x), 2))
+    assert len(users) > 20_000
+    got = {(r["item_a"], r["item_b"]): (r["both"], r["users_a"], r["users_b"]) for r in co_occurrence(table(spark, rows), F.col("ids"), min_share=share).collect()}
+    assert got == {p: (n, users[p[0]], users[p[1]]) for p, n in both.items() if n >= share * len(rows)}
+
+
 def links_of(spark, left, right=None, **kw):
     links, members = similar_sets(table(spark, left), None if right is None else table(spark, right), **kw)
     return {tuple(r) for r in expand_pairs(links, members).select("left_id", "right_id").collect()}
@@ -100,6 +114,21 @@ def test_set_join_large_sets(spark):
     assert links_of(spark, left, threshold=0.8, list_rows=10) == brute(left, None, 0.8, 1)
 
 
+def test_sets_of_two_thousand_tokens_equal_brute_force(spark):
+    rng = random.Random(8)
+    left = []
+    for n in (2_000, 600, 161, 130, 128, 104, 103):
+        for _ in range(4):
+            base = rng.sample(range(6_000), n)
+            # Near the threshold on both sides of it, and across the sizes where keys change.
+            for change in (0, 0.05, 0.1, 0.111, 0.12, 0.2):
+                kept = base[int(n * change) :]
+                left += [(f"{len(left)}", [f"t{x}" for x in kept]), (f"{len(left)}b", [f"t{x}" for x in [*kept, *rng.sample(range(6_000, 9_000), int(n * change))]])]
+    want = brute(left, None, 0.8, 1)
+    assert links_of(spark, left, threshold=0.8, list_rows=7) == want == links_of(spark, left, threshold=0.8) and len(want) > 300
+    assert len(setjoin._keys(10_000, setjoin.Fraction("0.8"))) == 2_001
+
+
 def test_set_join_edge_cases(spark):
     five = list("abcde")
     left = [("p", five), ("q", five), ("q", five), ("s", [*five, None, "a"]), ("t", None), ("u", []), (None, five), ("v", list("abcd"))]

@@ -185,3 +185,25 @@ def test_agglomeration_is_average_linkage():
 def test_equal_rows_share_a_family(spark):
     got = {r["key"]: (r["lead"], r["size"]) for r in families(table(spark, [(f"e{i}", [1, 2, 3], 0) for i in range(6)] + [("x", [-1, 0, 0], 0)]), "id", "vec", "at").collect()}
     assert got == {f"e{i}": ("e0", 6) for i in range(6)}
+
+
+def test_families_of_a_whole_table_are_those_of_average_linkage(spark):
+    """sf0.01: every vector, against average linkage of all of them."""
+    import os
+
+    import pandas as pd
+
+    from kinscope.operators.clustering import linkage_labels
+
+    larger = "/root/testdata/sf0.01"
+    if not os.path.isdir(larger):
+        pytest.skip("no test tables")
+    rows = pd.read_parquet(f"{larger}/vector_space.parquet").sort_values("built_at", kind="stable").drop_duplicates("actor_id", keep="last")
+    rows = rows[[v is not None and bool(np.any(np.asarray(v, float))) for v in rows.vec]]
+    x = np.stack([np.asarray(v, float) for v in rows.vec])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = pd.DataFrame({"id": rows.actor_id.to_numpy(), "label": linkage_labels(1 - x @ x.T, threshold=1 - 0.36)})
+    own = own[own.groupby("label").id.transform("size") >= 5]
+    want = set(zip(own.id, own.groupby("label").id.transform("min")))
+    got = {(r["key"], r["lead"]) for r in families(spark.read.parquet(f"{larger}/vector_space.parquet"), "actor_id", "vec", "built_at").collect()}
+    assert len(got & want) >= 0.998 * len(want) and len(got) <= 1.002 * len(want)
