@@ -19,6 +19,8 @@ SEED_ROUNDS = 3
 # k-means ends when a round brings the rows nearer to their centres by less than SETTLED of their mean product, or after ROUNDS.
 SETTLED, ROUNDS = 0.01, 12
 REST_FACTOR, REST_SEEDS = 16.0, 4_096
+# Few rows get a seed for four of them, up to so many: families are small there.
+FEW_SEEDS = 2_048
 _ODD = 40_503
 
 
@@ -300,7 +302,7 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
     """(key, lead, typicality, size): every key whose current vector belongs to a family; lead is the family's lowest key.
 
     Vectors are hashed weighted features (`hashed`). k-means with parallel oversampled seeding splits them into
-    seed_factor * sqrt(rows) centres, in rounds until they settle (SETTLED). Centres then join by average cosine, exactly
+    seed_factor * sqrt(rows) centres (at least a quarter of the rows, up to FEW_SEEDS), in rounds until they settle (SETTLED). Centres then join by average cosine, exactly
     as average linkage would, while it is at least `threshold`; every row then goes to the nearest family mean of at least
     `threshold`, until the families stay. The rows left over go through the same again, with relatively more seeds, until a round finds no family.
     Then every row still left over is held against its own neighbourhood among them, REST_SEEDS at a time, until a sweep
@@ -331,7 +333,7 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
         sent.destroy()
         return rows, rows.count()
 
-    want = math.ceil(seed_factor * math.sqrt(n))
+    want = max(math.ceil(seed_factor * math.sqrt(n)), min(n // 4, FEW_SEEDS))
     while n >= least:
         own, new = _found(rest, min(n, max(16, want)), dims, threshold, least, 1000 * r)
         if r and len(new):
