@@ -81,14 +81,13 @@ def _hash(keys: pa.Array) -> np.ndarray:
 
 @dataclass
 class _Curves:
-    """The projection and the curves' range bounds, fitted on a bounded sample."""
+    """The projection, fitted on a bounded sample, and of every ordering the places where its ranges begin, and where their outer parts end and begin."""
 
     mean: np.ndarray
     basis: np.ndarray
     low: list[np.ndarray]
     high: list[np.ndarray]
-    cells: list[np.ndarray]
-    parts: int
+    bounds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     def project(self, x: np.ndarray) -> np.ndarray:
         width = min(x.shape[1], len(self.mean))
@@ -99,26 +98,63 @@ class _Curves:
         return hilbert(_grid(y, self.low[s], self.high[s], 200 + s), BITS) << 15 | salt
 
     @staticmethod
-    def fit(x: np.ndarray, salt: np.ndarray, parts: int, orderings: int) -> _Curves:
+    def fit(x: np.ndarray, orderings: int) -> _Curves:
         mean, basis = _principal(x, AXES * orderings)
-        c = _Curves(mean, basis, [], [], [], parts)
+        c = _Curves(mean, basis, [], [], [(np.empty(0, np.int64),) * 3] * orderings)
         z = c.project(x)
         for s in range(orderings):
-            y = _axes(s, z)
-            low, high = np.quantile(y, [0.001, 0.999], axis=0)
+            low, high = np.quantile(_axes(s, z), [0.001, 0.999], axis=0)
             c.low.append(low)
             c.high.append(high)
-            key = np.sort(c.place(s, z, salt))
-            c.cells.append(key[np.linspace(0, len(key), parts * CELLS + 1)[1:-1].astype(int).clip(0, len(key) - 1)])
         return c
 
+    def measure(self, rows: DataFrame, n: int, parts: int) -> None:
+        """Sets the bounds of `parts` even ranges out of the places of all n rows, three for each range.
+
+        The places alone are sorted by ranges of Spark's own; with the number of rows in each of these a row's rank in
+        the whole table is known, and the places of the ranks asked for are all that the driver gets.
+        """
+        if parts < 2:
+            return
+        orderings = len(self.low)
+
+        def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                if b.num_rows:
+                    z, salt = self.project(dense(b.column("ix"), b.column("vx"), int(flat(b.column("ix"), "<u2")[0].max()) + 1)), _hash(b.column("key"))
+                    for s in range(orderings):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(z), s, np.int32)), pa.array(self.place(s, z, salt))], names=["s", "place"])
+
+        from pyspark.sql import Window
+
+        keyed = materialise(rows.mapInArrow(places, "s int, place bigint"), "places")
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sorted_ = materialise(keyed.repartitionByRange(tasks, "s", "place").withColumn("task", F.spark_partition_id()), "sorted-places")
+        before, rank = sorted_.groupBy("s", "task").agg(F.count(F.lit(1)).alias("n")).orderBy("s", "task").collect(), []
+        for k, r in enumerate(before):
+            rank.append((r["s"], r["task"], 0 if not k or before[k - 1]["s"] != r["s"] else rank[-1][2] + before[k - 1]["n"]))
+        offsets = F.broadcast(rows.sparkSession.createDataFrame(rank, "s int, task int, before bigint"))
+        even = -(-n // parts)
+        edge = max(1, even // CELLS)
+        own = Window.partitionBy("s", "task").orderBy("place")
+        ranked = sorted_.withColumn("i", F.row_number().over(own) - 1).join(offsets, ["s", "task"]).select("s", "place", (F.col("i") + F.col("before")).alias("rank"))
+        wanted = {(r["s"], r["rank"]): r["place"] for r in ranked.where((F.col("rank") % even).isin(0, edge, even - edge)).collect()}
+        last = np.iinfo(np.int64).max
+        for s in range(orderings):
+            at = lambda rank: np.array([wanted.get((s, r), last) for r in rank], np.int64)  # noqa: B023, E731
+            firsts = range(0, n, even)
+            self.bounds[s] = (at([r for r in firsts if r]), at([r + edge for r in firsts]), at([r + even - edge for r in firsts]))
+
     def spread(self, s: int, z: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, partition, guest): each row goes to the partition of its range; rows of a range's outer cells also visit the neighbour."""
-        cell = np.searchsorted(self.cells[s], self.place(s, z, salt), "right")
-        part = cell // CELLS
-        rows = np.arange(len(part))
-        up = rows[(cell % CELLS == CELLS - 1) & (part < self.parts - 1)]
-        down = rows[(cell % CELLS == 0) & (part > 0)]
+        """(row, partition, guest): each row goes to the partition of its range; rows of a range's outer parts also visit the neighbour."""
+        begin, low, high = self.bounds[s]
+        rows = np.arange(len(z))
+        if not len(begin):
+            return rows, np.zeros(len(z), np.int64), np.zeros(len(z), bool)
+        place = self.place(s, z, salt)
+        part = np.searchsorted(begin, place, "right")
+        up = rows[(place >= high[part]) & (part < len(begin))]
+        down = rows[(place < low[part]) & (part > 0)]
         return np.concatenate([rows, up, down]), np.concatenate([part, part[up] + 1, part[down] - 1]), np.concatenate([np.zeros(len(rows), bool), np.ones(len(up) + len(down), bool)])
 
 
@@ -234,7 +270,7 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
     """(key, neighbour, similarity): the k most similar current vectors by cosine of every key's current vector.
 
     Vectors are projected on principal axes fitted on `SAMPLE_ROWS` rows (those with the lowest hashed keys; all rows are
-    indexed) and ordered along `orderings` Hilbert curves, each over eight further axes and with a shift of its own. An ordering is one
+    indexed, and the bounds of the ranges come from all rows) and ordered along `orderings` Hilbert curves, each over eight further axes and with a shift of its own. An ordering is one
     shuffle: rows go to range partitions of about `task_rows`, the outermost cells of a range to its neighbour as well.
     Within a range, curves of the range's own principal axes give the windows in which vectors are compared exactly;
     each vector's list travels on with it to the next ordering, so no pair of vectors is ever shuffled.
@@ -254,14 +290,15 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
     if equal:
         members = materialise(members, "equal-members")
         rows = rows.join(members.where("key <> rep").select("key"), "key", "left_anti")
-    n = packed.count()
+    n = rows.count()
     sample = rows.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS).toArrow()
     if not sample.num_rows:
         return packed.select("key", F.lit("").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)
     sample = sample.combine_chunks()
     ix, vx = (sample.column(c).chunk(0) for c in ("ix", "vx"))
     width = int(flat(ix, "<u2")[0].max()) + 1
-    curves = _Curves.fit(dense(ix, vx, width), _hash(sample.column("key").chunk(0)), max(1, -(-n // task_rows)), orderings)
+    curves, parts = _Curves.fit(dense(ix, vx, width), orderings), max(1, -(-n // task_rows))
+    curves.measure(rows, n, parts)
     lists = "nk string, ns binary"
 
     def send(s: int, x: np.ndarray, cols: list[pa.Array], nk: pa.Array, ns: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -333,7 +370,7 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
 
     chain = rows.mapInArrow(start, f"part int, guest boolean, key string, ix binary, vx binary, {lists}")
     for s in range(orderings):
-        chain = chain.repartitionById(curves.parts, "part")
+        chain = chain.repartitionById(parts, "part")
         chain = chain.mapInArrow(stage(s), f"part int, guest boolean, key string, ix binary, vx binary, {lists}" if s + 1 < orderings else "key string, nk array<string>, ns array<float>")
     found = chain.select("key", F.explode(F.arrays_zip("nk", "ns")).alias("x")).select("key", F.col("x.nk").alias("neighbour"), F.col("x.ns").cast("double").alias("similarity"))
     if at_least is not None:
@@ -348,7 +385,10 @@ def _put_back(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
     low = members.withColumn("p", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).where(F.col("p") <= k + 1)
     low = low.groupBy("rep").agg(F.collect_list("key").alias("low"))
     wide = found.join(low, found["neighbour"] == low["rep"], "left").select(found["key"].alias("own"), F.explode(F.coalesce("low", F.array("neighbour"))).alias("neighbour"), "similarity")
-    wide = wide.join(members.select(F.col("rep").alias("own"), F.col("key").alias("member")), "own", "left").select(F.coalesce("member", "own").alias("key"), "neighbour", "similarity")
+    # Inner joins can be split where a class holds a third of all keys; only rows of classes need one.
+    wide = wide.join(low.select(F.col("rep").alias("own"), F.lit(True).alias("many")), "own", "left")
+    single = wide.where("many is null").select(F.col("own").alias("key"), "neighbour", "similarity")
+    wide = single.unionByName(wide.where("many").join(members.select(F.col("rep").alias("own"), F.col("key").alias("member")), "own").select(F.col("member").alias("key"), "neighbour", "similarity"))
     same = members.join(low, "rep").select("key", F.explode("low").alias("neighbour"), F.lit(1.0).alias("similarity")).where("key <> neighbour")
     ranked = wide.unionByName(same).withColumn("p", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")))
     return ranked.where(F.col("p") <= k).drop("p")
