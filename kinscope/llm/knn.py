@@ -15,7 +15,9 @@ from kinscope.llm.common import binary, dense, flat, one, pack_vectors
 from kinscope.runtime import materialise
 
 AXES, BITS = 8, 6
-ORDERINGS, LOCAL_ORDERINGS = 3, 5
+ORDERINGS, LOCAL_ORDERINGS = 2, 3
+# Vectors are ordered by the place of their nearest centre first: so many for the table, and for a range.
+CENTRES, LOCAL_CENTRES, LOCAL_SAMPLE = 512, 128, 4_096
 TASK_ROWS, WINDOW, BLOCK, CELLS = 49_152, 256, 512, 64
 SAMPLE_ROWS = 20_000
 SEPARATOR = "\x1f"
@@ -57,6 +59,31 @@ def _principal(x: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.ascontiguousarray(e[:, ::-1][:, :components]).astype(np.float32)
 
 
+def _centres(x: np.ndarray, count: int, seed: int, rounds: int = 4) -> np.ndarray:
+    """Unit centres of a sample of unit rows, by a few rounds of k-means."""
+    c = x[np.random.default_rng(seed).choice(len(x), min(count, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        who = _owner(x, c)
+        total = np.zeros_like(c)
+        np.add.at(total, who, x)
+        size = np.linalg.norm(total, axis=1)
+        c[size > 0] = total[size > 0] / size[size > 0, None]
+    return c
+
+
+def _owner(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The centre nearest to each row."""
+    width = min(x.shape[1], c.shape[1])
+    return np.concatenate([(x[lo : lo + 8192, :width] @ c[:, :width].T).argmax(axis=1) for lo in range(0, len(x), 8192)] or [np.empty(0, np.int64)])
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the sorted ones."""
+    out = np.empty(len(keys), np.int64)
+    out[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+    return out
+
+
 def _axes(r: int, z: np.ndarray) -> np.ndarray:
     """The principal axes of the r-th curve: the next eight, so that each curve tells apart what those before could not."""
     n = z.shape[1]
@@ -87,25 +114,32 @@ class _Curves:
     basis: np.ndarray
     low: list[np.ndarray]
     high: list[np.ndarray]
+    centres: list[np.ndarray]
+    order: list[np.ndarray]
     bounds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     def project(self, x: np.ndarray) -> np.ndarray:
         width = min(x.shape[1], len(self.mean))
         return x[:, :width] @ self.basis[:width] - self.mean @ self.basis
 
-    def place(self, s: int, z: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        y = _axes(s, z)
-        return hilbert(_grid(y, self.low[s], self.high[s], 200 + s), BITS) << 15 | salt
+    def place(self, s: int, x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """63 bits: the place of the row's nearest centre on the curve, then the row's own, then its salt."""
+        y = _axes(s, self.project(x))
+        own = hilbert(_grid(y, self.low[s], self.high[s], 200 + s), BITS) >> 10
+        return self.order[s][_owner(x, self.centres[s])] << 53 | own << 15 | salt
 
     @staticmethod
     def fit(x: np.ndarray, orderings: int) -> _Curves:
         mean, basis = _principal(x, AXES * orderings)
-        c = _Curves(mean, basis, [], [], [(np.empty(0, np.int64),) * 3] * orderings)
+        c = _Curves(mean, basis, [], [], [], [], [(np.empty(0, np.int64),) * 3] * orderings)
         z = c.project(x)
         for s in range(orderings):
             low, high = np.quantile(_axes(s, z), [0.001, 0.999], axis=0)
             c.low.append(low)
             c.high.append(high)
+            c.centres.append(_centres(x, CENTRES, 300 + s))
+            y = _axes(s, c.project(c.centres[s]))
+            c.order.append(_ranks(hilbert(_grid(y, *np.quantile(y, [0.001, 0.999], axis=0), 200 + s), BITS)))
         return c
 
     def measure(self, rows: DataFrame, n: int, parts: int) -> None:
@@ -116,14 +150,14 @@ class _Curves:
         """
         if parts < 2:
             return
-        orderings = len(self.low)
+        orderings, sent = len(self.low), rows.sparkSession.sparkContext.broadcast(self)
 
         def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 if b.num_rows:
-                    z, salt = self.project(dense(b.column("ix"), b.column("vx"), int(flat(b.column("ix"), "<u2")[0].max()) + 1)), _hash(b.column("key"))
+                    x, salt = dense(b.column("ix"), b.column("vx"), int(flat(b.column("ix"), "<u2")[0].max()) + 1), _hash(b.column("key"))
                     for s in range(orderings):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(z), s, np.int32)), pa.array(self.place(s, z, salt))], names=["s", "place"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), s, np.int32)), pa.array(sent.value.place(s, x, salt))], names=["s", "place"])
 
         from pyspark.sql import Window
 
@@ -145,13 +179,13 @@ class _Curves:
             firsts = range(0, n, even)
             self.bounds[s] = (at([r for r in firsts if r]), at([r + edge for r in firsts]), at([r + even - edge for r in firsts]))
 
-    def spread(self, s: int, z: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spread(self, s: int, x: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, partition, guest): each row goes to the partition of its range; rows of a range's outer parts also visit the neighbour."""
         begin, low, high = self.bounds[s]
-        rows = np.arange(len(z))
+        rows = np.arange(len(x))
         if not len(begin):
-            return rows, np.zeros(len(z), np.int64), np.zeros(len(z), bool)
-        place = self.place(s, z, salt)
+            return rows, np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        place = self.place(s, x, salt)
         part = np.searchsorted(begin, place, "right")
         up = rows[(place >= high[part]) & (part < len(begin))]
         down = rows[(place < low[part]) & (part > 0)]
@@ -217,8 +251,8 @@ class _Best:
 
 
 def _windows(x: np.ndarray, code: np.ndarray, best: _Best, exact, seed: int) -> None:
-    """Finds neighbours within one range of a curve: the range is ordered anew by several curves of its own principal
-    axes, and on each every vector meets those within `WINDOW` places, or more, by block products."""
+    """Finds neighbours within one range of a curve: the range is ordered anew by several curves of its own centres and
+    principal axes, and on each every vector meets those within `WINDOW` places, or more, by block products."""
     n = len(x)
     if n < 2:
         return
@@ -232,7 +266,12 @@ def _windows(x: np.ndarray, code: np.ndarray, best: _Best, exact, seed: int) ->
         else:
             y = _axes(r, z)
             low, high = np.quantile(y[:: max(1, n // 5000)], [0.001, 0.999], axis=0)
-            order = np.argsort(hilbert(_grid(y, low, high, seed + 10 * r), BITS), kind="stable")
+            own = hilbert(_grid(y, low, high, seed + 10 * r), BITS)
+            pick = np.random.default_rng(seed + r).choice(n, min(n, LOCAL_SAMPLE), replace=False)
+            c = _centres(x[pick], min(LOCAL_CENTRES, n // 4), seed + r)
+            yc = ((c - mean) @ basis)[:, : min(AXES, basis.shape[1])]
+            centre = _ranks(hilbert(_grid(yc, *np.quantile(yc, [0.001, 0.999], axis=0), seed + r), BITS))
+            order = np.lexsort((own, centre[_owner(x, c)]))
         xo, least = x[order], best.sim[order, -1].copy()
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo in range(0, n, BLOCK):
@@ -270,9 +309,11 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
     """(key, neighbour, similarity): the k most similar current vectors by cosine of every key's current vector.
 
     Vectors are projected on principal axes fitted on `SAMPLE_ROWS` rows (those with the lowest hashed keys; all rows are
-    indexed, and the bounds of the ranges come from all rows) and ordered along `orderings` Hilbert curves, each over eight further axes and with a shift of its own. An ordering is one
+    indexed, and the bounds of the ranges come from all rows) and ordered along `orderings` Hilbert curves, each with a shift of its own: first by the place of the
+    nearest of CENTRES centres of the sample (others for each curve), so that like vectors stay together however many
+    ranges there are, then by the vector's own place over eight further axes. An ordering is one
     shuffle: rows go to range partitions of about `task_rows`, the outermost cells of a range to its neighbour as well.
-    Within a range, curves of the range's own principal axes give the windows in which vectors are compared exactly;
+    Within a range, curves of the range's own centres and axes give the windows in which vectors are compared exactly;
     each vector's list travels on with it to the next ordering, so no pair of vectors is ever shuffled.
     Keys of equal vectors share one representative in the curves and are put back at the end, so a vector that a third
     of all keys have costs no more. Ties go to the lower key.
@@ -299,10 +340,12 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
     width = int(flat(ix, "<u2")[0].max()) + 1
     curves, parts = _Curves.fit(dense(ix, vx, width), orderings), max(1, -(-n // task_rows))
     curves.measure(rows, n, parts)
+    # Bounded: the centres of every ordering, and three places a range.
+    curves = df.sparkSession.sparkContext.broadcast(curves)
     lists = "nk string, ns binary"
 
     def send(s: int, x: np.ndarray, cols: list[pa.Array], nk: pa.Array, ns: pa.Array) -> Iterator[pa.RecordBatch]:
-        row, part, guest = curves.spread(s, curves.project(x), _hash(cols[0]))
+        row, part, guest = curves.value.spread(s, x, _hash(cols[0]))
         at = pa.array(row)
         core = int((~guest).sum())
         lists = [pa.concat_arrays([c.take(at[:core]), pa.nulls(len(row) - core, c.type)]) for c in (nk, ns)]
