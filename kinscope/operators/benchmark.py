@@ -30,12 +30,6 @@ def artefacts(edges: DataFrame, config: Config = Config()) -> tuple[DataFrame, D
     return kept, weights, vector_space(kept, weights)
 
 
-def exploded(plan: DataFrame) -> DataFrame:
-    """A plan with lists, as of `proportional_plan`, in the long form of `hashed_plan`; noise is not told apart."""
-    rows = plan.select(F.col("trial_id").cast("string").alias("trial_id"), "entity_id", F.explode("feature_ids").alias("feature_id"), "feature_count")
-    return rows.withColumn("is_noise", F.lit(False))
-
-
 def run_trials(edges: DataFrame, plan: DataFrame, config: Config = Config()) -> DataFrame:
     """(trial_id, entity_id, sample_size, feature_count, noise_count, rank, top_score, confidence, level): one row a trial; rank -1 is a miss.
 
@@ -46,7 +40,7 @@ def run_trials(edges: DataFrame, plan: DataFrame, config: Config = Config()) ->
     queries = plan.select(F.col("trial_id").alias("query_id"), "feature_id")
     scores = materialise(leaders(score(space, queries, weights, config), max(2, config.top_k)), "trial-leaders")
     ranked = rank(scores, config)
-    heads = plan.groupBy("trial_id", "entity_id").agg(F.count(F.lit(1)).cast("int").alias("sample_size"), F.first("feature_count").alias("feature_count"), F.count_if("is_noise").cast("int").alias("noise_count"))
+    heads = plan.groupBy("trial_id", "entity_id").agg(F.count(F.lit(1)).cast("int").alias("sample_size"), F.max("feature_count").alias("feature_count"), F.count_if("is_noise").cast("int").alias("noise_count"))
     own = ranked.select(F.col("query_id").alias("trial_id"), "entity_id", "rank")
     best = ranked.where("rank = 1").select(F.col("query_id").alias("trial_id"), F.col("score").alias("top_score"))
     sure = confidence(scores, space, queries, weights, config).select(F.col("query_id").alias("trial_id"), F.col("score").alias("confidence"), "level")

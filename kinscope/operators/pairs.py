@@ -42,8 +42,8 @@ def dense(pairs: DataFrame, entities: DataFrame, metric: str = "cosine", limit:
     """(left_id, right_id, score): the full square matrix, zeros and diagonal included, for a number of entities that a matrix suits.
 
     The diagonal is 1; for Jaccard an entity without features has 0, as its union is empty. The zero pairs come from
-    pairing all ids, which is what the matrix asks for, so the number of entities is checked against `limit`; beyond it
-    the pairs that share something are all there is.
+    pairing all ids, which is what the matrix asks for, so the number of entities is checked against `limit`: more are an
+    error, and `pair_similarity` is the form for them.
     """
     ids = entities.select("entity_id", "features")
     if ids.limit(limit + 1).count() > limit:
@@ -133,3 +133,9 @@ def comparison_summary(space: DataFrame, left: str, right: str) -> DataFrame:
     row = both.agg(F.count_if(has).alias("shared"), F.count_if(F.col("ub").isNull()).alias("only_left"), F.count_if(F.col("ua").isNull()).alias("only_right"), F.sum(F.col("ua") * F.col("ub")).alias("dot"), F.avg(F.when(has, F.col("w"))).alias("mean_w"))
     union = F.col("shared") + F.col("only_left") + F.col("only_right")
     return row.select("shared", "only_left", "only_right", F.round(F.coalesce(F.col("shared") / F.nullif(union, F.lit(0)), F.lit(0.0)), DIGITS).alias("jaccard"), F.round(F.least(F.lit(1.0), F.coalesce("dot", F.lit(0.0))), DIGITS).alias("cosine"), F.round(F.coalesce("mean_w", F.lit(0.0)), DIGITS).alias("mean_shared_w"))
+
+
+def shared_heat(space: DataFrame, heated: DataFrame, left: str, right: str) -> DataFrame:
+    """One row: the number of features two entities share and the mean heat of these; 0 without any."""
+    both = space.where(F.col("entity_id").isin(left, right)).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").join(heated.select("feature_id", "heat"), "feature_id")
+    return both.agg(F.count(F.lit(1)).alias("shared"), F.round(F.coalesce(F.avg("heat"), F.lit(0.0)), DIGITS).alias("mean_heat"))

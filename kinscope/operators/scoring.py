@@ -105,3 +105,9 @@ def matched_and_missing(ranked: DataFrame, space: DataFrame, queries: DataFrame,
     rows = ranked.select("query_id", "entity_id").join(q, "query_id").join(space.select("entity_id", "feature_id", F.lit(True).alias("has")), ["entity_id", "feature_id"], "left")
     gather = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("feature_id"))))
     return rows.groupBy("query_id", "entity_id").agg(gather(F.col("has").isNotNull()).alias("matched_ids"), gather(F.col("has").isNull()).alias("missing_ids"))
+
+
+def relative_gap(ranked: DataFrame) -> DataFrame:
+    """Adds `gap`: how far a candidate lies behind the one before it, as a share of that one's score; null for the first."""
+    before = F.lag("score").over(Window.partitionBy("query_id").orderBy("rank"))
+    return ranked.withColumn("gap", F.round((before - F.col("score")) / F.nullif(before, F.lit(0.0)), DIGITS))

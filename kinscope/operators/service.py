@@ -14,9 +14,10 @@ from kinscope.operators.clustering import cluster_labels, cluster_profile, layou
 from kinscope.operators.confidence import confidence, reasons
 from kinscope.operators.pairs import compare, comparison_summary, nearest
 from kinscope.operators.sampling import _mark, noise_pool
-from kinscope.operators.scoring import DIGITS, evidence, known_features, matched_and_missing, query_frame, rank, score
+from kinscope.operators.scoring import DIGITS, evidence, known_features, leaders, matched_and_missing, query_frame, rank, score
 from kinscope.operators.search import resolve
 from kinscope.operators.weighting import heat
+from kinscope.runtime import materialise
 
 DISCLAIMER = "Scores measure likeness of behaviour. They are no statement about who is behind it."
 
@@ -81,7 +82,7 @@ class Station:
         check_request(features, top_k, config=self.config)
         own = replace(self.config, top_k=top_k) if top_k else self.config
         q = query_frame(self.spark, {"q": features})
-        scores = score(self.space, q, self.weights, own)
+        scores = materialise(score(self.space, q, self.weights, own), "scores")
         ranked = rank(scores, own).join(self.names, "entity_id", "left").withColumn("entity_name", F.coalesce("entity_name", "entity_id"))
         return {
             "candidates": ranked,
@@ -160,12 +161,17 @@ class Station:
         return row["entity_id"], features
 
 
+def _leading(space: DataFrame, queries: DataFrame, weights: DataFrame, config: Config) -> DataFrame:
+    """The best rows of each query, written once: ranks, lists, evidence and confidence need no others."""
+    return materialise(leaders(score(space, queries, weights, config), max(2, config.top_k)), "leaders")
+
+
 def result_rows(space: DataFrame, queries: DataFrame, weights: DataFrame, names: DataFrame, config: Config = Config()) -> DataFrame:
     """One row for every query and candidate: rank, score, coverage, lists, evidence as text, and the query's confidence; the flat form of a result.
 
     A query without candidates has one row with a null candidate and level low.
     """
-    scores = score(space, queries, weights, config)
+    scores = _leading(space, queries, weights, config)
     ranked = rank(scores, config)
     lists = matched_and_missing(ranked, space, queries, weights)
     proof = evidence(ranked, space, queries, weights, config)
@@ -178,7 +184,7 @@ def result_rows(space: DataFrame, queries: DataFrame, weights: DataFrame, names:
 
 def nested_results(space: DataFrame, queries: DataFrame, weights: DataFrame, config: Config = Config()) -> DataFrame:
     """One row a query with its candidates, evidence and confidence nested, as a document."""
-    scores = score(space, queries, weights, config)
+    scores = _leading(space, queries, weights, config)
     ranked = rank(scores, config)
     proof = evidence(ranked, space, queries, weights, config).groupBy("query_id", "entity_id").agg(F.array_sort(F.collect_list(F.struct("place", "feature_id", "feature_name", "w", "share"))).alias("evidence"))
     lists = matched_and_missing(ranked, space, queries, weights)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinscope.config import SCHEMES
+from kinscope.functions.text import fold, fold_text
 
 
 def entity_count(edges: DataFrame) -> DataFrame:
@@ -86,3 +87,35 @@ def normalized_rarity(features: DataFrame, weights: DataFrame, by: list[str]) ->
     rows = features.select(*by, "feature_id").join(weights.select("feature_id", "rarity"), "feature_id", "left").crossJoin(F.broadcast(span))
     mean = rows.groupBy(*by).agg(F.avg(F.coalesce("rarity", "low")).alias("mean"), F.max("high").alias("high"))
     return mean.select(*by, F.when(F.col("high") > 0, F.col("mean") / F.nullif(F.col("high"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("rarity"))
+
+
+# The phases of an intrusion in the order of a matrix's columns.
+CATEGORY_ORDER = ["reconnaissance", "resource-development", "initial-access", "execution", "persistence", "privilege-escalation", "defense-evasion", "stealth", "defense-impairment", "credential-access", "discovery", "lateral-movement", "collection", "command-and-control", "exfiltration", "impact"]
+
+
+def category_place(category: Column) -> Column:
+    """The column of a category in the matrix; unknown ones come after all known."""
+    at = F.array_position(F.array(*[F.lit(c) for c in CATEGORY_ORDER]), category)
+    return F.when(at > 0, at - 1).otherwise(F.lit(len(CATEGORY_ORDER)))
+
+
+def category_title(category: Column) -> Column:
+    """A category's name for display: words from its hyphens, each with a capital; in known ones 'and' stays small."""
+    title = F.initcap(F.regexp_replace(category, "-", " "))
+    return F.when(category_place(category) < len(CATEGORY_ORDER), F.regexp_replace(title, " And ", " and ")).otherwise(title)
+
+
+def category_table(features: DataFrame) -> DataFrame:
+    """(place, category, title, features) of features (technique_id, category), in the order of the matrix, unknown categories last by name."""
+    counts = features.groupBy("category").agg(F.countDistinct("technique_id").alias("features"))
+    return counts.select(category_place(F.col("category")).alias("place"), "category", category_title(F.col("category")).alias("title"), "features").orderBy("place", "category")
+
+
+def matrix_view(heated: DataFrame, categories: DataFrame, text: str = "") -> DataFrame:
+    """(column, row, category, feature_id, feature_name, heat): the features of each category, hottest first, those whose id or name holds the text."""
+    needle = fold_text(text).strip()
+    rows = heated.join(categories, "feature_id")
+    if needle:
+        rows = rows.where((F.instr(F.lower("feature_id"), needle) > 0) | (F.instr(fold(F.col("feature_name")), needle) > 0))
+    order = Window.partitionBy("category").orderBy(F.desc(F.round("heat", 6)), "feature_id")
+    return rows.select(category_place(F.col("category")).alias("column"), F.row_number().over(order).alias("row"), "category", "feature_id", "feature_name", "heat")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinscope.config import Config
-from kinscope.operators.clustering import MATRIX_LIMIT, clusters, layout
+from kinscope.operators.clustering import clusters, layout
 from kinscope.operators.pairs import pair_similarity
 from kinscope.operators.service import Station
 from kinscope.operators.vectors import vector_space
@@ -44,7 +43,7 @@ def build_dataset(space: Workspace, entities: DataFrame, edges: DataFrame, catal
 def build_engine(space: Workspace, config: Config = Config(), *, with_clusters: bool = True, with_pairs: bool = True) -> None:
     """Writes the second stage out of the first: weights, vectors, pairs, clusters and map.
 
-    Pairs grow with the square of the entities, clusters and the map need the whole matrix; both can be left out.
+    Pairs grow with the square of the users of a feature; they, and clusters and map, can be left out.
     """
     config.validate()
     edges = space.read("edges")
@@ -69,6 +68,6 @@ def load(space: Workspace, config: Config = Config()) -> Station:
     """The service over a folder; what is missing of pairs, clusters and map is computed when it is asked for."""
     vectors, weights, edges = space.read("space"), space.read("weights"), space.read("edges")
     pairs = space.read("pairs") if space.has("pairs") else pair_similarity(vectors, config.metric)
-    own = space.read("clusters") if space.has("clusters") else clusters(pairs, vectors, config) if vectors.select("entity_id").distinct().count() <= MATRIX_LIMIT else vectors.select("entity_id", F.lit(-1).alias("cluster_id")).distinct()
+    own = space.read("clusters") if space.has("clusters") else clusters(pairs, vectors, config)
     names = space.read("entities").select("entity_id", "entity_name")
     return Station(edges, weights, vectors, names, pairs, own, config, space.read("layout") if space.has("layout") else None)

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from kinscope.config import Config
 from kinscope.functions import ids, text
-from kinscope.operators import clustering, metrics, normalize, pairs, sampling, scoring, search, service, vectors, weighting
+from kinscope.operators import benchmark, case_study, clustering, metrics, normalize, pairs, sampling, scoring, search, service, vectors, weighting
 from kinscope.operators.benchmark import run_trials
 from kinscope.operators.components import components
 from kinscope.operators.confidence import confidence
 from kinscope.plans.sql import ORACLES as ORACLES
 from kinscope.sources import bundle
 from kinscope.sources.tables import actor_edges, actor_entities, event_edges, order_edges, technique_names
-from kinscope.runtime import materialise, table
+from kinscope.runtime import current_rows, materialise, table
 from kinscope.streaming.observations import observation_stream, rank_changes, run_once, windowed_counts
 
 QUERIES = {}
@@ -41,30 +41,11 @@ def _space(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, folder: str) -> DataFrame:
-    """(query_id, feature_id): the first twelve features of the three users with the lowest ids, and one feature nobody has."""
-    e = event_edges(spark, folder)
-    three = e.select("entity_id").distinct().orderBy("entity_id").limit(3)
-    rows = e.join(F.broadcast(three), "entity_id").withColumn("p", F.row_number().over(Window.partitionBy("entity_id").orderBy("feature_id"))).where("p <= 12")
-    known = rows.select(F.col("entity_id").alias("query_id"), "feature_id")
-    return known.unionByName(three.select(F.col("entity_id").alias("query_id"), F.lit("unseen|0").alias("feature_id")))
-
-
-def _whole_queries(spark: SparkSession, folder: str) -> DataFrame:
     """(query_id, feature_id): every feature of every user whose id is divisible by 20, and one feature nobody has."""
     known = event_edges(spark, folder).where(F.col("entity_id").cast("bigint") % 20 == 0).select(F.col("entity_id").alias("query_id"), "feature_id")
     return known.unionByName(known.select("query_id").distinct().withColumn("feature_id", F.lit("unseen|0")))
 
 
-def searched(f):
-    """Registers the query as it is, for the few searches that its SQL has, and as NAME_whole for all searches of the job."""
-
-    def whole(spark, folder):
-        return f(spark, folder, _whole_queries)
-
-    QUERIES[f"{f.__name__}_whole"] = whole
-    return query(f)
-
-
 @query
 def feature_frequency(spark, folder):
     return _r(weighting.feature_frequency(actor_edges(spark, folder), technique_names(spark, folder)), "entity_ratio")
@@ -96,9 +77,9 @@ def vector_space(spark, folder):
     return _r(_space(spark, folder), "w", "u")
 
 
-@searched
-def query_vectors(spark, folder, asked=_queries):
-    return _r(vectors.query_vectors(asked(spark, folder), _weights(spark, folder)), "w", "u")
+@query
+def query_vectors(spark, folder):
+    return _r(vectors.query_vectors(_queries(spark, folder), _weights(spark, folder)), "w", "u")
 
 
 @query
@@ -106,66 +87,73 @@ def entity_totals(spark, folder):
     return _r(vectors.entity_totals(vectors.vector_space(actor_edges(spark, folder), weighting.feature_weights(actor_edges(spark, folder)))), "total")
 
 
-def _scores(spark, folder, asked, **config):
-    return scoring.score(_space(spark, folder), asked(spark, folder), _weights(spark, folder), Config(**config))
+def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(weights, space, queries), weights and space written once as an engine's build does."""
+    w = materialise(_weights(spark, folder), "weights")
+    return w, materialise(vectors.vector_space(event_edges(spark, folder), w), "space"), _queries(spark, folder)
 
 
-@searched
-def scores_cosine(spark, folder, asked=_queries):
-    return _scores(spark, folder, asked)
+def _scores(spark, folder, **config):
+    return scoring.score(_space(spark, folder), _queries(spark, folder), _weights(spark, folder), Config(**config))
 
 
-@searched
-def scores_cosine_uncorrected(spark, folder, asked=_queries):
-    return _scores(spark, folder, asked, coverage_correction=False)
+@query
+def scores_cosine(spark, folder):
+    return _scores(spark, folder)
 
 
-@searched
-def scores_jaccard(spark, folder, asked=_queries):
-    return _scores(spark, folder, asked, metric="jaccard")
+@query
+def scores_cosine_uncorrected(spark, folder):
+    return _scores(spark, folder, coverage_correction=False)
 
 
-@searched
-def scores_weighted_jaccard(spark, folder, asked=_queries):
-    return _scores(spark, folder, asked, metric="weighted_jaccard")
+@query
+def scores_jaccard(spark, folder):
+    return _scores(spark, folder, metric="jaccard")
 
 
-@searched
-def candidates(spark, folder, asked=_queries):
-    return scoring.rank(_scores(spark, folder, asked)).withColumn("rank", F.col("rank").cast("bigint"))
+@query
+def scores_weighted_jaccard(spark, folder):
+    return _scores(spark, folder, metric="weighted_jaccard")
+
+
+@query
+def candidates(spark, folder):
+    return scoring.rank(_scores(spark, folder)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@searched
-def candidate_evidence(spark, folder, asked=_queries):
-    w, s, q = _weights(spark, folder), _space(spark, folder), asked(spark, folder)
+@query
+def candidate_evidence(spark, folder):
+    w, s, q = _stored(spark, folder)
     return scoring.evidence(scoring.rank(scoring.score(s, q, w)), s, q, w).withColumn("place", F.col("place").cast("bigint"))
 
 
-@searched
-def matched_and_missing(spark, folder, asked=_queries):
-    w, s, q = _weights(spark, folder), _space(spark, folder), asked(spark, folder)
+@query
+def matched_and_missing(spark, folder):
+    w, s, q = _stored(spark, folder)
     rows = scoring.matched_and_missing(scoring.rank(scoring.score(s, q, w)), s, q, w)
     return rows.select("query_id", "entity_id", F.array_join("matched_ids", ",").alias("matched"), F.array_join("missing_ids", ",").alias("missing"))
 
 
-@searched
-def query_confidence(spark, folder, asked=_queries):
-    w, s, q = _weights(spark, folder), _space(spark, folder), asked(spark, folder)
+@query
+def query_confidence(spark, folder):
+    w, s, q = _stored(spark, folder)
     return confidence(scoring.score(s, q, w), s, q, w)
 
 
-@searched
-def query_result(spark, folder, asked=_queries):
+@query
+def query_result(spark, folder):
     """The flagship: candidates with lists and evidence, and the confidence of each query."""
-    w, s, q = _weights(spark, folder), _space(spark, folder), asked(spark, folder)
+    w, s, q = _stored(spark, folder)
     names = s.select("entity_id").distinct().withColumn("entity_name", F.concat(F.lit("user "), "entity_id"))
     return service.result_rows(s, q, w, names).drop("evidence")
 
 
-@searched
-def query_documents(spark, folder, asked=_queries):
+@query
+def query_documents(spark, folder):
     """Each result as a nested JSON document."""
-    return service.result_document(service.nested_results(_space(spark, folder), asked(spark, folder), _weights(spark, folder)))
+    w, s, q = _stored(spark, folder)
+    return service.result_document(service.nested_results(s, q, w))
 
 
 def _pairs(spark, folder, metric="cosine"):
@@ -309,20 +297,10 @@ def _named(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "raw_actors").select("attack_id", F.explode(names).alias("text"))
 
 
-def _keyed(names: DataFrame, slug) -> DataFrame:
-    return names.select("attack_id", text.alias_key(slug(F.col("text"))).alias("key")).where("key is not null").distinct()
-
-
 @query
 def alias_keys(spark, folder):
-    """Usable alias keys of the names that are plain ASCII, as SQL can tell them; `alias_keys_whole` has all."""
-    return _keyed(_named(spark, folder).where(F.col("text").rlike(r"^[\x20-\x7E]+$")), text.ascii_slug)
-
-
-@query
-def alias_keys_whole(spark, folder):
     """Usable alias keys of every name and alias, in any script."""
-    return _keyed(_named(spark, folder), text.slug)
+    return _named(spark, folder).select("attack_id", text.alias_key(text.slug(F.col("text"))).alias("key")).where("key is not null").distinct()
 
 
 @query
@@ -361,7 +339,7 @@ def search_features(spark, folder):
 
 @query
 def search_entities(spark, folder):
-    return search.search_entities(actor_entities(spark, folder).where(F.col("entity_name").isNotNull()), "compass", 8).select(F.col("place").cast("bigint").alias("place"), "entity_id", "entity_name", "score")
+    return search.search_entities(actor_entities(spark, folder).where(F.col("entity_name").isNotNull()), "compass", 8).select(F.col("place").cast("bigint").alias("place"), "entity_id", "entity_name", "matched_alias", "score")
 
 
 @query
@@ -370,16 +348,191 @@ def trial_plan(spark, folder):
     return rows.select("trial_id", "entity_id", "feature_id", F.col("feature_count").cast("bigint").alias("feature_count"))
 
 
+def _plan(spark, folder, **design) -> DataFrame:
+    return materialise(sampling.hashed_plan(event_edges(spark, folder), **design), "plan")
+
+
 @query
 def retrieval_trials(spark, folder):
     """The trials of regime A, each scored against all users."""
-    e = event_edges(spark, folder)
-    return run_trials(e, materialise(sampling.hashed_plan(e), "plan"))
+    return _counted(run_trials(event_edges(spark, folder), _plan(spark, folder)))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c, t in df.dtypes if t == "int"})
 
 
 @query
 def retrieval_report(spark, folder):
-    return metrics.report(retrieval_trials(spark, folder))
+    return metrics.report(run_trials(event_edges(spark, folder), _plan(spark, folder)))
+
+
+@query
+def regime_b_report(spark, folder):
+    """A quarter of the features: three runs over one plan."""
+    return benchmark.run_regime(event_edges(spark, folder), "B")[0]
+
+
+@query
+def regime_c_report(spark, folder):
+    """A quarter of the features and noise by prevalence: three runs over one plan."""
+    return benchmark.run_regime(event_edges(spark, folder), "C")[0]
+
+
+@query
+def regime_c_test(spark, folder):
+    """Smooth idf against binary weights in regime C, paired by entity."""
+    return _r(benchmark.run_regime(event_edges(spark, folder), "C")[1], "p")
+
+
+@query
+def ablations(spark, folder):
+    """Every ablation over the plan of regime B."""
+    return benchmark.run_comparisons(event_edges(spark, folder), _plan(spark, folder, fraction=0.25))
+
+
+@query
+def noise_plan(spark, folder):
+    """The trials of regime C with their noise."""
+    return _counted(sampling.hashed_plan(event_edges(spark, folder), fraction=0.25, noise_ratio=0.3))
+
+
+@query
+def fixed_plan(spark, folder):
+    return _counted(sampling.fixed_plan(event_edges(spark, folder), trials=2)).drop("is_noise")
+
+
+@query
+def plan_summary(spark, folder):
+    return _counted(sampling.plan_summary(sampling.hashed_plan(event_edges(spark, folder)))).select("sample_size", "trials")
+
+
+@query
+def skipped_entities(spark, folder):
+    return _counted(sampling.skipped(event_edges(spark, folder), 0.05))
+
+
+def _first(spark, folder) -> str:
+    return _two(spark, folder)[0]
+
+
+@query
+def case_features(spark, folder):
+    return _counted(case_study.feature_table(_space(spark, folder), _weights(spark, folder), _first(spark, folder)))
+
+
+@query
+def case_candidates(spark, folder):
+    """The rarest and the most common features of one user as queries, and who answers to them."""
+    w, s, own = _weights(spark, folder), _space(spark, folder), _first(spark, folder)
+    asked = scoring.query_frame(spark, case_study.contrast_queries(case_study.feature_table(s, w, own)))
+    return _counted(case_study.candidates_frame(scoring.rank(scoring.score(s, asked, w)), own))
+
+
+def _station(spark, folder) -> service.Station:
+    e, w, s = event_edges(spark, folder), _weights(spark, folder), _space(spark, folder)
+    names = e.select("entity_id").distinct().withColumn("entity_name", F.concat(F.lit("user "), "entity_id"))
+    return service.Station(e, w, s, names, pairs.pair_similarity(s), _assigned(e))
+
+
+@query
+def dossier_features(spark, folder):
+    return _r(_station(spark, folder).dossier(_first(spark, folder))["features"], "w", "u")
+
+
+@query
+def dossier_neighbours(spark, folder):
+    return _counted(_station(spark, folder).dossier(_first(spark, folder))["neighbours"])
+
+
+@query
+def dossier_mates(spark, folder):
+    return _station(spark, folder).dossier(_two(spark, folder)[1])["mates"]
+
+
+@query
+def request_noise(spark, folder):
+    """Features of other users added to a request of five."""
+    station = _station(spark, folder)
+    five = [r[0] for r in event_edges(spark, folder).select("feature_id").distinct().orderBy("feature_id").limit(5).collect()]
+    return station.noise(five, 1.0)
+
+
+@query
+def blind_case(spark, folder):
+    entity, features = _station(spark, folder).blind_case()
+    return spark.createDataFrame([(entity, f) for f in features], "entity_id string, feature_id string")
+
+
+@query
+def overview_clusters(spark, folder):
+    return _station(spark, folder).overview()["clusters"]
+
+
+@query
+def overview_categories(spark, folder):
+    """Tactics in their order with title and number of techniques."""
+    return _counted(weighting.category_table(table(spark, folder, "techniques").select("technique_id", F.explode(ids.split_list(F.col("tactics"))).alias("category"))))
+
+
+@query
+def matrix_view(spark, folder):
+    """Techniques of each tactic by heat, those with a text in id or name."""
+    w = weighting.heat(weighting.feature_weights(actor_edges(spark, folder), names=technique_names(spark, folder)))
+    t = table(spark, folder, "techniques").select(F.col("technique_id").alias("feature_id"), F.explode(ids.split_list(F.col("tactics"))).alias("category"))
+    return _counted(_r(weighting.matrix_view(w, t, "10"), "heat"))
+
+
+@query
+def relative_gaps(spark, folder):
+    """How far each candidate lies behind the one before it, as a share of that one's score."""
+    return _counted(scoring.relative_gap(scoring.rank(_scores(spark, folder)))).select("query_id", "entity_id", "rank", "gap")
+
+
+@query
+def comparison_heat(spark, folder):
+    return pairs.shared_heat(_space(spark, folder), weighting.heat(_weights(spark, folder)), *_two(spark, folder))
+
+
+@query
+def loners(spark, folder):
+    """Entities in no cluster."""
+    return clustering.loners(_assigned(event_edges(spark, folder)))
+
+
+@query
+def distances(spark, folder):
+    return _pairs(spark, folder).select("left_id", "right_id", F.round(clustering.distance(F.col("score")), 6).alias("distance"))
+
+
+@query
+def binary_space(spark, folder):
+    return vectors.to_binary(_space(spark, folder)).groupBy("entity_id").agg(F.sum("present").alias("features"))
+
+
+@query
+def vocabulary(spark, folder):
+    return vectors.vocabulary(actor_edges(spark, folder))
+
+
+@query
+def typed_lists(spark, folder):
+    """Lists of ids as text, and read back as a person's input: distinct ids and whether the text looks like a list."""
+    t = table(spark, folder, "candidates").where("candidate_id is not null").groupBy("candidate_id").agg(F.max(ids.join_list(F.col("missing_technique_ids"))).alias("typed"))
+    return t.select("candidate_id", "typed", F.size(text.typed_ids(F.col("typed"))).cast("bigint").alias("ids"), text.looks_like_list(F.col("typed")).alias("is_list"))
+
+
+@query
+def rolled_up_sets(spark, folder):
+    """Every actor's list of ids normalised."""
+    return current_rows(table(spark, folder, "actors"), "actor_id", "built_at", "technique_ids").select("actor_id", F.array_join(ids.id_set(F.col("technique_ids")), ",").alias("ids"))
+
+
+@query
+def all_names(spark, folder):
+    """Current actors with their name and aliases."""
+    own = actor_entities(spark, folder)
+    return own.select("entity_id", F.explode(F.concat(F.array("entity_name"), text.clean_aliases(F.col("entity_name"), F.col("aliases")))).alias("name")).where("name is not null")
 
 
 def _trials(spark, folder) -> DataFrame:
@@ -404,7 +557,7 @@ def hardest_entities(spark, folder):
 @query
 def paired_comparison(spark, folder):
     t = _trials(spark, folder)
-    return metrics.paired_test(t.where("query_id % 2 = 0"), t.where("query_id % 2 = 1")).drop("p")
+    return _r(metrics.paired_test(t.where("query_id % 2 = 0"), t.where("query_id % 2 = 1")), "p")
 
 
 @query

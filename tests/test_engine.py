@@ -179,6 +179,41 @@ def test_clusters_and_map(spark):
         clustering.clusters(sim, edges, limit=3)
 
 
+def test_clusters_of_a_hundred_thousand_entities(spark):
+    """Groups of ten, alike among themselves; a link to the next group is too weak for the average, not for the nearest."""
+    n = 100_000
+    inside = spark.range(n).select((F.col("id") - F.col("id") % 10).alias("g"), "id").select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), "g").select("id", (F.col("g") + F.col("k")).alias("other")).where("id < other")
+    name = lambda c: F.format_string("e%06d", F.col(c))
+    sim = inside.select(name("id").alias("left_id"), name("other").alias("right_id"), F.lit(0.8).alias("score"))
+    bridges = spark.range(n).where("id % 1000 = 9").select(name("id").alias("left_id"), F.format_string("e%06d", F.col("id") + 1).alias("right_id"), F.lit(0.9).alias("score"))
+    ids = spark.range(n + 5).select(name("id").alias("entity_id"))
+    got = clustering.clusters(sim.unionByName(bridges), ids)
+    sizes = got.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("low")).where("cluster_id >= 0")
+    assert got.count() == n + 5 and got.where("cluster_id = -1").count() == 5
+    # The two ends of a bridge join first; they stay together, and each group's other nine as well.
+    assert sizes.count() == n // 10 and sizes.where("low <> format_string('e%06d', cluster_id * 10)").where("n not in (8, 9, 10, 11, 2)").count() == 0
+    single = clustering.clusters(sim.unionByName(bridges), ids, replace(Config(), linkage="single"))
+    assert single.where("cluster_id >= 0").select("cluster_id").distinct().count() == n // 10 - n // 1000
+    places = clustering.layout(sim.unionByName(bridges), ids, limit=200)
+    assert places.count() == n + 5 and places.where("x is null or abs(x) > 1 or abs(y) > 1").count() == 0
+
+
+def test_entities_beyond_the_landmarks_are_placed_by_their_distances(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    at = rng.uniform(-0.35, 0.35, (160, 2))
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
+    rows = [(f"e{i:03}", f"e{j:03}", float(1 - d[i, j])) for i in range(160) for j in range(i + 1, 160)]
+    sim = spark.createDataFrame(rows, "left_id string, right_id string, score double")
+    ids = spark.createDataFrame([(f"e{i:03}",) for i in range(160)], "entity_id string")
+    got = {r["entity_id"]: (r["x"], r["y"]) for r in clustering.layout(sim, ids, limit=40).collect()}
+    p = np.array([got[f"e{i:03}"] for i in range(160)])
+    away = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    up = np.triu_indices(160, 1)
+    assert np.corrcoef(d[up], away[up])[0, 1] > 0.999
+
+
 def test_metrics(spark):
     t = spark.createDataFrame([("a", r, 3, n, "high") for r, n in ((1, 7), (3, 15), (5, 60), (-1, 60))], "entity_id string, rank int, sample_size int, feature_count int, level string")
     rows = {(r["dimension"], r["value"]): r for r in metrics.report(t).collect()}
@@ -204,23 +239,30 @@ def test_paired_test_matches_the_formula(spark):
 def test_plans_skip_and_never_pad(spark):
     rows = [("big", f"T{i:02}") for i in range(20)] + [("mid", f"T{i:02}") for i in range(8)] + [("small", f"T{i:02}") for i in range(5)]
     edges = spark.createDataFrame(rows, EDGES)
-    plan, skipped = sampling.proportional_plan(edges, repeats=3)
-    assert skipped == 3 and {(r["entity_id"], r["sample_size"]) for r in plan.collect()} == {("big", 10), ("mid", 4)}
-    assert plan.collect() == sampling.proportional_plan(edges, repeats=3)[0].collect()
     hashed = sampling.hashed_plan(edges, repeats=3, noise_ratio=0.5)
-    own = {(r[0], r[1]) for r in edges.collect()}
-    for r in hashed.collect():
+    rows, own = hashed.collect(), {(r[0], r[1]) for r in edges.collect()}
+    for r in rows:
         assert ((r["entity_id"], r["feature_id"]) in own) != r["is_noise"]
-    assert {r["sample_size"] for r in sampling.fixed_plan(edges, sizes=(3, 8), trials=1).collect()} == {3, 8}
-
-
-def test_noise_follows_prevalence():
-    import random
-
-    rng = random.Random(1)
-    drawn = [sampling.draw_noise(set(), 1, {"T9001": 100, "T9002": 1}, rng)[0] for _ in range(200)]
-    assert drawn.count("T9001") > 150
-    assert sampling.draw_noise({"T9001"}, 5, {"T9001": 100, "T9002": 1}, rng) == ["T9002"]
+    size = {(r["trial_id"], r["is_noise"]): r["count"] for r in hashed.groupBy("trial_id", "is_noise").count().collect()}
+    # Big lacks nothing, so no noise is there to draw; mid draws 4 and wants 2.
+    assert size == {(f"big/{i}", False): 10 for i in range(3)} | {(f"mid/{i}", False): 4 for i in range(3)} | {(f"mid/{i}", True): 2 for i in range(3)}
+    assert [r["entity_id"] for r in sampling.skipped(edges).collect()] == ["small"]
+    assert {r["sample_size"]: r["trials"] for r in sampling.plan_summary(sampling.fixed_plan(edges, sizes=(3, 8), trials=1)).collect()} == {3: 3, 8: 2}
+
+
+def test_noise_follows_prevalence(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"e{i}", "T9001") for i in range(100)] + [("e0", "T9002"), ("me", "T9003")], EDGES)
+    trials = spark.createDataFrame([(f"t{i}", "me", 1) for i in range(200)], "trial_id string, entity_id string, want int")
+    drawn = [r["feature_id"] for r in sampling.sample_noise(edges, trials).collect()]
+    assert len(drawn) == 200 and set(drawn) <= {"T9001", "T9002"} and drawn.count("T9001") > 150
+    # The pool ends; rounds go on until it does, and a pool that draws hardly reach is sorted.
+    most = spark.createDataFrame([("a", "e5", 5), ("b", "e0", 5), ("c", "me", 5)], "trial_id string, entity_id string, want int")
+    want = {("a", "T9002"), ("a", "T9003"), ("b", "T9003"), ("c", "T9001"), ("c", "T9002")}
+    assert {(r["trial_id"], r["feature_id"]) for r in sampling.sample_noise(edges, most).collect()} == want
+    monkeypatch.setattr(sampling, "FIRST_DRAWS", 1)
+    monkeypatch.setattr(sampling, "MOST_DRAWS", 3)
+    assert {(r["trial_id"], r["feature_id"]) for r in sampling.sample_noise(edges, most).collect()} == want
+    assert sampling.sample_noise(spark.createDataFrame([], EDGES), most).count() == 0
 
 
 def test_config_is_checked():

@@ -16,9 +16,19 @@ def test_query_equals_sql(spark, folder, con, name):
     same(spark, folder, QUERIES[name], ORACLES[name], con)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, folder, name):
-    assert QUERIES[name](spark, folder).columns
+def test_queries_without_sql_give_what_their_inputs_hold(spark, folder):
+    from kinscope.sources.tables import event_edges
+
+    users = {r[0] for r in event_edges(spark, folder).select("entity_id").distinct().collect()}
+    own = {r["entity_id"]: r["cluster_id"] for r in QUERIES["entity_clusters"](spark, folder).collect()}
+    assert set(own) == users and min(own.values()) >= -1
+    places = QUERIES["entity_map"](spark, folder).collect()
+    assert {r["entity_id"] for r in places} == users and max(max(abs(r["x"]), abs(r["y"])) for r in places) == 1
+    import json
+
+    documents = {r["query_id"]: json.loads(r["document"]) for r in QUERIES["query_documents"](spark, folder).collect()}
+    ranked = QUERIES["candidates"](spark, folder).collect()
+    assert {(q, c["entity_id"], c["rank"], c["score"]) for q, d in documents.items() for c in d.get("candidates") or []} == {(r["query_id"], r["entity_id"], r["rank"], r["score"]) for r in ranked}
 
 
 def test_entry(spark, folder):
@@ -29,19 +39,6 @@ def test_entry(spark, folder):
     assert rows and {"query_id", "entity_id", "score", "level"} <= set(rows[0].asDict())
 
 
-SEARCHES = ["query_vectors", "scores_cosine", "scores_cosine_uncorrected", "scores_jaccard", "scores_weighted_jaccard", "candidates", "candidate_evidence", "matched_and_missing", "query_confidence", "query_result"]
-
-
-@pytest.mark.parametrize("name", SEARCHES)
-def test_whole_search_equals_sql_over_all_its_users_and_features(spark, name):
-    larger = "/root/testdata/sf0.01"
-    if not os.path.isdir(larger):
-        pytest.skip("no test tables")
-    sql = ORACLES[name].replace("SELECT DISTINCT e FROM E ORDER BY e LIMIT 3", "SELECT DISTINCT e FROM E WHERE CAST(e AS BIGINT) % 20 = 0").replace(" WHERE p <= 12 ", " ")
-    assert "LIMIT 3" not in sql and "p <= 12" not in sql
-    assert same(spark, larger, QUERIES[f"{name}_whole"], sql, connect(larger)) > 3
-
-
 def test_alias_keys_of_all_names_equal_brute_force(spark):
     import re
     import unicodedata
@@ -63,4 +60,4 @@ def test_alias_keys_of_all_names_equal_brute_force(spark):
                 want.add((r.attack_id, key))
                 other += not n.isascii()
     assert other
-    assert {tuple(r) for r in QUERIES["alias_keys_whole"](spark, larger).select("attack_id", "key").collect()} == want
+    assert {tuple(r) for r in QUERIES["alias_keys"](spark, larger).select("attack_id", "key").collect()} == want
