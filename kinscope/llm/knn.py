@@ -18,7 +18,7 @@ AXES, BITS = 8, 6
 ORDERINGS, LOCAL_ORDERINGS = 2, 3
 # Vectors are ordered by the place of their nearest centre first: so many for the table, and for a range.
 CENTRES, LOCAL_CENTRES, LOCAL_SAMPLE = 512, 128, 4_096
-TASK_ROWS, WINDOW, BLOCK, CELLS = 49_152, 256, 512, 64
+TASK_ROWS, WINDOW, BLOCK, CELLS = 49_152, 256, 256, 64
 SAMPLE_ROWS = 20_000
 SEPARATOR = "\x1f"
 
@@ -143,14 +143,18 @@ class _Curves:
         return c
 
     def measure(self, rows: DataFrame, n: int, parts: int) -> None:
-        """Sets the bounds of `parts` even ranges out of the places of all n rows, three for each range.
+        """Sets the bounds of `parts` even ranges out of the places of all n rows.
 
-        The places alone are sorted by ranges of Spark's own; with the number of rows in each of these a row's rank in
-        the whole table is known, and the places of the ranks asked for are all that the driver gets.
+        The places alone are sorted by ranges of Spark's own. Each task gives their number and every step-th of them,
+        where a step is half a range's outer part; with the numbers before it the rank of these in the whole table is
+        known. So the driver gets 2 * CELLS places a range, and a bound is off by less than a step.
         """
         if parts < 2:
             return
         orderings, sent = len(self.low), rows.sparkSession.sparkContext.broadcast(self)
+        even = -(-n // parts)
+        edge = max(1, even // CELLS)
+        step = max(1, edge // 2)
 
         def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
@@ -159,25 +163,31 @@ class _Curves:
                     for s in range(orderings):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), s, np.int32)), pa.array(sent.value.place(s, x, salt))], names=["s", "place"])
 
-        from pyspark.sql import Window
+        def picked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen, held = [0] * orderings, [[] for _ in range(orderings)]
+            for b in it:
+                which, place = np.asarray(b.column("s")), np.asarray(b.column("place"))
+                for s in np.unique(which):
+                    own = place[which == s]
+                    held[s].append(own[-seen[s] % step :: step])
+                    seen[s] += len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(range(orderings), pa.int32()), pa.array(seen, pa.int64()), pa.array([np.concatenate(h) if h else np.empty(0, np.int64) for h in held], pa.list_(pa.int64()))], names=["s", "n", "places"])
 
         keyed = materialise(rows.mapInArrow(places, "s int, place bigint"), "places")
         tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sorted_ = materialise(keyed.repartitionByRange(tasks, "s", "place").withColumn("task", F.spark_partition_id()), "sorted-places")
-        before, rank = sorted_.groupBy("s", "task").agg(F.count(F.lit(1)).alias("n")).orderBy("s", "task").collect(), []
-        for k, r in enumerate(before):
-            rank.append((r["s"], r["task"], 0 if not k or before[k - 1]["s"] != r["s"] else rank[-1][2] + before[k - 1]["n"]))
-        offsets = F.broadcast(rows.sparkSession.createDataFrame(rank, "s int, task int, before bigint"))
-        even = -(-n // parts)
-        edge = max(1, even // CELLS)
-        own = Window.partitionBy("s", "task").orderBy("place")
-        ranked = sorted_.withColumn("i", F.row_number().over(own) - 1).join(offsets, ["s", "task"]).select("s", "place", (F.col("i") + F.col("before")).alias("rank"))
-        wanted = {(r["s"], r["rank"]): r["place"] for r in ranked.where((F.col("rank") % even).isin(0, edge, even - edge)).collect()}
-        last = np.iinfo(np.int64).max
+        ranges = keyed.repartitionByRange(tasks, "s", "place").sortWithinPartitions("s", "place")
+        got = ranges.mapInArrow(picked, "s int, n bigint, places array<bigint>").where("n > 0").toArrow().combine_chunks()
+        which, many = np.asarray(got.column("s")), np.asarray(got.column("n"))
         for s in range(orderings):
-            at = lambda rank: np.array([wanted.get((s, r), last) for r in rank], np.int64)  # noqa: B023, E731
-            firsts = range(0, n, even)
-            self.bounds[s] = (at([r for r in firsts if r]), at([r + edge for r in firsts]), at([r + even - edge for r in firsts]))
+            # Ranges of places do not overlap, so the first place tells a task's turn.
+            own = sorted(((np.asarray(got.column("places")[int(i)].values), int(many[i])) for i in np.flatnonzero(which == s)), key=lambda x: x[0][0])
+            before = np.cumsum([0, *(m for _, m in own[:-1])])
+            place = np.concatenate([p for p, _ in own])
+            rank = np.concatenate([b + step * np.arange(len(p)) for b, (p, _) in zip(before, own)])
+            at = lambda r: place[np.searchsorted(rank, r, "right") - 1]  # noqa: B023, E731
+            firsts = np.arange(0, n, even)
+            end = np.iinfo(np.int64).max
+            self.bounds[s] = (at(firsts[1:]), at(firsts + edge), np.where(firsts + even < n, at(np.minimum(firsts + even - edge, n - 1)), end))
 
     def spread(self, s: int, x: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, partition, guest): each row goes to the partition of its range; rows of a range's outer parts also visit the neighbour."""
@@ -299,10 +309,9 @@ def _windows(x: np.ndarray, code: np.ndarray, best: _Best, exact, seed: int) ->
 
 
 def _raise(least: np.ndarray, s: np.ndarray, k: int) -> None:
-    """Where fewer than k neighbours are known, the k-th best of the block is the bound: its ties stay in."""
-    open_ = np.flatnonzero(np.isinf(least))
-    if len(open_) and s.shape[1] >= k:
-        least[open_] = -np.partition(-s[open_], k - 1, axis=1)[:, k - 1]
+    """Raises each row's bound to the k-th best of the block, if that is higher: its ties stay in, and no row has more than k others to take in."""
+    if s.shape[1] >= k:
+        np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1], out=least)
 
 
 def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact_at: tuple[float, ...] = (), at_least: float | None = None, orderings: int = ORDERINGS, task_rows: int = TASK_ROWS) -> DataFrame:
