@@ -9,14 +9,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinscope.functions.ids import id_set
 from kinscope.runtime import current_rows, table
 
 
 def baskets(spark: SparkSession, folder: str) -> DataFrame:
     """(actor_id, ids): the set of technique ids of every actor's current row; possibly empty."""
-    rows = current_rows(table(spark, folder, "actors"), "actor_id", "built_at", "technique_ids")
-    return rows.select("actor_id", id_set(F.col("technique_ids")).alias("ids"))
+    return id_lists(current_rows(table(spark, folder, "actors"), "actor_id", "built_at", "technique_ids"), "actor_id", "technique_ids")
+
+
+def id_lists(df: DataFrame, key: str, ids: str, *, repeats: bool = False) -> DataFrame:
+    """(key, ids): `functions.ids.id_set` of every row (with `repeats`, `id_list`), by whole batches.
+
+    Each distinct text of a batch is tidied once, and lists are put in order as numbers. A null list is empty.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lists = b.column("ids")
+            off = offsets_of(lists)
+            count = np.where(np.asarray(lists.is_null()), 0, np.diff(off)) if len(lists) else np.empty(0, np.int64)
+            words = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+            index = np.asarray(words.indices.fill_null(len(words.dictionary)), np.int64)
+            tidy = [w.strip(" ").upper().split(".", 1)[0].strip(" ") for w in words.dictionary.to_pylist()] + [""]
+            known = sorted(set(tidy) - {""})
+            place = {w: i for i, w in enumerate(known)}
+            code = np.array([place.get(w, -1) for w in tidy], np.int64)[index]
+            row = np.repeat(np.arange(len(lists)), np.diff(off))
+            ok = (code >= 0) & (count[row] > 0)
+            both = row[ok] << 32 | code[ok]
+            both = np.sort(both) if repeats else np.unique(both)
+            ends = np.searchsorted(both >> 32, np.arange(len(lists) + 1))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(known, pa.string()).take(pa.array(both & 0xFFFFFFFF)))], names=["key", "ids"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(ids).cast("array<string>").alias("ids"))
+    return rows.mapInArrow(run, f"key {kind}, ids array<string>").withColumnRenamed("key", key)
 
 
 def one(it: Iterator[pa.RecordBatch]) -> pa.Table | None:

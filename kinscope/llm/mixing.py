@@ -90,7 +90,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
         open_ = [s for s in have if rate[s] is not None]
         if not open_:
             break
-        grid = {s: sorted({rate[s] * math.exp(width[s] * (2 * i / GRID - 1)) for i in range(GRID + 1)}) for s in open_}
+        # Beyond 700 the first term of the distribution is no number any more.
+        grid = {s: sorted({min(700.0, rate[s] * math.exp(width[s] * (2 * i / GRID - 1))) for i in range(GRID + 1)}) for s in open_}
         steps = spark.createDataFrame([(s, x, cap[s]) for s in open_ for x in grid[s]], "source string, rate double, cap int")
         drawn = rows.join(F.broadcast(steps), "source").groupBy("source", "rate").agg(F.sum(F.col("tokens") * _draw(F.col("u"), F.col("rate"), F.col("cap"), most)).alias("n"))
         best = {}

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinscope.functions.ids import id_list, id_set
 from kinscope.llm import abuse
-from kinscope.llm.common import baskets
+from kinscope.llm.common import baskets, id_lists
 from kinscope.llm.components import connected_components, merge_edges
 from kinscope.llm.cooccurrence import co_occurrence
 from kinscope.llm.families import families, typical_members
@@ -68,7 +67,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    candidates = table(spark, folder, "candidates").select(F.col("candidate_id").alias("id"), id_set(F.col("matched_technique_ids")).alias("ids"))
+    candidates = id_lists(table(spark, folder, "candidates"), "candidate_id", "matched_technique_ids").withColumnRenamed("candidate_id", "id")
     return similar_sets(baskets(spark, folder).withColumnRenamed("actor_id", "id"), candidates, threshold=0.8, min_size=5)
 
 
@@ -85,7 +84,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _frequency(spark: SparkSession, folder: str) -> DataFrame:
     rows = current_rows(table(spark, folder, "actors"), "actor_id", "built_at", "technique_ids")
-    return term_frequency(rows, id_list(F.col("technique_ids")))
+    return term_frequency(id_lists(rows, "actor_id", "technique_ids", repeats=True), F.col("ids"))
 
 
 def p6_frequency(spark: SparkSession, folder: str) -> DataFrame:

@@ -108,7 +108,7 @@ def _key_rows(shared, t: Fraction, full: bool):
                             key, who, place = key[again], who[again], place[again]
                         else:
                             cell = np.full(len(key), 3, np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cell >> 16), pa.array((cell & 3).astype(np.int8)), b.column("rep").take(pa.array(who)), pa.array((size[who] * 2 + np.asarray(b.column("left"))[who]).astype(np.int32)), pa.array(sketch[who].view(np.int64)), pa.array(place.astype(np.int32))], names=["key", "cell", "side", "rep", "size", "sketch", "place"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cell >> 16), pa.array((cell & 3).astype(np.int8)), b.column("mark").take(pa.array(who)), pa.array((size[who] * 2 + np.asarray(b.column("left"))[who]).astype(np.int32)), pa.array(sketch[who].view(np.int64)), pa.array(place.astype(np.int32))], names=["key", "cell", "side", "mark", "size", "sketch", "place"])
 
     return run
 
@@ -132,8 +132,9 @@ def _scan(t: Fraction):
             return
         get = lambda c: table.column(c).chunk(0)
         key, cell, side, size, place = (np.asarray(get(c)) for c in ("key", "cell", "side", "size", "place"))
-        sketch, rep = np.asarray(get("sketch")).view(np.uint64), get("rep").dictionary_encode()
-        code = np.asarray(rep.indices, dtype=np.int64)
+        sketch = np.asarray(get("sketch")).view(np.uint64)
+        marks, code = np.unique(np.asarray(get("mark")), return_inverse=True)
+        code = code.astype(np.int64)
         order = np.lexsort((code, size >> 1, cell, key))
         key, cell, side, size, sketch, code, place = (x[order] for x in (key, cell, side, size, sketch, code, place))
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]), True])
@@ -175,7 +176,7 @@ def _scan(t: Fraction):
             pairs = np.unique(np.concatenate(found))
             for lo in range(0, len(pairs), 1 << 16):
                 p = pairs[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([rep.dictionary.take(pa.array(p >> 32)), rep.dictionary.take(pa.array(p & 0xFFFFFFFF))], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(marks[p >> 32]), pa.array(marks[p & 0xFFFFFFFF])], names=["x", "y"])
 
     return run
 
@@ -217,13 +218,14 @@ def similar_sets(left: DataFrame, right: DataFrame | None = None, *, threshold:
     list_rows = max(list_rows, -(-keys // MOST_HOT))
     hot = sorted(source.mapInArrow(_key_rows(sc.broadcast((tokens, weight, none, none)), t, False), "key bigint").groupBy("key").count().where(F.col("count") > list_rows).collect())
     shared = sc.broadcast((tokens, weight, np.array([r[0] for r in hot], np.int64), np.array([-(-r[1] // list_rows) for r in hot], np.int64)))
-    rows = source.mapInArrow(_key_rows(shared, t, True), "key bigint, cell bigint, side tinyint, rep string, size int, sketch bigint, place int")
-    pairs = spread(rows, "key", "cell").mapInArrow(_scan(t), "x string, y string").distinct()
-    a = sets.select(F.col("rep").alias("x"), F.col("ids").alias("ids_x"))
-    b = sets.select(F.col("rep").alias("y"), F.col("ids").alias("ids_y"))
-    checked = pairs.join(a, "x").join(b, "y").withColumn("shared", F.size(F.array_intersect("ids_x", "ids_y")).cast("bigint"))
+    rows = source.mapInArrow(_key_rows(shared, t, True), "key bigint, cell bigint, side tinyint, mark bigint, size int, sketch bigint, place int")
+    # Sets go by their marks until they are checked: sets that share a mark are all checked, so nothing rests on marks being unique.
+    pairs = spread(rows, "key", "cell").mapInArrow(_scan(t), "x bigint, y bigint").distinct()
+    a = sets.select(F.col("mark").alias("x"), F.col("rep").alias("rep_x"), F.col("ids").alias("ids_x"))
+    b = sets.select(F.col("mark").alias("y"), F.col("rep").alias("rep_y"), F.col("ids").alias("ids_y"))
+    checked = pairs.join(a, "x").join(b, "y").where("x <> y or rep_x < rep_y").withColumn("shared", F.size(F.array_intersect("ids_x", "ids_y")).cast("bigint"))
     checked = checked.withColumn("united", F.size("ids_x") + F.size("ids_y") - F.col("shared")).where(F.col("shared") * t.denominator >= F.col("united") * t.numerator)
-    links = checked.select(F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "shared", "united")
+    links = checked.select(F.least("rep_x", "rep_y").alias("rep_a"), F.greatest("rep_x", "rep_y").alias("rep_b"), "shared", "united")
     members = parts.join(sets.select(F.xxhash64("ids").alias("h"), F.col("ids").alias("own"), "rep"), "h").where("ids = own").select("rep", "part", "id").distinct()
     return links, members
 

@@ -175,3 +175,15 @@ def test_merge_rows(spark):
     df = spark.createDataFrame([(c, m, 0) for c, m in rows], "canonical_id string, merged_ids array<string>, ids int")
     got = {r["node"]: r["root"] for r in connected_components(merge_edges(df, "canonical_id", "merged_ids")).collect()}
     assert got == {"G1": "G1", "G2": "G1", "G9": "G1", "G3": "G3", "G4": "G4"}
+
+
+def test_id_lists_are_those_of_the_expressions(spark):
+    from kinscope.functions.ids import id_list, id_set
+    from kinscope.llm.common import id_lists
+
+    rows = [("a", [" t1001.002", "T1001", None, "", "  ", "t1.2.3", "é.x"]), ("b", None), ("c", []), ("d", ["T2", "t2 ", ".5"]), (None, ["x"])]
+    df = table(spark, rows)
+    for repeats, of in ((False, id_set), (True, id_list)):
+        want = {(r["id"], tuple(r["x"])) for r in df.select("id", of(F.col("ids")).alias("x")).collect()}
+        assert {(r["id"], tuple(r["ids"])) for r in id_lists(df, "id", "ids", repeats=repeats).collect()} == want
+    assert id_lists(df.limit(0), "id", "ids").count() == 0
