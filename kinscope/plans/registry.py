@@ -303,6 +303,46 @@ def alias_keys(spark, folder):
     return _named(spark, folder).select("attack_id", text.alias_key(text.slug(F.col("text"))).alias("key")).where("key is not null").distinct()
 
 
+def _normalized(spark: SparkSession, folder: str) -> normalize.Normalized:
+    """The current actors as raw records, every id they were written with as a raw feature, and who uses which."""
+    rows = materialise(current_rows(table(spark, folder, "actors"), "actor_id", "built_at", "name", "aliases", "technique_ids"), "raw")
+    raw = rows.select(F.concat(F.lit("s-"), "actor_id").alias("stix_id"), F.col("actor_id").alias("attack_id"), F.trim("name").alias("name"), text.clean_aliases(F.trim("name"), F.col("aliases")).alias("aliases"))
+    used = rows.select(F.concat(F.lit("s-"), "actor_id").alias("source_ref"), F.explode("technique_ids").alias("t")).select("source_ref", ids.clean_id(F.col("t")).alias("attack_id")).where("attack_id is not null").distinct()
+    known = table(spark, folder, "techniques").select(F.col("technique_id").alias("parent"), F.col("technique_name").alias("name"), ids.split_list(F.col("tactics")).alias("categories"), F.col("axis_pos").cast("bigint").alias("pos"))
+    seen = used.select("attack_id").distinct().withColumn("parent", ids.roll_up(F.col("attack_id")))
+    features = seen.join(known, "parent", "left").select(F.concat(F.lit("f-"), "attack_id").alias("stix_id"), "attack_id", F.coalesce("name", "attack_id").alias("name"), F.col("attack_id").contains(".").alias("is_sub"), "categories", F.coalesce("pos", F.lit(1000)).alias("pos"))
+    return normalize.normalize(raw, features, used.select("source_ref", F.concat(F.lit("f-"), "attack_id").alias("target_ref")), 15)
+
+
+@query
+def normalized_edges(spark, folder):
+    """From raw records to edges: groups of shared aliases, ids rolled up, sparse entities left out."""
+    return _normalized(spark, folder).edges
+
+
+@query
+def normalized_entities(spark, folder):
+    e = _normalized(spark, folder).entities
+    return e.select("entity_id", "entity_name", F.size("aliases").cast("bigint").alias("aliases"), F.size("feature_ids").cast("bigint").alias("features"))
+
+
+@query
+def normalized_merges(spark, folder):
+    """Records of one group of shared aliases."""
+    m = _normalized(spark, folder).merges
+    return m.select("canonical_id", "canonical_name", F.array_join("merged_ids", ",").alias("merged"), F.array_join("shared_aliases", ",").alias("shared"))
+
+
+@query
+def normalized_counts(spark, folder):
+    return _normalized(spark, folder).stats
+
+
+@query
+def normalized_catalogue(spark, folder):
+    return _normalized(spark, folder).catalogue.select("feature_id", F.array_join(F.array_sort("categories"), "|").alias("categories"))
+
+
 @query
 def merged_components(spark, folder):
     """Actors joined by merge decisions, by label propagation."""
@@ -323,6 +363,17 @@ def bundle_entities(spark, folder):
     return bundle.parse(objects).entities.select("stix_id", "attack_id", "name")
 
 
+@query
+def bundle_features(spark, folder):
+    """The catalogue as a bundle's attack patterns, parsed back."""
+    t = table(spark, folder, "techniques")
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], bundle.SCHEMA).schema["objects"].dataType.elementType.fields}
+    phases = F.transform(ids.split_list(F.col("tactics")), lambda x: F.struct(F.lit(bundle.KILL_CHAIN).alias("kill_chain_name"), x.alias("phase_name")))
+    own = {"type": F.lit("attack-pattern"), "id": F.concat(F.lit("ap--"), "technique_id"), "name": F.col("technique_name"), "kill_chain_phases": phases, "external_references": F.array(F.struct(F.lit("other").alias("source_name"), F.lit("x").alias("external_id")), F.struct(F.lit(bundle.SOURCE).alias("source_name"), F.col("technique_id").alias("external_id")))}
+    objects = t.select(F.col("axis_pos").alias("pos"), F.struct(*[own.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds.items()]).alias("o"))
+    return bundle.parse(objects).features.select("stix_id", "attack_id", "name", "is_sub", F.array_join("categories", "|").alias("categories"))
+
+
 @query
 def actor_overview(spark, folder):
     """Current actors with the number of their aliases and techniques."""

@@ -149,6 +149,17 @@ FT AS (SELECT S.f, S.w, df, n, row_number() OVER (ORDER BY S.w DESC, S.f) AS pla
 _AHEAT = _A + """,
 HT AS (SELECT AW.f, coalesce(names.name, AW.f) AS nm, CASE WHEN hi > lo THEN (w - lo) / (hi - lo) ELSE 1 END AS heat FROM AW LEFT JOIN names USING (f) CROSS JOIN (SELECT min(w) AS lo, max(w) AS hi FROM AW)),
 TC AS (SELECT technique_id AS f, tactic FROM (SELECT technique_id, trim(unnest(string_split(tactics, '|'))) AS tactic FROM techniques) WHERE tactic <> '')"""
+# Groups of actors by the keys of their names, edges moved to each group's lowest id.
+_NORM = _A + r""",
+NT AS (SELECT e, name AS n FROM cur UNION ALL SELECT e, unnest(aliases) FROM cur),
+NK AS (SELECT DISTINCT e, key FROM (SELECT e, trim(regexp_replace(lower(regexp_replace(strip_accents(regexp_replace(n, '[\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]', ' ', 'g')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM NT)
+  WHERE length(key) >= 3 AND key NOT IN ('apt', 'ta', 'unc', 'group', 'team', 'crew', 'gang', 'actor', 'threat', 'cluster', 'operation', 'campaign', 'unknown', 'unattributed', 'g')),
+NH AS (SELECT DISTINCT h.hub AS u, NK.e AS v FROM NK JOIN (SELECT key, min(e) AS hub FROM NK GROUP BY key) h USING (key)),
+NB AS (SELECT u, v FROM NH UNION SELECT v, u FROM NH),
+reach AS (SELECT e AS u, e AS v FROM cur UNION SELECT reach.u, NB.v FROM reach JOIN NB ON reach.v = NB.u),
+g AS (SELECT u AS e, min(v) AS root FROM reach GROUP BY u),
+NR AS (SELECT DISTINCT root, f FROM A JOIN g USING (e)),
+NE AS (SELECT root AS entity_id, f AS feature_id FROM NR WHERE root IN (SELECT root FROM NR GROUP BY root HAVING count(*) >= 15))"""
 _COLUMN = "coalesce(list_position(['reconnaissance', 'resource-development', 'initial-access', 'execution', 'persistence', 'privilege-escalation', 'defense-evasion', 'stealth', 'defense-impairment', 'credential-access', 'discovery', 'lateral-movement', 'collection', 'command-and-control', 'exfiltration', 'impact'], tactic) - 1, 16)"
 
 ORACLES: dict[str, str] = {
@@ -267,4 +278,18 @@ SELECT candidate_id, typed, len(list_distinct(list_transform(parts, lambda x: CA
     "rolled_up_sets": f"WITH {_A} SELECT cur.e AS actor_id, coalesce(string_agg(f, ',' ORDER BY f), '') AS ids FROM cur LEFT JOIN A ON A.e = cur.e GROUP BY cur.e",
     "all_names": f"""WITH {_A}, AL AS (SELECT e, name, trim(a) AS a, p FROM (SELECT e, name, unnest(aliases) AS a, unnest(range(len(aliases))) AS p FROM cur) WHERE trim(a) <> '' AND lower(trim(a)) <> coalesce(lower(name), ''))
 SELECT e AS entity_id, name FROM cur WHERE name IS NOT NULL UNION ALL SELECT e, a FROM AL QUALIFY row_number() OVER (PARTITION BY e, lower(a) ORDER BY p) = 1""",
+    "normalized_edges": f"WITH RECURSIVE {_NORM} SELECT * FROM NE",
+    "normalized_entities": f"""WITH RECURSIVE {_NORM}, NA AS (SELECT root, lower(a) AS k FROM (SELECT g.root, trim(n) AS a FROM NT JOIN g ON NT.e = g.e) x JOIN cur c ON c.e = x.root WHERE a <> '' AND lower(a) <> lower(trim(c.name)) GROUP BY ALL),
+NF AS (SELECT root, count(*) AS n FROM NR GROUP BY root)
+SELECT c.e AS entity_id, trim(c.name) AS entity_name, (SELECT count(*) FROM NA WHERE NA.root = c.e) AS aliases, NF.n AS features FROM cur c JOIN NF ON NF.root = c.e WHERE NF.n >= 15""",
+    "normalized_merges": f"""WITH RECURSIVE {_NORM}, SK AS (SELECT root, key FROM NK JOIN g USING (e) GROUP BY 1, 2 HAVING count(DISTINCT e) > 1)
+SELECT root AS canonical_id, (SELECT trim(name) FROM cur WHERE cur.e = root) AS canonical_name, string_agg(e, ',' ORDER BY e) AS merged, coalesce((SELECT string_agg(key, ',' ORDER BY key) FROM SK WHERE SK.root = g.root), '') AS shared FROM g GROUP BY root HAVING count(*) > 1""",
+    "normalized_counts": f"""WITH RECURSIVE {_NORM}, U AS (SELECT DISTINCT e, upper(trim(t)) AS t FROM (SELECT e, unnest(technique_ids) AS t FROM cur) WHERE trim(t) <> ''), NF AS (SELECT root, count(*) AS n FROM NR GROUP BY root)
+SELECT (SELECT count(*) FROM U) AS edges_before_rollup, (SELECT count(*) FROM A) AS edges_after_rollup, (SELECT count(DISTINCT t) FROM U) AS features_before_rollup, (SELECT count(DISTINCT f) FROM A) AS features_after_rollup,
+  (SELECT count(*) FROM cur) AS entities_before_merge, (SELECT count(DISTINCT root) FROM g) AS entities_after_merge, (SELECT count(*) FROM (SELECT root FROM g GROUP BY root HAVING count(*) > 1)) AS merges,
+  (SELECT count(*) FROM NF WHERE n >= 15) AS entities_final, (SELECT count(DISTINCT feature_id) FROM NE) AS features_final, (SELECT count(*) FROM NE) AS edges_final,
+  (SELECT count(*) FROM U) - (SELECT count(*) FROM A) AS edges_merged_by_rollup, (SELECT count(DISTINCT root) FROM g) - (SELECT count(*) FROM NF WHERE n >= 15) AS entities_dropped_sparse""",
+    "normalized_catalogue": f"""WITH RECURSIVE {_NORM}, TT AS (SELECT technique_id AS f, trim(unnest(string_split(tactics, '|'))) AS tactic FROM techniques)
+SELECT f AS feature_id, coalesce((SELECT string_agg(DISTINCT tactic, '|' ORDER BY tactic) FROM TT WHERE TT.f = x.f AND tactic <> ''), '') AS categories FROM (SELECT DISTINCT feature_id AS f FROM NE) x""",
+    "bundle_features": "SELECT 'ap--' || technique_id AS stix_id, technique_id AS attack_id, trim(technique_name) AS name, false AS is_sub, coalesce(array_to_string(list_filter(list_transform(string_split(tactics, '|'), lambda x: trim(x)), lambda x: x <> ''), '|'), '') AS categories FROM techniques",
 }
