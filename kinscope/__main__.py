@@ -6,7 +6,7 @@ import argparse
 
 from kinscope.config import METRICS, SCHEMES, Config
 from kinscope.operators import benchmark, case_study, search, service
-from kinscope.plans.build import Workspace, build_dataset, build_engine, ensure_built, load
+from kinscope.plans.build import Workspace, build_dataset, build_engine, ensure_built, load, write_manifest, write_regime
 from kinscope.runtime import session
 from kinscope.sources import bundle, mock
 
@@ -36,6 +36,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "mock":
         rows = mock.entities(spark, args.seed)
         build_dataset(space, rows, mock.edges(rows), mock.catalogue(spark))
+        mock.ground_truth(rows).write.mode("overwrite").parquet(f"{args.folder}/ground_truth.parquet")
+        write_manifest(space, "synthetic", seed=str(args.seed))
     elif args.command == "build":
         if args.bundle:
             from kinscope.operators.normalize import normalize
@@ -43,6 +45,7 @@ def main(argv: list[str] | None = None) -> int:
             parsed = bundle.parse(bundle.read_objects(spark, args.bundle))
             done = normalize(parsed.entities, parsed.features, parsed.uses, args.min_features)
             build_dataset(space, done.entities, done.edges, done.catalogue)
+            write_manifest(space, args.bundle, version=str(bundle.version(bundle.read_objects(spark, args.bundle)).first()["version"]))
         build_engine(space, Config(scheme=args.scheme), with_clusters=not args.skip_clusters)
     else:
         ensure_built(space)
@@ -52,6 +55,7 @@ def main(argv: list[str] | None = None) -> int:
             print(service.markdown(own.ask(service.parse_features(spark, args.features), args.top_k)))
         elif args.command == "benchmark":
             report, test = benchmark.run_regime(space.read("edges"), args.regime, repeats=args.repeats)
+            write_regime(space, report, test, args.regime)
             print(case_study.text_table(report.orderBy("run", "dimension", "value")), case_study.text_table(test), sep="\n\n")
         elif args.command == "study":
             for name, df in case_study.case_study(space.read("space"), space.read("weights"), args.entity).items():

@@ -16,7 +16,7 @@ from kinscope.operators.pairs import compare, comparison_summary, nearest
 from kinscope.operators.sampling import _mark, noise_pool
 from kinscope.operators.scoring import DIGITS, evidence, known_features, leaders, matched_and_missing, query_frame, rank, score
 from kinscope.operators.search import resolve
-from kinscope.operators.weighting import heat
+from kinscope.operators.weighting import category_table, heat
 from kinscope.runtime import materialise
 
 DISCLAIMER = "Scores measure likeness of behaviour. They are no statement about who is behind it."
@@ -113,6 +113,10 @@ class Station:
             "clusters": sizes.join(cluster_labels(profile, feature_names), "cluster_id", "left"),
         }
 
+    def categories(self, listed: DataFrame) -> DataFrame:
+        """(place, category, title, features) of the categories (technique_id, category) in use, in the order of the matrix."""
+        return category_table(listed.join(self.weights.select(F.col("feature_id").alias("technique_id")), "technique_id", "left_semi"))
+
     def _one(self, entity: str) -> str:
         found = resolve(self.space.select("entity_id").distinct(), entity).limit(1).collect()
         if not found:
@@ -195,14 +199,33 @@ def nested_results(space: DataFrame, queries: DataFrame, weights: DataFrame, con
     return out.join(nested, "query_id", "left").withColumn("disclaimer", F.lit(DISCLAIMER))
 
 
-def navigator_layer(result: dict[str, DataFrame], weights: DataFrame, name: str = "kinscope") -> str:
-    """A layer document of one query's result: each known feature with its heat, and whether the best candidate has it."""
+def heat_colour(heat: float) -> str:
+    """A colour between pale and dark red for a heat of 0 to 1."""
+    low, high = (0xF4, 0xE9, 0xD8), (0xB3, 0x1B, 0x1B)
+    at = min(max(heat, 0.0), 1.0)
+    return "#" + "".join(f"{round(a + (b - a) * at):02x}" for a, b in zip(low, high))
+
+
+def navigator_layer(result: dict[str, DataFrame], weights: DataFrame, name: str = "kinscope", version: str | None = None) -> str:
+    """A layer document of one query's result: each known feature with its heat, its colour, and whether the best candidate has it."""
     top = result["candidates"].where("rank = 1").limit(1).collect()
     lists = {r["entity_id"]: r["matched_ids"] for r in result["lists"].collect()}
     shared = set(lists.get(top[0]["entity_id"], [])) if top else set()
     rows = result["known"].where("known").join(heat(weights).select("feature_id", "heat"), "feature_id").orderBy("feature_id").collect()
+    sure = result["confidence"].first()
     said = lambda f: f"shared with {top[0]['entity_name']}" if f in shared else "not seen in the nearest candidate"
-    return json.dumps({"name": name, "domain": "enterprise-attack", "techniques": [{"techniqueID": r["feature_id"], "score": round(r["heat"], 4), "comment": said(r["feature_id"]), "enabled": True} for r in rows], "gradient": {"minValue": 0, "maxValue": 1}}, ensure_ascii=False)
+    layer = {
+        "name": f"{name}: nearest {top[0]['entity_name']}" if top else name,
+        "versions": {"attack": (version or "").split(".")[0] or None, "navigator": "5.1.0", "layer": "4.5"},
+        "domain": "enterprise-attack",
+        "description": f"The score is a feature's rarity (0 to 1). {DISCLAIMER}",
+        "techniques": [{"techniqueID": r["feature_id"], "score": round(r["heat"], 4), "color": heat_colour(r["heat"]), "comment": said(r["feature_id"]), "enabled": True, "showSubtechniques": False} for r in rows],
+        "gradient": {"colors": [heat_colour(0), heat_colour(1)], "minValue": 0, "maxValue": 1},
+        "legendItems": [],
+        "metadata": [{"name": "dataset", "value": version or "?"}, {"name": "confidence", "value": sure["level"] if sure else "low"}],
+        "hideDisabled": False,
+    }
+    return json.dumps(layer, ensure_ascii=False)
 
 
 def markdown(result: dict[str, DataFrame]) -> str:
@@ -217,6 +240,8 @@ def markdown(result: dict[str, DataFrame]) -> str:
         return "\n".join([*lines, "", "No entity shares a known feature.", "", f"> {DISCLAIMER}"])
     lines += ["", f"Nearest: **{rows[0]['entity_name']} ({rows[0]['entity_id']})**. Confidence: **{sure['level']}** ({sure['score']:.2f}).", "", "| # | entity | score | shared |", "|---|---|---|---|"]
     lines += [f"| {r['rank']} | {r['entity_name']} ({r['entity_id']}) | {r['score']:.3f} | {r['matched']}/{r['known']} |" for r in rows]
+    proof = result["evidence"].where(F.col("entity_id") == rows[0]["entity_id"]).orderBy("place").limit(5).collect()
+    lines += ["", f"**Decided by:** {', '.join(f'{r['feature_id']} {r['share']:.0%}' for r in proof)}"]
     return "\n".join([*lines, "", f"> {DISCLAIMER}"])
 
 

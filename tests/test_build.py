@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinscope.__main__ import main
-from kinscope.operators import case_study, clustering, pairs, service, vectors, weighting
-from kinscope.plans.build import Workspace, build_dataset, build_engine, ensure_built, load
+from kinscope.operators import benchmark, case_study, clustering, pairs, service, vectors, weighting
+from kinscope.plans.build import Workspace, build_dataset, build_engine, ensure_built, load, load_cached, read_manifest, read_provenance, trust, write_manifest, write_provenance, write_regime
 from kinscope.sources import mock
 from kinscope.sources.tables import MissingArtefact
 
@@ -92,3 +92,39 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["--folder", folder, "search", "phish"]) == 0
     said = capsys.readouterr().out
     assert "Nearest" in said and "T1566" in said
+
+
+def test_reports_manifest_and_provenance(spark, space, tmp_path):
+    import json
+
+    available, tables = trust(space, "B")
+    assert not available and all(t.count() == 0 for t in tables.values())
+    report, test = benchmark.run_regime(space.read("edges"), "B", repeats=1)
+    write_regime(space, report, test, "B")
+    available, tables = trust(space, "B")
+    assert available and tables["summary"].count() == 3 and "notes" not in tables["summary"].columns and tables["significance"].count() == 1
+    assert tables["by_size"].count() >= 1 and tables["calibration"].count() >= 1
+    assert read_manifest(space) == {}
+    write_manifest(space, "synthetic", seed="1")
+    assert read_manifest(space)["rows"]["entities"] == 15 and read_manifest(space)["seed"] == "1"
+    path = str(tmp_path / "bundle.json")
+    with open(path, "w") as f:
+        json.dump({"type": "bundle", "id": "b", "objects": [{"type": "x-mitre-collection", "id": "c", "x_mitre_version": "9.1"}]}, f)
+    assert read_provenance(spark, path) == {}
+    write_provenance(spark, path, "https://example.org/b.json", etag="e")
+    got = read_provenance(spark, path)
+    assert (got["version"], got["etag"], got["last_modified"]) == ("9.1", "e", None) and len(got["sha256"]) == 64 and got["size_bytes"] > 10
+
+
+def test_exports(spark, space):
+    import json
+
+    station = load_cached(space)
+    answer = station.ask(["T1566", "T1078", "T1047", "T1003", "T9999"])
+    layer = json.loads(service.navigator_layer(answer, station.weights, version="19.2"))
+    assert layer["versions"]["attack"] == "19" and layer["metadata"][1]["value"] in ("high", "medium", "low")
+    assert {t["techniqueID"] for t in layer["techniques"]} == {"T1566", "T1078", "T1047", "T1003"} and all(t["color"].startswith("#") for t in layer["techniques"])
+    assert "Decided by" in service.markdown(answer)
+    listed = space.read("features").select(F.col("feature_id").alias("technique_id"), F.explode("categories").alias("category"))
+    rows = station.categories(listed.unionByName(listed.limit(1).withColumn("category", F.lit("my-own")))).collect()
+    assert rows[0]["title"] == "Reconnaissance" and rows[-1]["title"] == "My Own" and "Command and Control" in {r["title"] for r in rows}
