@@ -201,6 +201,13 @@ ORACLES: dict[str, str] = {
     "p4_groups": _COMPONENTS + " SELECT actor_id, canonical_id FROM groups",
     "p4_found": _COMPONENTS + " SELECT canonical_id, actor_id AS merged_id FROM groups WHERE actor_id <> canonical_id",
     "p5_found": _SET_PAIRS + " SELECT DISTINCT least(ia, ib) AS left_id, greatest(ia, ib) AS right_id FROM shared WHERE 5 * s >= 4 * (na + nb - s)",
+    # Classes of equal sets, linked unless both are of candidates only.
+    "p5_classes": _SET_PAIRS + """, own AS (SELECT part, id, string_agg(tech, ',' ORDER BY tech) AS ids FROM kept GROUP BY 1, 2),
+class AS (SELECT ids, min(part || id) AS rep FROM own GROUP BY ids),
+named AS (SELECT part, id, rep FROM own JOIN class USING (ids)),
+linked AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM shared JOIN named x ON x.part = pa AND x.id = ia JOIN named y ON y.part = pb AND y.id = ib WHERE 5 * s >= 4 * (na + nb - s) AND x.rep <> y.rep),
+ends AS (SELECT rep, count(*) AS n FROM (SELECT a AS rep, b AS other FROM linked UNION SELECT b, a FROM linked) GROUP BY rep)
+SELECT part, id, rep AS class_id, coalesce(n, 0) AS links FROM named LEFT JOIN ends USING (rep)""",
     "p6_frequency": f"""WITH {_CURRENT}, occ AS (SELECT tech, count(*) AS n FROM raw WHERE tech <> '' GROUP BY tech)
 SELECT users.tech AS technique_id, occ.n AS occurrences, users.n AS actor_count, round(CAST(users.n AS DOUBLE) / total.n, 9) AS actor_ratio,
   CASE WHEN users.n <= 2 THEN 'rare' WHEN users.n > 0.5 * total.n THEN 'common' END AS mark, technique_name
