@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -314,11 +315,12 @@ def _raise(least: np.ndarray, s: np.ndarray, k: int) -> None:
         np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1], out=least)
 
 
-def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact_at: tuple[float, ...] = (), at_least: float | None = None, orderings: int = ORDERINGS, task_rows: int = TASK_ROWS) -> DataFrame:
+def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact_at: tuple[float, ...] = (), at_least: float | None = None, orderings: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """(key, neighbour, similarity): the k most similar current vectors by cosine of every key's current vector.
 
     Vectors are projected on principal axes fitted on `SAMPLE_ROWS` rows (those with the lowest hashed keys; all rows are
-    indexed, and the bounds of the ranges come from all rows) and ordered along `orderings` Hilbert curves, each with a shift of its own: first by the place of the
+    indexed, and the bounds of the ranges come from all rows) and ordered along `orderings` Hilbert curves (unset, ORDERINGS and one
+    more for every tenfold of ranges), each with a shift of its own: first by the place of the
     nearest of CENTRES centres of the sample (others for each curve), so that like vectors stay together however many
     ranges there are, then by the vector's own place over eight further axes. An ordering is one
     shuffle: rows go to range partitions of about `task_rows`, the outermost cells of a range to its neighbour as well.
@@ -347,7 +349,10 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
     sample = sample.combine_chunks()
     ix, vx = (sample.column(c).chunk(0) for c in ("ix", "vx"))
     width = int(flat(ix, "<u2")[0].max()) + 1
-    curves, parts = _Curves.fit(dense(ix, vx, width), orderings), max(1, -(-n // task_rows))
+    parts = max(1, -(-n // task_rows))
+    # Each ordering splits some neighbours, the more ranges the more: one ordering more for every tenfold of ranges.
+    orderings = orderings or ORDERINGS + math.ceil(math.log10(parts))
+    curves = _Curves.fit(dense(ix, vx, width), orderings)
     curves.measure(rows, n, parts)
     # Bounded: the centres of every ordering, and three places a range.
     curves = df.sparkSession.sparkContext.broadcast(curves)
