@@ -12,7 +12,7 @@ from kinscope.operators.confidence import confidence
 from kinscope.operators.metrics import paired_test, report
 from kinscope.operators.normalize import sparse_filter
 from kinscope.operators.sampling import hashed_plan
-from kinscope.operators.scoring import leaders, rank, score
+from kinscope.operators.scoring import leading, rank
 from kinscope.operators.vectors import vector_space
 from kinscope.operators.weighting import feature_weights
 from kinscope.runtime import materialise
@@ -38,7 +38,7 @@ def run_trials(edges: DataFrame, plan: DataFrame, config: Config = Config()) ->
     _, weights, space = artefacts(edges, config)
     weights, space = materialise(weights, "trial-weights"), materialise(space, "trial-space")
     queries = plan.select(F.col("trial_id").alias("query_id"), "feature_id")
-    scores = materialise(leaders(score(space, queries, weights, config), max(2, config.top_k)), "trial-leaders")
+    scores = materialise(leading(space, queries, weights, config), "trial-leaders")
     ranked = rank(scores, config)
     heads = plan.groupBy("trial_id", "entity_id").agg(F.count(F.lit(1)).cast("int").alias("sample_size"), F.max("feature_count").alias("feature_count"), F.count_if("is_noise").cast("int").alias("noise_count"))
     own = ranked.select(F.col("query_id").alias("trial_id"), "entity_id", "rank")

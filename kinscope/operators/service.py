@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +13,9 @@ from kinscope.config import Config
 from kinscope.functions.ids import parse_ids
 from kinscope.operators.clustering import cluster_labels, cluster_profile, layout
 from kinscope.operators.confidence import confidence, reasons
-from kinscope.operators.pairs import compare, comparison_summary, nearest
+from kinscope.operators.pairs import compare, comparison_summary, nearest, neighbour_table
 from kinscope.operators.sampling import _mark, noise_pool
-from kinscope.operators.scoring import DIGITS, evidence, known_features, leaders, matched_and_missing, query_frame, rank, score
+from kinscope.operators.scoring import DIGITS, evidence, known_features, leading, matched_and_missing, query_frame, rank, score
 from kinscope.operators.search import resolve
 from kinscope.operators.weighting import category_table, heat
 from kinscope.runtime import materialise
@@ -56,13 +57,13 @@ def parse_features(spark: SparkSession, blob: str) -> list[str]:
 
 @dataclass
 class Station:
-    """Artefacts of a dataset. DataFrames are lazy: what a question does not touch costs nothing."""
+    """Artefacts of a dataset. DataFrames are lazy: what a question does not touch costs nothing. Pairs may be a function that makes them when they are first asked for."""
 
     edges: DataFrame
     weights: DataFrame
     space: DataFrame
     names: DataFrame
-    pairs: DataFrame
+    pairs: DataFrame | Callable[[], DataFrame]
     clusters: DataFrame
     config: Config = Config()
     places: DataFrame | None = None
@@ -71,10 +72,16 @@ class Station:
     def spark(self) -> SparkSession:
         return self.space.sparkSession
 
+    def similar(self) -> DataFrame:
+        """The pairs, made where they are not yet."""
+        if not isinstance(self.pairs, DataFrame):
+            self.pairs = self.pairs()
+        return self.pairs
+
     def map(self) -> DataFrame:
         """(entity_id, x, y): the stored layout, computed where there is none."""
         if self.places is None:
-            self.places = layout(self.pairs, self.space)
+            self.places = layout(self.similar(), self.space)
         return self.places
 
     def ask(self, features: list[str], top_k: int | None = None) -> dict[str, DataFrame]:
@@ -128,12 +135,15 @@ class Station:
         own = self._one(entity)
         mine = self.space.where(F.col("entity_id") == own)
         cluster = self.clusters.where((F.col("entity_id") == own) & (F.col("cluster_id") >= 0)).select("cluster_id")
-        near = self.pairs.where((F.col("left_id") == own) | (F.col("right_id") == own))
+        if isinstance(self.pairs, DataFrame):
+            near = nearest(self.pairs.where((F.col("left_id") == own) | (F.col("right_id") == own)), 8).where(F.col("entity_id") == own)
+        else:
+            near = neighbour_table(self.space, own, self.config.metric, 8).select(F.lit(own).alias("entity_id"), "rank", F.col("entity_id").alias("neighbour_id"), "score", "shared")
         return {
             "features": mine.join(self.weights.select("feature_id", "feature_name"), "feature_id").orderBy(F.desc("w"), "feature_id"),
             "summary": mine.agg(F.count(F.lit(1)).alias("features"), F.round(F.avg("w"), DIGITS).alias("mean_weight")),
             "mates": self.clusters.join(F.broadcast(cluster), "cluster_id").where(F.col("entity_id") != own).select("entity_id"),
-            "neighbours": nearest(near, 8).where(F.col("entity_id") == own),
+            "neighbours": near,
         }
 
     def compare(self, left: str, right: str) -> dict[str, DataFrame]:
@@ -167,7 +177,7 @@ class Station:
 
 def _leading(space: DataFrame, queries: DataFrame, weights: DataFrame, config: Config) -> DataFrame:
     """The best rows of each query, written once: ranks, lists, evidence and confidence need no others."""
-    return materialise(leaders(score(space, queries, weights, config), max(2, config.top_k)), "leaders")
+    return materialise(leading(space, queries, weights, config), "leaders")
 
 
 def result_rows(space: DataFrame, queries: DataFrame, weights: DataFrame, names: DataFrame, config: Config = Config()) -> DataFrame:
