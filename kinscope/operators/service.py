@@ -110,16 +110,18 @@ class Station:
 
     def overview(self) -> dict[str, DataFrame]:
         """Features by heat, entities with their cluster and place, clusters with size and label."""
-        profile = cluster_profile(self.clusters, self.edges)
-        sizes = self.clusters.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-        feature_names = self.weights.select("feature_id", "feature_name")
         counts = self.space.groupBy("entity_id").agg(F.count(F.lit(1)).alias("features"))
         return {
             "features": heat(self.weights).select("feature_id", "feature_name", "entity_count", F.round("entity_ratio", 4).alias("entity_ratio"), F.round("heat", 4).alias("heat")),
             "entities": counts.join(self.names, "entity_id", "left").join(self.clusters, "entity_id", "left").join(self.map(), "entity_id", "left"),
-            "clusters": sizes.join(cluster_labels(profile, feature_names), "cluster_id", "left"),
+            "clusters": self.groups(),
         }
 
+    def groups(self) -> DataFrame:
+        """(cluster_id, size, label): the clusters; neither pairs nor map are touched."""
+        sizes = self.clusters.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+        return sizes.join(cluster_labels(cluster_profile(self.clusters, self.edges), self.weights.select("feature_id", "feature_name")), "cluster_id", "left")
+
     def categories(self, listed: DataFrame) -> DataFrame:
         """(place, category, title, features) of the categories (technique_id, category) in use, in the order of the matrix."""
         return category_table(listed.join(self.weights.select(F.col("feature_id").alias("technique_id")), "technique_id", "left_semi"))
