@@ -56,10 +56,14 @@ def comparisons(config: Config = Config()) -> dict[str, Config]:
 
 
 def run_comparisons(edges: DataFrame, plan: DataFrame, config: Config = Config()) -> DataFrame:
-    """The report of every ablation over one plan, by `label`."""
-    out = None
+    """The report of every ablation over one plan, by `label`. Labels of equal settings share one run."""
+    out, runs = None, []
     for label, own in comparisons(config).items():
-        rows = report(run_trials(edges, plan, own)).withColumn("label", F.lit(label))
+        found = [r for c, r in runs if c == own]
+        if not found:
+            found = [materialise(report(run_trials(edges, plan, own)), "report")]
+            runs.append((own, found[0]))
+        rows = found[0].withColumn("label", F.lit(label))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -67,6 +71,7 @@ def run_comparisons(edges: DataFrame, plan: DataFrame, config: Config = Config()
 def run_regime(edges: DataFrame, regime: str, config: Config = Config(), repeats: int = 2) -> tuple[DataFrame, DataFrame]:
     """(reports, test) of one regime: the three runs over one plan, and smooth idf against binary, paired by entity."""
     fraction, noise = REGIMES[regime]
+    edges = materialise(edges, "edges")
     plan = materialise(hashed_plan(sparse_filter(edges, config.min_features), fraction=fraction, repeats=repeats, seed=config.seed, noise_ratio=noise), "plan")
     trials = {label: materialise(run_trials(edges, plan, replace(config, scheme=s, metric=m)), "trials") for label, (s, m) in RUNS.items()}
     out = None

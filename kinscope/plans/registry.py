@@ -413,14 +413,16 @@ def trial_plan(spark, folder):
     return rows.select("trial_id", "entity_id", "feature_id", F.col("feature_count").cast("bigint").alias("feature_count"))
 
 
-def _plan(spark, folder, **design) -> DataFrame:
-    return materialise(sampling.hashed_plan(event_edges(spark, folder), **design), "plan")
+def _planned(spark, folder, **design) -> tuple[DataFrame, DataFrame]:
+    """(edges, plan), both written once."""
+    e = materialise(event_edges(spark, folder), "edges")
+    return e, materialise(sampling.hashed_plan(e, **design), "plan")
 
 
 @query
 def retrieval_trials(spark, folder):
     """The trials of regime A, each scored against all users."""
-    return _counted(run_trials(event_edges(spark, folder), _plan(spark, folder)))
+    return _counted(run_trials(*_planned(spark, folder)))
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -429,7 +431,7 @@ def _counted(df: DataFrame) -> DataFrame:
 
 @query
 def retrieval_report(spark, folder):
-    return metrics.report(run_trials(event_edges(spark, folder), _plan(spark, folder)))
+    return metrics.report(run_trials(*_planned(spark, folder)))
 
 
 @query
@@ -453,7 +455,7 @@ def regime_c_test(spark, folder):
 @query
 def ablations(spark, folder):
     """Every ablation over the plan of regime B."""
-    return benchmark.run_comparisons(event_edges(spark, folder), _plan(spark, folder, fraction=0.25))
+    return benchmark.run_comparisons(*_planned(spark, folder, fraction=0.25))
 
 
 @query
@@ -531,7 +533,7 @@ def blind_case(spark, folder):
 
 @query
 def overview_clusters(spark, folder):
-    return _station(spark, folder).overview()["clusters"]
+    return _station(spark, folder).groups()
 
 
 @query
