@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinscope.config import Config
-from kinscope.operators.clustering import clusters, layout
+from kinscope.operators.clustering import clusters_in, layout
 from kinscope.operators.pairs import pair_similarity
 from kinscope.operators.service import Station
 from kinscope.operators.vectors import vector_space
@@ -114,7 +114,7 @@ def build_engine(space: Workspace, config: Config = Config(), *, with_clusters:
     if with_pairs or with_clusters:
         pairs = space.write(pair_similarity(vectors, config.metric), "pairs")
         if with_clusters:
-            space.write(clusters(pairs, vectors, config), "clusters")
+            space.write(clusters_in(vectors, vectors, config, pairs=pairs), "clusters")
             space.write(layout(pairs, vectors), "layout")
 
 
@@ -130,7 +130,7 @@ def load(space: Workspace, config: Config = Config()) -> Station:
     """The service over a folder; what is missing of pairs, clusters and map is computed when it is asked for."""
     vectors, weights, edges = space.read("space"), space.read("weights"), space.read("edges")
     pairs = space.read("pairs") if space.has("pairs") else pair_similarity(vectors, config.metric)
-    own = space.read("clusters") if space.has("clusters") else clusters(pairs, vectors, config)
+    own = space.read("clusters") if space.has("clusters") else clusters_in(vectors, vectors, config, pairs=pairs)
     names = space.read("entities").select("entity_id", "entity_name")
     return Station(edges, weights, vectors, names, pairs, own, config, space.read("layout") if space.has("layout") else None)
 

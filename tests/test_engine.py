@@ -214,6 +214,67 @@ def test_entities_beyond_the_landmarks_are_placed_by_their_distances(spark):
     assert np.corrcoef(d[up], away[up])[0, 1] > 0.999
 
 
+def _made_space(spark):
+    """Sixty entities of three kinds, some equal, one alone."""
+    import random
+
+    rng = random.Random(5)
+    own = {f"e{i:02d}": rng.sample(range(20 * (i % 3), 20 * (i % 3) + 26), 9) for i in range(60)}
+    own["e61"] = own["e62"] = own["e03"]
+    edges = spark.createDataFrame([(e, f"f{k}") for e, ks in own.items() for k in ks] + [("z", "zz")], EDGES)
+    return edges, vectors.vector_space(edges, weighting.feature_weights(edges)).cache()
+
+
+def test_clusters_of_a_space_equal_those_of_all_pairs(spark):
+    edges, space = _made_space(spark)
+    sim = pairs.pair_similarity(space).cache()
+    config = replace(Config(), distance_threshold=0.6, min_cluster=2)
+    want = sorted(map(tuple, clustering.clusters(sim, edges, config).collect()))
+    assert len({c for _, c in want}) > 3
+    # In one task, and in a distributed round or two before it.
+    for groups in (100, 40):
+        assert sorted(map(tuple, clustering.clusters_in(space, edges, config, task_groups=groups).collect())) == want
+
+
+def test_clusters_of_a_space_have_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "MATRIX_LIMIT", 3)
+    edges = spark.range(2_000).select(F.format_string("e%04d", "id").alias("entity_id"), F.explode(F.array(F.lit("all"), F.concat(F.lit("k"), F.col("id") % 4), F.concat(F.lit("m"), F.col("id") % 500))).alias("feature_id"))
+    space = vectors.vector_space(edges, weighting.feature_weights(edges))
+    got = clustering.clusters_in(space, edges, replace(Config(), distance_threshold=0.999), task_groups=400)
+    assert got.count() == 2_000 and got.select("cluster_id").distinct().count() == 1
+
+
+def test_map_of_a_space_equals_that_of_all_pairs(spark):
+    edges, space = _made_space(spark)
+    sim = pairs.pair_similarity(space).cache()
+    for limit in (100, 25):
+        want = {r["entity_id"]: (r["x"], r["y"]) for r in clustering.layout(sim, edges, limit=limit).collect()}
+        got = {r["entity_id"]: (r["x"], r["y"]) for r in clustering.layout_in(space, edges, limit=limit).collect()}
+        assert got.keys() == want.keys() and all(math.dist(got[e], want[e]) < 1e-3 for e in want)
+
+
+def test_places_of_many_landmarks_start_from_the_same_eigenvectors(monkeypatch):
+    import numpy as np
+
+    at = np.random.default_rng(1).normal(size=(120, 3)) * [3, 2, 0.5]
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
+    want = clustering.positions(d)
+    monkeypatch.setattr(clustering, "EIGEN_ALL", 10)
+    assert np.abs(clustering.positions(d) - want).max() < 1e-4
+
+
+def test_the_map_brings_no_pairs_to_the_driver(spark, monkeypatch):
+    edges, space = _made_space(spark)
+    collected = []
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    kept = Classic.toPandas
+    monkeypatch.setattr(Classic, "toPandas", lambda self: collected.append(self.columns) or kept(self))
+    clustering.layout(pairs.pair_similarity(space), edges, limit=25).collect()
+    clustering.layout_in(space, edges, limit=25).collect()
+    assert collected and not any({"left_id", "i"} & set(c) for c in collected)
+
+
 def test_metrics(spark):
     t = spark.createDataFrame([("a", r, 3, n, "high") for r, n in ((1, 7), (3, 15), (5, 60), (-1, 60))], "entity_id string, rank int, sample_size int, feature_count int, level string")
     rows = {(r["dimension"], r["value"]): r for r in metrics.report(t).collect()}
