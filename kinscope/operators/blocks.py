@@ -14,6 +14,12 @@ from kinscope.runtime import materialise, numbered
 
 # The most vectors and entries of a block, the features multiplied as dense columns, and the products held at once.
 BLOCK_ROWS, BLOCK_ENTRIES, DENSE, HELD = 12_000, 1_000_000, 1_024, 1 << 20
+# The left of two sides is never held dense, so its blocks may be larger: the fewer blocks, the less is shuffled.
+LEFT_ROWS, LEFT_ENTRIES = 60_000, 2_000_000
+# Entries that a side may be repeated to for the sake of more tasks, where the other side is no larger.
+REPEATED = 2_000_000
+# The most ids gathered in one row, kept in one row of a class, and in one block of classes.
+GATHERED, CLASS_IDS, BLOCK_IDS = 1_000_000, 8_192, 200_000
 PLACES = 1e6
 
 
@@ -28,6 +34,18 @@ class Block:
     row: np.ndarray
     code: np.ndarray
     value: np.ndarray
+    members: pa.ListArray | None = None
+
+    def expanded(self, j: np.ndarray, most: int | None = None) -> tuple[np.ndarray, pa.Array]:
+        """For vectors j that stand for several ids each: (which of j, id) of all of them, or of the `most` lowest of each."""
+        if self.members is None:
+            return np.arange(len(j)), self.ids.take(pa.array(j))
+        size = np.asarray(self.members.value_lengths()).astype(np.int64)
+        first = np.cumsum(size) - size
+        times = size[j] if most is None else np.minimum(size[j], most)
+        which = np.repeat(np.arange(len(j)), times)
+        at = np.repeat(first[j] - (np.cumsum(times) - times), times) + np.arange(len(which))
+        return which, self.members.flatten().take(pa.array(at))
 
 
 # Turns (left, right, rows of the left, dot, matched) into a table of results, or None.
@@ -42,10 +60,22 @@ def rounded(x: np.ndarray) -> np.ndarray:
 def pack(rows: DataFrame, codes: DataFrame, value: Column) -> DataFrame:
     """(id, n, t, code, value): one row a vector of `rows` (id, feature_id, w, u), with the features both sides have; n and t are of all its features."""
     entry = F.when(F.col("number").isNotNull(), F.struct(F.col("number").cast("int").alias("c"), value.cast("double").alias("v")))
-    own = rows.join(codes, "feature_id", "left").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("t"), F.collect_list(entry).alias("own"))
+    own = rows.join(codes, "feature_id", "left").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("t"), F.array_sort(F.collect_list(entry)).alias("own"))
     return own.where(F.size("own") > 0).select("id", "n", "t", F.col("own.c").alias("code"), F.col("own.v").alias("value"))
 
 
+def classes(vectors: DataFrame) -> DataFrame:
+    """(id, n, t, code, value, members): equal vectors of `pack` as one row, under their lowest id; all ids, sorted, are its members.
+
+    Equal means but for the order of summation. A class of very many ids is several rows.
+    """
+    parts = -(-vectors.count() // GATHERED)
+    alike = [F.pmod(F.xxhash64("id"), F.lit(max(1, parts))).alias("part"), F.col("code"), "n", F.round(F.col("t") * 1e9).cast("bigint").alias("about_t"), F.transform("value", lambda v: F.round(v * 1e9).cast("bigint")).alias("about")]
+    rows = vectors.groupBy(*alike).agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("t").alias("t"), F.min_by("value", "id").alias("value"))
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / CLASS_IDS).cast("int")), lambda k: F.slice("ids", k * CLASS_IDS + 1, CLASS_IDS)))
+    return rows.select("n", "t", "code", "value", cut.alias("members")).select(F.col("members")[0].alias("id"), "n", "t", "code", "value", "members")
+
+
 def _read(batches: list[pa.RecordBatch]) -> Block:
     t = pa.Table.from_batches(batches)
     text = np.array(t["id"].to_numpy(), dtype=str)
@@ -54,10 +84,10 @@ def _read(batches: list[pa.RecordBatch]) -> Block:
     place[order] = np.arange(len(order))
     code = t["code"].combine_chunks()
     row = np.repeat(place, np.asarray(code.value_lengths()))
-    return Block(t["id"].combine_chunks().take(pa.array(order)), text[order], t["n"].to_numpy()[order], t["t"].to_numpy()[order], row, np.asarray(code.flatten()), np.asarray(t["value"].combine_chunks().flatten()))
+    return Block(t["id"].combine_chunks().take(pa.array(order)), text[order], t["n"].to_numpy()[order], t["t"].to_numpy()[order], row, np.asarray(code.flatten()), np.asarray(t["value"].combine_chunks().flatten()), t["members"].combine_chunks().take(pa.array(order)) if "members" in t.column_names else None)
 
 
-def _products(a: Block, b: Block, held: int, most: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def _products(a: Block, b: Block, held: int, most: int, whole: bool) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, dot, matched) of a few vectors of `a` after another against all of `b`: the features most pairs share as matrices, the others as listed pairs."""
     common = np.intersect1d(a.code, b.code)
     if not len(common):
@@ -81,7 +111,7 @@ def _products(a: Block, b: Block, held: int, most: int) -> Iterator[tuple[slice,
     tc, tr, tv = bc[~in_head][tail], br[~in_head][tail], bv[~in_head][tail]
     order = np.argsort(ar, kind="stable")
     ar, ac, av = ar[order], ac[order], av[order]
-    step = max(1, held // max(1, many))
+    step = max(1, held // max(1, many, len(b.members.flatten()) if whole and b.members is not None else 0))
     for lo in range(0, len(a.ids), step):
         hi = min(lo + step, len(a.ids))
         i, j = np.searchsorted(ar, [lo, hi])
@@ -108,36 +138,47 @@ def _products(a: Block, b: Block, held: int, most: int) -> Iterator[tuple[slice,
         yield slice(lo, hi), dot, matched
 
 
-def multiply(left: DataFrame, right: DataFrame | None, emit: Emit, schema: str, *, unit: bool = False, held: int | None = None) -> DataFrame:
+def multiply(left: DataFrame, right: DataFrame | None, emit: Emit, schema: str, *, unit: bool = False, held: int | None = None, whole: bool = False) -> DataFrame:
     """What `emit` makes of every block of `left` against every block of `right`, both as `pack` gives them; a `right` of None is `left` itself, and each two blocks meet once.
 
-    With `unit` the values of the right count as 1, so that a product is the sum of the left's values.
+    With `unit` the values of the right count as 1, so that a product is the sum of the left's values. The right may be
+    `classes`; where `emit` gives a row for each of their ids, `whole` makes the steps as much shorter.
     Vectors are hashed into blocks of bounded size, and a task holds one block of each side. So what is shuffled are the
     vectors, once for each block of the other side, and never the pairs.
     """
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def blocks(df: DataFrame, wanted: int) -> int:
-        rows, entries = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("code")), F.lit(0))).first()
-        return max(1, -(-rows // BLOCK_ROWS), -(-entries // BLOCK_ENTRIES), min(wanted, rows // 1_000))
+    def sizes(df: DataFrame) -> tuple[int, int, int]:
+        return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("code")), F.lit(0)), F.coalesce(F.sum(F.size("members")), F.lit(0)) if "members" in df.columns else F.lit(0)).first())
+
+    def needed(rows: int, entries: int, ids: int = 0) -> int:
+        return max(1, -(-rows // BLOCK_ROWS), -(-entries // BLOCK_ENTRIES), -(-ids // BLOCK_IDS))
 
     def hashed(df: DataFrame, n: int, side: int) -> DataFrame:
         return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("side", F.lit(side))
 
     if right is None:
-        n = blocks(left, int((2 * parts) ** 0.5) + 1)
+        rows, entries, _ = sizes(left)
+        columns = ["id", "n", "t", "code", "value"]
+        n = max(needed(rows, entries), min(int((2 * parts) ** 0.5) + 1, rows // 1_000))
         cells = n * (n + 1) // 2
         # Blocks i <= j meet in the cell j (j + 1) / 2 + i.
         other = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
         met = hashed(left, n, 0).select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
         both = met.withColumn("cell", (F.col("hi") * (F.col("hi") + 1) / 2 + F.col("lo")).cast("int")).withColumn("side", (F.col("block") == F.col("hi")).cast("int"))
     else:
-        n = blocks(left, 1)
-        m = blocks(right, max(1, 2 * parts // n))
+        rows, entries, _ = sizes(left)
+        n = max(1, -(-rows // LEFT_ROWS), -(-entries // LEFT_ENTRIES))
+        others, theirs, ids = sizes(right)
+        m = needed(others, theirs, ids)
+        # More tasks by smaller blocks, as long as what is repeated for them stays small.
+        m = max(m, min(2 * parts // n, max(others, ids) // 1_000, others, max(theirs, REPEATED) // max(1, entries)))
+        n = max(n, min(2 * parts // m, rows // 100, max(entries, REPEATED) // max(1, theirs)))
         cells = n * m
         ours = hashed(left, n, 0).select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("other")).withColumn("cell", F.col("block") * m + F.col("other"))
         theirs = hashed(right, m, 1).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")).withColumn("cell", F.col("other") * m + F.col("block"))
-        both = ours.unionByName(theirs)
+        columns = ["id", "n", "t", "code", "value", "members"] if "members" in right.columns else ["id", "n", "t", "code", "value"]
+        both = ours.unionByName(theirs, allowMissingColumns=True)
     alone, held, most = right is None, held or HELD, DENSE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +194,14 @@ def multiply(left: DataFrame, right: DataFrame | None, emit: Emit, schema: str,
         a = _read(sides[0]) if sides[0] else b
         if unit:
             b = replace(b, value=np.ones(len(b.value)))
-        for rows, dot, matched in _products(a, b, held, most):
+        for rows, dot, matched in _products(a, b, held, most, whole):
             if not sides[0]:
                 matched[np.arange(len(b.ids))[None] <= np.arange(rows.start, rows.stop)[:, None]] = 0
             out = emit(a, b, rows, dot, matched)
             if out is not None and out.num_rows:
                 yield out
 
-    return both.select("cell", "side", "id", "n", "t", "code", "value").repartitionById(cells, "cell").select("side", "id", "n", "t", "code", "value").mapInArrow(run, schema)
+    return both.select("cell", "side", *columns).repartitionById(cells, "cell").select("side", *columns).mapInArrow(run, schema)
 
 
 def codes(first: DataFrame, second: DataFrame | None = None) -> DataFrame:

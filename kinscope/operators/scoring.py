@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinscope.config import METRICS, Config
-from kinscope.operators.blocks import PLACES, Block, multiply, packed, rounded
+from kinscope.operators.blocks import PLACES, Block, classes, multiply, packed, rounded
 from kinscope.operators.vectors import query_vectors
+from kinscope.runtime import materialise
 
 DIGITS = 6
 
@@ -27,7 +28,8 @@ def known_features(queries: DataFrame, weights: DataFrame) -> DataFrame:
 def score(space: DataFrame, queries: DataFrame, weights: DataFrame, config: Config = Config()) -> DataFrame:
     """(query_id, entity_id, score, coverage, matched, known): every entity that shares a feature with a query.
 
-    Blocks of queries meet blocks of entities (`blocks.multiply`), so no pair is shuffled. Entities that share nothing
+    Blocks of queries meet blocks of entities (`blocks.multiply`), so no pair is shuffled; equal
+    entities are multiplied once. Entities that share nothing
     score 0 and have no row. Scores are clipped to 0..1, multiplied by coverage (share of the query's known features that
     the entity has) where the correction is on, whatever the metric, and rounded before ranking, so that the order of
     summation cannot change ranks. A query without a known feature, or whose vector has no length, has no rows.
@@ -47,6 +49,7 @@ def _scored(space: DataFrame, queries: DataFrame, weights: DataFrame, config: Co
     entities = space.select(F.col("entity_id").alias("id"), "feature_id", "w", "u")
     mine, theirs = {"cosine": (F.col("u"), F.col("u")), "jaccard": (F.lit(0.0), F.lit(0.0)), "weighted_jaccard": (F.lit(1.0), F.col("w"))}[config.metric]
     left, right = packed(q, entities, mine, theirs)
+    right = materialise(classes(right), "classes")
     metric, corrected, power = config.metric, config.coverage_correction, config.coverage_power
 
     def emit(a: Block, b: Block, rows: slice, dot: np.ndarray, matched: np.ndarray) -> pa.RecordBatch | None:
@@ -64,9 +67,11 @@ def _scored(space: DataFrame, queries: DataFrame, weights: DataFrame, config: Co
         coverage = m / known
         if corrected:
             value = value * coverage**power
-        return pa.RecordBatch.from_arrays([a.ids[rows].take(pa.array(i)), b.ids.take(pa.array(j)), pa.array(rounded(value)), pa.array(rounded(coverage)), pa.array(m), pa.array(known)], ["query_id", "entity_id", "score", "coverage", "matched", "known"])
+        # The n best rows are among the n lowest ids of the n best classes, classes in the order of score and lowest id.
+        which, entity = b.expanded(j, best)
+        return pa.RecordBatch.from_arrays([a.ids[rows].take(pa.array(i[which])), entity, *[pa.array(x[which]) for x in (rounded(value), rounded(coverage), m, known)]], ["query_id", "entity_id", "score", "coverage", "matched", "known"])
 
-    return multiply(left, right, emit, "query_id string, entity_id string, score double, coverage double, matched bigint, known bigint")
+    return multiply(left, right, emit, "query_id string, entity_id string, score double, coverage double, matched bigint, known bigint", whole=best is None)
 
 
 def block_score(metric: str, dot: np.ndarray, shared: np.ndarray, own: np.ndarray, other: np.ndarray, own_total: np.ndarray, other_total: np.ndarray) -> np.ndarray:

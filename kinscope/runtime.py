@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# A table that took so many seconds has its shuffle files let go once it is written.
+LONG = 2.0
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -64,7 +67,11 @@ def materialise(df: DataFrame, name: str, **write_options: str) -> DataFrame:
     """Writes `df` as Parquet into the shared work folder and reads it back: lineage is cut, and the stage survives lost executors."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/kinscope/{name}-{uuid.uuid4().hex}"
+    began = time.monotonic()
     df.write.options(**write_options).parquet(path)
+    if time.monotonic() - began > LONG:
+        # Spark deletes shuffle files when the JVM collects their plan, which may otherwise be never.
+        spark.sparkContext._jvm.System.gc()
     if not _written:
         atexit.register(forget)
     _written.append((spark, path))

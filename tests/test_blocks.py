@@ -88,3 +88,29 @@ def test_pairs_of_a_feature_of_all_are_whole(spark):
     edges = spark.range(3000).select(F.col("id").cast("string").alias("entity_id"), F.lit("f").alias("feature_id"))
     space = vector_space(edges, feature_weights(edges))
     assert pairs.pair_similarity(space).count() == 3000 * 2999 // 2
+
+
+def _repeated(spark):
+    """Each of ninety vectors under forty ids."""
+    rng = random.Random(7)
+    own = [rng.sample(range(40), rng.randint(2, 9)) for _ in range(90)]
+    edges = spark.createDataFrame([(f"e{k:02d}-{i:02d}", f"f{x}") for i, xs in enumerate(own) for k in range(40) for x in xs], "entity_id string, feature_id string")
+    weights = feature_weights(edges).cache()
+    return vector_space(edges, weights).cache(), weights
+
+
+def test_equal_vectors_are_multiplied_once(spark, monkeypatch):
+    space, weights = _repeated(spark)
+    asked = space.where("entity_id like 'e00-0%' or entity_id like 'e17-1%'").select(F.col("entity_id").alias("query_id"), "feature_id")
+    one = blocks.packed(space.select(F.col("entity_id").alias("id"), "feature_id", "w", "u"), None, F.col("u"))[0]
+    assert blocks.classes(one).count() <= 90
+    monkeypatch.setattr(blocks, "CLASS_IDS", 7)
+    got = blocks.classes(one).collect()
+    assert sorted(e for r in got for e in r["members"]) == sorted(r[0] for r in space.select("entity_id").distinct().collect())
+    scores = scoring.score(space, asked, weights)
+    shared = asked.join(space, "feature_id").groupBy("query_id", "entity_id").agg(F.count(F.lit(1)).alias("n"))
+    key = lambda df, c: {(r["query_id"], r["entity_id"]): r[c] for r in df.collect()}
+    assert key(scores, "matched") == key(shared, "n") and scores.count() == shared.count()
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    assert listed(scoring.leading(space, asked, weights)) == listed(scoring.leaders(scores, 10))
+
