@@ -261,9 +261,9 @@ class _Best:
         return order[np.lexsort((self.rank[code[order]], key))]
 
 
-def _windows(x: np.ndarray, code: np.ndarray, best: _Best, exact, seed: int) -> None:
-    """Finds neighbours within one range of a curve: the range is ordered anew by several curves of its own centres and
-    principal axes, and on each every vector meets those within `WINDOW` places, or more, by block products."""
+def _windows(x: np.ndarray, code: np.ndarray, best: _Best, exact, seed: int, floor: float = -2.0) -> None:
+    """Finds neighbours of a similarity of at least `floor` within one range of a curve: the range is ordered anew by several curves of its own
+    centres and principal axes, and on each every vector meets those within `WINDOW` places, or more, by block products."""
     n = len(x)
     if n < 2:
         return
@@ -283,7 +283,7 @@ def _windows(x: np.ndarray, code: np.ndarray, best: _Best, exact, seed: int) ->
             yc = ((c - mean) @ basis)[:, : min(AXES, basis.shape[1])]
             centre = _ranks(hilbert(_grid(yc, *np.quantile(yc, [0.001, 0.999], axis=0), seed + r), BITS))
             order = np.lexsort((own, centre[_owner(x, c)]))
-        xo, least = x[order], best.sim[order, -1].copy()
+        xo, least = x[order], np.maximum(best.sim[order, -1], np.float32(floor))
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo in range(0, n, BLOCK):
             hi = min(lo + BLOCK, n)
@@ -310,8 +310,11 @@ def _windows(x: np.ndarray, code: np.ndarray, best: _Best, exact, seed: int) ->
 
 
 def _raise(least: np.ndarray, s: np.ndarray, k: int) -> None:
-    """Raises each row's bound to the k-th best of the block, if that is higher: its ties stay in, and no row has more than k others to take in."""
-    if s.shape[1] >= k:
+    """Raises each row's bound to the k-th best of the block, if that is higher: its ties stay in, and no row has more than k others to take in.
+
+    Where the rows have no more than k such others on average, the bounds stay.
+    """
+    if s.shape[1] >= k and np.count_nonzero(s >= least[:, None]) > k * len(s):
         np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1], out=least)
 
 
@@ -412,7 +415,8 @@ def nearest(df: DataFrame, key: str, vec: str, stamp: str, *, k: int = 10, exact
                     sim[i] = max(up, np.float32(true)) if true >= edge else min(np.nextafter(up, np.float32(-2)), np.float32(true))
             return sim
 
-        _windows(x, code[: len(keys)], best, exact, 1000 * (s + 1))
+        # Of the k best only those of `at_least` come out, so no others need to be found or travel along; what is that near is decided at the end.
+        _windows(x, code[: len(keys)], best, exact, 1000 * (s + 1), -2.0 if at_least is None else at_least - 1e-4)
         core = np.flatnonzero(~np.asarray(t.column("guest")))
         have = best.code[core] >= 0
         ends = pa.array(np.concatenate([[0], np.cumsum(have.sum(axis=1))]).astype(np.int32))

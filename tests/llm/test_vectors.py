@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinscope.llm import knn
@@ -100,6 +101,24 @@ def test_threshold_is_decided_in_double_precision(spark):
     assert ("a", "b") in got and ("a", "c") not in got
 
 
+def test_lists_hold_only_what_is_asked_for():
+    x = blobs(700, 9, 60, seed=3)
+    x[np.linalg.norm(x, axis=1) == 0, 0] = 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = pa.array([f"v{i:03}" for i in range(len(x))])
+    whole, asked = knn._Best(len(x), 6, names), knn._Best(len(x), 6, names)
+    knn._windows(x, np.arange(len(x)), whole, lambda a, b, s: s, 1)
+    knn._windows(x, np.arange(len(x)), asked, lambda a, b, s: s, 1, 0.97)
+    kept = whole.sim >= 0.97
+    assert 0 < kept.sum() < kept.size
+    assert (asked.code == np.where(kept, whole.code, -1)).all()
+
+
+def test_fewer_vectors_than_asked_for_are_not_their_own_neighbours(spark):
+    got = nearest(table(spark, [("a", [1, 0], 0), ("b", [1, 1], 0), ("c", [0, 1], 0)]), "id", "vec", "at", k=10).collect()
+    assert sorted((r["key"], r["neighbour"]) for r in got) == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]
+
+
 def test_no_vectors_no_rows(spark):
     assert nearest(table(spark, []), "id", "vec", "at").count() == 0
     assert nearest(table(spark, [("a", [1, 2], 0)]), "id", "vec", "at").count() == 0
