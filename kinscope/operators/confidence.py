@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinscope.config import Config
-from kinscope.operators.scoring import DIGITS, leaders, rank, runner_up
-from kinscope.operators.vectors import query_vectors
+from kinscope.operators.scoring import DIGITS, leaders, rank, runner_up, with_features
+from kinscope.operators.vectors import known_lists
 from kinscope.operators.weighting import normalized_rarity
 
 
@@ -36,11 +36,11 @@ def confidence(scores: DataFrame, space: DataFrame, queries: DataFrame, weights:
     matched features, by smoothed idf. A query without candidates has all components 0 and level low. weakest is the
     least component; of equals the first of rarity, margin, sufficiency.
     """
-    q = query_vectors(queries, weights)
+    asked = known_lists(queries, weights)
     scores = leaders(scores, max(2, config.top_k))
-    known = q.groupBy("query_id").agg(F.count_if("known").alias("known"))
+    known = asked.select("query_id", F.size("asked").cast("bigint").alias("known"))
     best = rank(scores, config).where("rank = 1").select("query_id", "entity_id")
-    hit = best.join(q.where("known").select("query_id", "feature_id"), "query_id").join(space.select("entity_id", "feature_id"), ["entity_id", "feature_id"])
+    hit = with_features(best, space, asked).select("query_id", "entity_id", F.explode(F.array_intersect("asked", "own")).alias("feature_id"))
     rows = known.join(best, "query_id", "left").join(normalized_rarity(hit, weights, ["query_id"]), "query_id", "left").join(runner_up(scores, space), "query_id", "left")
     none = F.col("entity_id").isNull()
     part = lambda c: F.when(none, 0.0).otherwise(F.coalesce(c, F.lit(0.0)))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from kinscope.config import METRICS, Config
 from kinscope.operators.blocks import PLACES, Block, classes, multiply, packed, rounded
-from kinscope.operators.vectors import query_vectors
-from kinscope.runtime import materialise
+from kinscope.operators.vectors import feature_lists, known_lists, query_vectors
+from kinscope.runtime import let_go, materialise
 
 DIGITS = 6
 
@@ -49,7 +49,8 @@ def _scored(space: DataFrame, queries: DataFrame, weights: DataFrame, config: Co
     entities = space.select(F.col("entity_id").alias("id"), "feature_id", "w", "u")
     mine, theirs = {"cosine": (F.col("u"), F.col("u")), "jaccard": (F.lit(0.0), F.lit(0.0)), "weighted_jaccard": (F.lit(1.0), F.col("w"))}[config.metric]
     left, right = packed(q, entities, mine, theirs)
-    right = materialise(classes(right), "classes")
+    one_each, right = right, materialise(classes(right), "classes")
+    let_go(one_each)
     metric, corrected, power = config.metric, config.coverage_correction, config.coverage_power
 
     def emit(a: Block, b: Block, rows: slice, dot: np.ndarray, matched: np.ndarray) -> pa.RecordBatch | None:
@@ -146,10 +147,14 @@ def evidence(ranked: DataFrame, space: DataFrame, queries: DataFrame, weights: D
 
 def matched_and_missing(ranked: DataFrame, space: DataFrame, queries: DataFrame, weights: DataFrame) -> DataFrame:
     """(query_id, entity_id, matched_ids, missing_ids): sorted lists of the query's known features the candidate has and lacks."""
-    q = query_vectors(queries, weights).where("known").select("query_id", "feature_id")
-    rows = ranked.select("query_id", "entity_id").join(q, "query_id").join(space.select("entity_id", "feature_id", F.lit(True).alias("has")), ["entity_id", "feature_id"], "left")
-    gather = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("feature_id"))))
-    return rows.groupBy("query_id", "entity_id").agg(gather(F.col("has").isNotNull()).alias("matched_ids"), gather(F.col("has").isNull()).alias("missing_ids"))
+    rows = with_features(ranked.select("query_id", "entity_id"), space, known_lists(queries, weights).where(F.size("asked") > 0))
+    own = F.coalesce("own", F.array().cast("array<string>"))
+    return rows.select("query_id", "entity_id", F.array_sort(F.array_intersect("asked", own)).alias("matched_ids"), F.array_sort(F.array_except("asked", own)).alias("missing_ids"))
+
+
+def with_features(rows: DataFrame, space: DataFrame, asked: DataFrame) -> DataFrame:
+    """Adds to pairs (query_id, entity_id) both sides' features as lists, `asked` and `own`: one row a query or entity is shuffled, none a feature."""
+    return rows.join(asked, "query_id").join(feature_lists(space, "entity_id", "own"), "entity_id", "left")
 
 
 def relative_gap(ranked: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from kinscope.operators.confidence import confidence
 from kinscope.plans.sql import ORACLES as ORACLES
 from kinscope.sources import bundle
 from kinscope.sources.tables import actor_edges, actor_entities, event_edges, order_edges, technique_names
-from kinscope.runtime import current_rows, materialise, table
+from kinscope.runtime import current_rows, let_go, materialise, table
 from kinscope.streaming.observations import observation_stream, rank_changes, run_once, windowed_counts
 
 QUERIES = {}
@@ -39,7 +39,10 @@ def _weights(spark: SparkSession, folder: str, scheme: str = "smooth_idf") -> Da
 def _written_space(spark: SparkSession, folder: str) -> DataFrame:
     """The space out of edges and weights that are written once; for what reads it several times."""
     e = materialise(event_edges(spark, folder), "edges")
-    return materialise(vectors.vector_space(e, materialise(weighting.feature_weights(e), "weights")), "space")
+    w = materialise(weighting.feature_weights(e), "weights")
+    s = materialise(vectors.vector_space(e, w), "space")
+    let_go(e, w)
+    return s
 
 
 def _space(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,10 +97,12 @@ def entity_totals(spark, folder):
 
 
 def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(weights, space, queries), each written once as an engine's build does, and the edges they come from."""
+    """(weights, space, queries), each written once as an engine's build does; the edges they come from are let go."""
     e = materialise(event_edges(spark, folder), "edges")
     w = materialise(weighting.feature_weights(e), "weights")
-    return w, materialise(vectors.vector_space(e, w), "space"), materialise(_queries(spark, folder, e), "queries")
+    s, q = materialise(vectors.vector_space(e, w), "space"), materialise(_queries(spark, folder, e), "queries")
+    let_go(e)
+    return w, s, q
 
 
 def _scores(spark, folder, **config):

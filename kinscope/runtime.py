@@ -75,7 +75,22 @@ def materialise(df: DataFrame, name: str, **write_options: str) -> DataFrame:
     if not _written:
         atexit.register(forget)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Deletes tables that `materialise` gave, once all that reads them is written itself."""
+    for df in tables:
+        own = (df.sparkSession, df._written_at)
+        _written.remove(own)
+        _delete(*own)
 
 
 def forget() -> None:
@@ -83,9 +98,7 @@ def forget() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone, and its folder with it
             return
 

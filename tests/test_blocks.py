@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinscope.config import Config
 from kinscope.operators import blocks, pairs, scoring
+from kinscope.operators.confidence import confidence
 from kinscope.operators.vectors import vector_space
 from kinscope.operators.weighting import feature_weights
 
@@ -114,3 +115,26 @@ def test_equal_vectors_are_multiplied_once(spark, monkeypatch):
     listed = lambda df: sorted(map(tuple, df.collect()))
     assert listed(scoring.leading(space, asked, weights)) == listed(scoring.leaders(scores, 10))
 
+
+
+def test_lists_and_confidence_shuffle_no_row_a_feature(made):
+    weights, space, v = made
+    asked = space.where(F.col("entity_id").isin("e01", "é07")).select(F.col("entity_id").alias("query_id"), "feature_id")
+    asked = asked.unionByName(asked).unionByName(asked.select("query_id", F.lit("nobody's").alias("feature_id")))
+    best = scoring.leading(space, asked, weights)
+    lists = scoring.matched_and_missing(scoring.rank(best), space, asked, weights)
+    for r in lists.collect():
+        assert r["matched_ids"] == sorted(v[r["query_id"]].keys() & v[r["entity_id"]].keys())
+        assert r["missing_ids"] == sorted(v[r["query_id"]].keys() - v[r["entity_id"]].keys())
+    for df in (lists, confidence(best, space, asked, weights)):
+        joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "entity_id" in x]
+        assert joins and not any("feature_id" in x for x in joins)
+
+
+def test_a_space_is_shuffled_once(made, spark):
+    edges = spark.createDataFrame([("a", "f"), ("a", "f"), ("a", "g"), ("b", "g")], "entity_id string, feature_id string")
+    weights = spark.createDataFrame([("f", 3.0), ("g", 4.0)], "feature_id string, weight double")
+    space = vector_space(edges, F.broadcast(weights))
+    assert sorted((r["entity_id"], r["feature_id"], r["u"]) for r in space.collect()) == [("a", "f", 0.6), ("a", "g", 0.8), ("b", "g", 1.0)]
+    plan = space._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1

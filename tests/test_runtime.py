@@ -38,3 +38,12 @@ def test_full_matrix_is_bounded(spark):
     assert pairs.dense(none, ids).count() == 25
     with pytest.raises(ValueError, match="full matrix"):
         pairs.dense(none, ids, limit=4)
+
+
+def test_tables_that_nothing_reads_any_more_are_deleted(spark):
+    from pathlib import Path
+
+    df, kept = runtime.materialise(spark.range(3), "three"), runtime.materialise(spark.range(4), "four")
+    runtime.let_go(df)
+    here = lambda x: Path(x._written_at.removeprefix("file:")).exists()
+    assert not here(df) and here(kept) and kept.count() == 4
