@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinscope.functions.ids import roll_up
 from kinscope.functions.text import alias_key, slug
 from kinscope.operators.components import components
+from kinscope.runtime import distinct_by
 
 
 def feature_catalogue(raw: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def merged_aliases(raw: DataFrame, groups: DataFrame) -> DataFrame:
 
 def sparse_filter(edges: DataFrame, min_features: int = 5) -> DataFrame:
     """The distinct edges of entities with at least `min_features` features."""
-    distinct = edges.select("entity_id", "feature_id").distinct()
+    distinct = distinct_by(edges, "entity_id", "feature_id")
     kept = distinct.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_features)
     return distinct.join(kept.select("entity_id"), "entity_id", "left_semi")
 

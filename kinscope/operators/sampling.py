@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinscope.runtime import materialise
+from kinscope.runtime import distinct_by, materialise
 
 FIXED_SIZES = (3, 5, 8, 12)
 # Noise is drawn so many times a trial at first, four times as often in each further round; beyond MOST_DRAWS the pool is sorted.
@@ -29,9 +29,10 @@ def sample_features(edges: DataFrame, draws: DataFrame, seed: int = 1337) -> Dat
     A draw takes the features with the lowest hashes of (seed, salt, entity, feature). One that asks for more features
     than its entity has gives nothing: nothing is padded.
     """
-    own = edges.select("entity_id", "feature_id").distinct().withColumn("feature_count", F.count(F.lit(1)).over(Window.partitionBy("entity_id")).cast("int"))
+    own = distinct_by(edges, "entity_id", "feature_id").withColumn("feature_count", F.count(F.lit(1)).over(Window.partitionBy("entity_id")).cast("int"))
     rows = own.join(draws, "entity_id").where("size <= feature_count").withColumn("mark", _mark(F.lit(str(seed)), "salt", "entity_id", "feature_id"))
-    order = Window.partitionBy("trial_id").orderBy("mark", "feature_id")
+    # A trial is of one entity; with the entity named, no draw needs to be shuffled again.
+    order = Window.partitionBy("entity_id", "trial_id").orderBy("mark", "feature_id")
     return rows.withColumn("p", F.row_number().over(order)).where("p <= size").select("trial_id", "entity_id", "feature_id", "feature_count")
 
 
@@ -93,7 +94,7 @@ def hashed_plan(edges: DataFrame, *, fraction: float = 0.5, repeats: int = 2, se
 
     An entity whose draw would be below `least` is left out with all its repeats, before noise (`skipped`).
     """
-    counts = edges.select("entity_id", "feature_id").distinct().groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = distinct_by(edges, "entity_id", "feature_id").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     sized = counts.select("entity_id", F.floor(F.col("n") * fraction).cast("int").alias("size"), F.col("n").cast("int").alias("feature_count")).where(F.col("size") >= least)
     draws = sized.select("*", F.explode(F.array(*[F.lit(str(r)) for r in range(repeats)])).alias("salt")).withColumn("trial_id", F.concat_ws("/", "entity_id", "salt"))
     picked = sample_features(edges, draws.drop("feature_count"), seed).select("trial_id", "entity_id", "feature_id", F.lit(False).alias("is_noise"), "feature_count")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinscope.config import Config
 from kinscope.operators import blocks, pairs, scoring
 from kinscope.operators.confidence import confidence
+from kinscope.operators.sampling import hashed_plan
 from kinscope.operators.vectors import vector_space
 from kinscope.operators.weighting import feature_weights
 
@@ -138,3 +139,12 @@ def test_a_space_is_shuffled_once(made, spark):
     assert sorted((r["entity_id"], r["feature_id"], r["u"]) for r in space.collect()) == [("a", "f", 0.6), ("a", "g", 0.8), ("b", "g", 1.0)]
     plan = space._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_draws_are_not_shuffled_again(made, spark):
+    edges = made[1].select("entity_id", "feature_id")
+    plan = hashed_plan(edges)
+    rows = plan.collect()
+    assert len({(r["trial_id"], r["feature_id"]) for r in rows}) == len(rows)
+    assert {r["trial_id"].rsplit("/", 1)[0] for r in rows} == {r["entity_id"] for r in rows}
+    assert "hashpartitioning(trial_id" not in plan._jdf.queryExecution().executedPlan().toString()
