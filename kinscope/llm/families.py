@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ SETTLED, ROUNDS = 0.01, 12
 REST_FACTOR, REST_SEEDS = 16.0, 4_096
 # Few rows get a seed for four of them, up to so many: families are small there.
 FEW_SEEDS = 2_048
+# From so many centres on, seeding and k-means hold a row against those of its PROBES nearest groups of like centres, of
+# sqrt(centres) groups. Whether a row fits a family is always decided against all of them.
+GROUPED, PROBES = 4_096, 8
 _ODD = 40_503
 
 
@@ -60,6 +64,49 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return who, best
 
 
+@dataclass
+class _Centres:
+    """Centres to find the nearest of; where asked for and there are many, by groups of like ones."""
+
+    rows: np.ndarray
+    number: np.ndarray
+    heads: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(centres: np.ndarray, grouped: bool = False) -> _Centres:
+        if not grouped or len(centres) < GROUPED:
+            return _Centres(centres, np.arange(len(centres)), centres[:0], np.empty(0, np.int64))
+        unit = _unit(centres)
+        heads = unit[np.random.default_rng(len(centres)).choice(len(unit), math.ceil(math.sqrt(len(unit))), replace=False)]
+        for _ in range(6):
+            who = _nearest(unit, heads)[0]
+            used, who = np.unique(who, return_inverse=True)
+            order = np.argsort(who, kind="stable")
+            heads = _unit(np.add.reduceat(unit[order], np.searchsorted(who[order], np.arange(len(used)))))
+        order = np.argsort(who, kind="stable")
+        return _Centres(centres[order], order, heads, np.searchsorted(who[order], np.arange(len(heads) + 1)))
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`_nearest` among the centres of each row's nearest groups."""
+        if not len(self.heads):
+            return _nearest(x, self.rows)
+        who, best = np.full(len(x), len(self.rows)), np.full(len(x), -2, np.float32)
+        probes = min(PROBES, len(self.heads))
+        group = np.argpartition(-(x @ self.heads.T), probes - 1, axis=1)[:, :probes].ravel()
+        order = np.argsort(group, kind="stable")
+        cut = np.searchsorted(group[order], np.arange(len(self.heads) + 1))
+        row = order // probes
+        for g in np.flatnonzero(np.diff(cut)):
+            own, lo = row[cut[g] : cut[g + 1]], self.ends[g]
+            s = x[own] @ self.rows[lo : self.ends[g + 1]].T
+            at = s.argmax(axis=1)
+            top, number = s[np.arange(len(own)), at], self.number[lo + at]
+            better = (top > best[own]) | ((top == best[own]) & (number < who[own]))
+            best[own[better]], who[own[better]] = top[better], number[better]
+        return who, best
+
+
 def _sent(rows: DataFrame, *arrays):
     """Arrays of one row a centre as a broadcast: they go to each executor once, not with every task."""
     return rows.sparkSession.sparkContext.broadcast(arrays)
@@ -85,13 +132,13 @@ def _seeds(rows: DataFrame, want: int, dims: int, seed: int) -> np.ndarray:
     each = max(1, -(-want // SEED_ROUNDS))
     for r in range(SEED_ROUNDS + 1):
         take = 1 if r == 0 else each
-        sent = _sent(rows, centres)
+        sent = _sent(rows, _Centres.of(centres, True) if len(centres) else None)
 
         def race(it: Iterator[pa.RecordBatch], take=take, r=r, sent=sent) -> Iterator[pa.RecordBatch]:
             best: pa.Table | None = None
             centres = sent.value[0]
             for t, x in _blocks(one(it), dims):
-                far = np.maximum(1 - _nearest(x, centres)[1], 0) if len(centres) else np.ones(len(x))
+                far = np.maximum(1 - centres.nearest(x)[1], 0) if centres else np.ones(len(x))
                 order = -np.log(_uniform(t.column("key").to_pylist(), seed + r)) / np.maximum(far, 1e-12)
                 new = pa.table({"race": order, "key": t.column("key"), "ix": t.column("ix"), "vx": t.column("vx")})
                 best = new if best is None else pa.concat_tables([best, new])
@@ -106,21 +153,23 @@ def _seeds(rows: DataFrame, want: int, dims: int, seed: int) -> np.ndarray:
     return centres
 
 
-def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.ndarray, every: bool = False, grouped: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
     """Per centre, the number of rows nearest to it (with a product of at least `at_least`, one bound or one a centre) and their sum; and the sum of all those products.
 
-    With `every`, a row counts for each centre whose bound it reaches, not for the nearest alone.
+    With `every`, a row counts for each centre whose bound it reaches, not for the nearest alone. With `grouped`, the nearest
+    of many centres is looked for in its nearest groups alone.
     Each task sends one row a centre it met, only with the buckets in use; these are added by a shuffle, not on the
     driver, so what the driver gets is one row a centre.
     """
     bounds = np.broadcast_to(np.asarray(at_least, np.float32), len(centres)).copy()
-    sent = _sent(rows, centres, bounds)
+    sent = _sent(rows, centres if every else _Centres.of(centres, grouped), bounds)
+    many = len(centres)
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, bound = sent.value
-        total = np.zeros((len(centres), dims), np.float64)
-        count = np.zeros(len(centres), np.int64)
-        near_by = np.zeros(len(centres))
+        total = np.zeros((many, dims), np.float64)
+        count = np.zeros(many, np.int64)
+        near_by = np.zeros(many)
         for t, x in _blocks(one(it), dims):
             if every:
                 for lo in range(0, len(x), 2048):
@@ -129,13 +178,13 @@ def _sums(rows: DataFrame, centres: np.ndarray, dims: int, at_least: float | np.
                     total[c] += near[np.ix_(own, c)].T.astype(np.float32) @ x[lo : lo + 2048][own]
                     count += near.sum(axis=0)
                 continue
-            who, best = _nearest(x, centres)
+            who, best = centres.nearest(x)
             keep = best >= bound[who]
             row, bucket, value = buckets(t.column("ix").chunk(0), t.column("vx").chunk(0), dims)
             own = keep[row]
             np.add.at(total.reshape(-1), who[row[own]] * dims + bucket[own], value[own])
-            count += np.bincount(who[keep], minlength=len(centres))
-            near_by += np.bincount(who[keep], weights=best[keep], minlength=len(centres))
+            count += np.bincount(who[keep], minlength=many)
+            near_by += np.bincount(who[keep], weights=best[keep], minlength=many)
         c = np.flatnonzero(count)
         at, bucket = np.nonzero(total[c])
         size = np.bincount(at, minlength=len(c))
@@ -228,7 +277,7 @@ def _found(rows: DataFrame, want: int, dims: int, threshold: float, least: int,
     centres = _seeds(rows, want, dims, seed)
     count, total, before = np.zeros(0), np.zeros((0, dims)), None
     for _ in range(ROUNDS):
-        count, total, near = _sums(rows, centres, dims, -1.0)
+        count, total, near = _sums(rows, centres, dims, -1.0, grouped=True)
         if before is not None and near - before < SETTLED * abs(before):
             break
         centres, before = _unit(total), near
@@ -319,13 +368,13 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
     def outside(rows: DataFrame, means: np.ndarray, bound: np.ndarray, n: int) -> tuple[DataFrame, int]:
         """The rows that fit none of the families, and their number."""
 
-        sent = _sent(rows, means, bound)
+        sent = _sent(rows, _Centres.of(means) if len(means) else None, bound)
 
         def left(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             means, bound = sent.value
             for t, x in _blocks(one(it), dims):
-                if len(means):
-                    who, best = _nearest(x, means)
+                if means:
+                    who, best = means.nearest(x)
                     t = t.filter(pa.array(best < bound[who]))
                 yield from t.combine_chunks().to_batches()
 
@@ -368,13 +417,12 @@ def families(df: DataFrame, key: str, vec: str, stamp: str, *, threshold: float
     if not len(means):
         return packed.select("key", F.lit("").alias("lead"), F.lit(0.0).alias("typicality"), F.lit(0).cast("bigint").alias("size")).limit(0)
 
-    sent = _sent(packed, means, _member(size, threshold))
+    sent = _sent(packed, _Centres.of(means), _member(size, threshold), np.maximum(np.linalg.norm(means, axis=1), 1e-12))
 
     def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        means, bound = sent.value
-        norm = np.maximum(np.linalg.norm(means, axis=1), 1e-12)
+        means, bound, norm = sent.value
         for t, x in _blocks(one(it), dims):
-            who, best = _nearest(x, means)
+            who, best = means.nearest(x)
             keep = np.flatnonzero(best >= bound[who])
             yield pa.RecordBatch.from_arrays([t.column("key").chunk(0).take(pa.array(keep)), pa.array(who[keep].astype(np.int32)), pa.array((best / norm[who])[keep].astype(np.float64))], names=["key", "family", "typicality"])
 

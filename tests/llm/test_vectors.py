@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from kinscope.llm import families as families_module
 from kinscope.llm import knn
 from kinscope.llm.families import agglomerate, families, typical_members
 from kinscope.llm.knn import hilbert, nearest
@@ -226,3 +227,31 @@ def test_families_of_a_whole_table_are_those_of_average_linkage(spark):
     want = set(zip(own.id, own.groupby("label").id.transform("min")))
     got = {(r["key"], r["lead"]) for r in families(spark.read.parquet(f"{larger}/vector_space.parquet"), "actor_id", "vec", "built_at").collect()}
     assert len(got & want) >= 0.998 * len(want) and len(got) <= 1.002 * len(want)
+
+
+def test_nearest_of_many_centres_by_their_groups(monkeypatch):
+    monkeypatch.setattr(families_module, "GROUPED", 1_000)
+    x = blobs(12_000, 400, 256, seed=5)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres, rows = x[:2_000], x[2_000:8_000]
+    who, best = families_module._Centres.of(centres, True).nearest(rows)
+    _, want = families_module._nearest(rows, centres)
+    assert np.allclose(best, (rows * centres[who]).sum(axis=1), atol=1e-5)
+    assert (best >= want - 1e-5).mean() > 0.97
+    few = families_module._Centres.of(centres[:900], True)
+    assert len(few.heads) == 0 and (few.nearest(rows)[0] == families_module._nearest(rows, centres[:900])[0]).all()
+
+
+def test_families_by_groups_of_centres_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    kinds = [rng.choice(64, 6, replace=False) for _ in range(12)]
+    rows = [(f"k{i:03}", np.bincount(kinds[i % 12], minlength=64) + 0.1 * np.bincount(rng.choice(64, 2), minlength=64), 0) for i in range(240)]
+    listed = lambda: sorted(map(tuple, families(table(spark, rows), "id", "vec", "at", dims=64).select("key", "lead", "size").collect()))
+    want = listed()
+    used = []
+    monkeypatch.setattr(families_module, "GROUPED", 16)
+    monkeypatch.setattr(families_module, "PROBES", 3)
+    of = families_module._Centres.of
+    monkeypatch.setattr(families_module._Centres, "of", staticmethod(lambda *a: used.append(of(*a)) or used[-1]))
+    assert listed() == want and len(want) > 200 and any(len(c.heads) for c in used)
