@@ -25,6 +25,9 @@ FEW_SEEDS = 2_048
 # From so many centres on, seeding and k-means hold a row against those of its PROBES nearest groups of like centres, of
 # sqrt(centres) groups. Whether a row fits a family is always decided against all of them.
 GROUPED, PROBES = 4_096, 8
+# From LED centres on, those that cannot be a row's nearest are told by LEADING axes of the centres; where up to FEW are left,
+# these are multiplied one by one. SLACK is above what single precision gets wrong.
+LED, LEADING, FEW, SLACK = 256, 128, 12, 1e-5
 _ODD = 40_503
 
 
@@ -45,6 +48,10 @@ def buckets(ix: pa.Array, vx: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarr
 def hashed(ix: pa.Array, vx: pa.Array, dims: int) -> np.ndarray:
     """Dense rows (float32) of `buckets`."""
     row, bucket, value = buckets(ix, vx, dims)
+    if not len(row) or flat(ix, "<u2")[0].max() < dims:
+        out = np.zeros(len(ix) * dims, np.float32)
+        out[row * dims + bucket] = value
+        return out.reshape(-1, dims)
     return np.bincount(row * dims + bucket, weights=value, minlength=len(ix) * dims).astype(np.float32).reshape(-1, dims)
 
 
@@ -64,6 +71,51 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return who, best
 
 
+class _Led:
+    """Finds what `_nearest` finds, but for products that differ by rounding alone, without most of the products.
+
+    Rows and centres are turned to the principal axes of the centres. Beyond the leading axes a product is at most that of
+    the two remainders' lengths, so these axes bound it; a centre whose bound is below a product that is known is left out.
+    Rows that keep more than FEW centres are held against all.
+    """
+
+    def __init__(self, centres: np.ndarray, axes: np.ndarray) -> None:
+        self.used = np.flatnonzero(centres.any(axis=0))
+        self.rows, self.axes = np.ascontiguousarray(centres[:, self.used]), np.ascontiguousarray(axes[self.used])
+        lead = (self.rows @ self.axes).astype(np.float64)
+        rest = np.sqrt(np.maximum((self.rows.astype(np.float64) ** 2).sum(axis=1) - (lead**2).sum(axis=1), 0) + SLACK / 10)
+        self.part = np.column_stack([lead, rest]).astype(np.float32)
+
+    @staticmethod
+    def axes_of(centres: np.ndarray) -> np.ndarray:
+        c = centres.astype(np.float32)
+        return np.linalg.eigh((c.T @ c).astype(np.float64))[1][:, ::-1][:, :LEADING].astype(np.float32)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        who, best = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
+        for lo in range(0, len(x), 2048):
+            row = np.take(x[lo : lo + 2048], self.used, axis=1)
+            lead = row @ self.axes
+            rest = np.sqrt(np.maximum(np.einsum("ij,ij->i", row, row) - np.einsum("ij,ij->i", lead, lead), 0) + SLACK / 10)
+            bound = np.column_stack([lead, rest]) @ self.part.T
+            known = np.einsum("ij,ij->i", row, self.rows[bound.argmax(axis=1)]) - SLACK
+            near = np.packbits(bound >= known[:, None], axis=1)
+            few = np.bitwise_count(near).sum(axis=1, dtype=np.int64) <= FEW
+            own, wide = lo + np.flatnonzero(few), near.shape[1]
+            if len(own):
+                eight = np.flatnonzero(near[few])
+                at, bit = np.nonzero(np.unpackbits(near[few].ravel()[eight][:, None], axis=1))
+                i, j = eight[at] // wide, eight[at] % wide * 8 + bit
+                product = np.einsum("ij,ij->i", row[few][i], self.rows[j])
+                first = np.searchsorted(i, np.arange(len(own)))
+                best[own] = np.maximum.reduceat(product, first)
+                who[own] = np.minimum.reduceat(np.where(product == best[own][i], j, len(self.rows)), first)
+            own = lo + np.flatnonzero(~few)
+            if len(own):
+                who[own], best[own] = _nearest(row[~few], self.rows)
+        return who, best
+
+
 @dataclass
 class _Centres:
     """Centres to find the nearest of; where asked for and there are many, by groups of like ones."""
@@ -72,11 +124,13 @@ class _Centres:
     number: np.ndarray
     heads: np.ndarray
     ends: np.ndarray
+    axes: np.ndarray | None = None
+    led: _Led | None = None
 
     @staticmethod
     def of(centres: np.ndarray, grouped: bool = False) -> _Centres:
         if not grouped or len(centres) < GROUPED:
-            return _Centres(centres, np.arange(len(centres)), centres[:0], np.empty(0, np.int64))
+            return _Centres(centres, np.arange(len(centres)), centres[:0], np.empty(0, np.int64), _Led.axes_of(centres) if len(centres) >= LED else None)
         unit = _unit(centres)
         heads = unit[np.random.default_rng(len(centres)).choice(len(unit), math.ceil(math.sqrt(len(unit))), replace=False)]
         for _ in range(6):
@@ -89,6 +143,10 @@ class _Centres:
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """`_nearest` among the centres of each row's nearest groups."""
+        if self.axes is not None:
+            if self.led is None:
+                self.led = _Led(self.rows, self.axes)
+            return self.led.nearest(x)
         if not len(self.heads):
             return _nearest(x, self.rows)
         who, best = np.full(len(x), len(self.rows)), np.full(len(x), -2, np.float32)
@@ -126,7 +184,8 @@ def _seeds(rows: DataFrame, want: int, dims: int, seed: int) -> np.ndarray:
     """Parallel oversampled seeding: each round draws many rows at once, with odds by their squared distance to the centres so far.
 
     The draw is an exponential race, so one pass suffices: each row gets -ln(u) / distance with u hashed from its key,
-    and the lowest win. No row needs to know the sum of all distances.
+    and the lowest win. No row needs to know the sum of all distances, and of a row that cannot win by its -ln(u) the
+    distance is not asked.
     """
     centres = np.zeros((0, dims), np.float32)
     each = max(1, -(-want // SEED_ROUNDS))
@@ -135,16 +194,28 @@ def _seeds(rows: DataFrame, want: int, dims: int, seed: int) -> np.ndarray:
         sent = _sent(rows, _Centres.of(centres, True) if len(centres) else None)
 
         def race(it: Iterator[pa.RecordBatch], take=take, r=r, sent=sent) -> Iterator[pa.RecordBatch]:
-            best: pa.Table | None = None
+            t = one(it)
+            if t is None:
+                return
             centres = sent.value[0]
-            for t, x in _blocks(one(it), dims):
+            drawn = -np.log(_uniform(t.column("key").to_pylist(), seed + r))
+            place = np.argsort(drawn, kind="stable")
+            # A row has length 1 unless several of its up to 65,536 axes wrap into one bucket; so no distance is above this.
+            longest = 1.0 if flat(t.column("ix").chunk(0), "<u2")[0].max(initial=0) < dims else math.sqrt(65_536 / dims)
+            most = 1.001 + longest * (float(np.linalg.norm(centres.rows, axis=1).max()) if centres else 0)
+            won, race = np.empty(0, np.int64), np.empty(0)
+            for lo in range(0, len(place), 1_024):
+                at = place[lo : lo + 1_024]
+                if len(race) == take and drawn[at[0]] / most > race[-1]:
+                    break
+                part = t.take(pa.array(at)).combine_chunks()
+                x = hashed(part.column("ix").chunk(0), part.column("vx").chunk(0), dims)
                 far = np.maximum(1 - centres.nearest(x)[1], 0) if centres else np.ones(len(x))
-                order = -np.log(_uniform(t.column("key").to_pylist(), seed + r)) / np.maximum(far, 1e-12)
-                new = pa.table({"race": order, "key": t.column("key"), "ix": t.column("ix"), "vx": t.column("vx")})
-                best = new if best is None else pa.concat_tables([best, new])
-                best = best.take(pa.array(np.argsort(best.column("race").to_numpy(), kind="stable")[:take]))
-            if best is not None:
-                yield from best.combine_chunks().to_batches()
+                won, race = np.concatenate([won, at]), np.concatenate([race, drawn[at] / np.maximum(far, 1e-12)])
+                first = np.lexsort((won, race))[:take]
+                won, race = won[first], race[first]
+            best = t.take(pa.array(won)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(race), *(best.column(c).chunk(0) for c in ("key", "ix", "vx"))], ["race", "key", "ix", "vx"])
 
         won = rows.mapInArrow(race, "race double, key string, ix binary, vx binary").orderBy("race", "key").limit(take).toArrow().combine_chunks()
         sent.destroy()

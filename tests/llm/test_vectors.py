@@ -255,3 +255,35 @@ def test_families_by_groups_of_centres_are_the_same(spark, monkeypatch):
     of = families_module._Centres.of
     monkeypatch.setattr(families_module._Centres, "of", staticmethod(lambda *a: used.append(of(*a)) or used[-1]))
     assert listed() == want and len(want) > 200 and any(len(c.heads) for c in used)
+
+
+@pytest.mark.parametrize("low", [0.0, -0.3])
+def test_leading_axes_leave_out_most_products_and_no_nearest(monkeypatch, low):
+    rng = np.random.default_rng(5)
+    x = blobs(6_000, 300, 200, seed=5, spread=0.2) + low * (rng.random((6_000, 200)) < 0.02)
+    x = np.concatenate([families_module._unit(x), np.zeros((3, 200), np.float32), families_module._unit(rng.random((50, 200)))])
+    centres = np.concatenate([x[rng.choice(6_000, 600, replace=False)], np.zeros((1, 200), np.float32)])
+    centres[7] = centres[5]
+    who, best = families_module._nearest(x, centres)
+    whole = []
+    plain = families_module._nearest
+    monkeypatch.setattr(families_module, "_nearest", lambda rows, c: (whole.append(len(rows)), plain(rows, c))[1])
+    got, product = families_module._Centres.of(centres).nearest(x)
+    assert np.abs(product - best).max() < 1e-5
+    assert (np.abs((x * centres[got]).sum(axis=1) - best) < 1e-5).all() and not (got == 7).any()
+    assert sum(whole) < len(x) / 3
+
+
+def test_seeds_are_the_first_of_the_race_over_all_rows(spark):
+    x = families_module._unit(blobs(3_000, 20, 60, seed=6) + 0.001)
+    keys = [f"k{i:05}" for i in range(3_000)]
+    rows = families_module.pack_vectors(table(spark, [(k, v, 0) for k, v in zip(keys, x)]), "id", "vec", "at").repartition(2).cache()
+    got = families_module._seeds(rows, 30, 512, 4)
+    full = np.zeros((3_000, 512), np.float32)
+    full[:, np.arange(60) * 40_503 % 512] = x
+    centres = np.zeros((0, 512), np.float32)
+    for r in range(4):
+        far = np.maximum(1 - (full @ centres.T).max(axis=1), 1e-12) if r else np.ones(3_000)
+        race = -np.log(families_module._uniform(keys, 4 + r)) / far
+        centres = np.vstack([centres, full[np.argsort(race)[: 10 if r else 1]]])
+    assert np.abs(got - centres).max() < 1e-5
