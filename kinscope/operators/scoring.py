@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinscope.config import METRICS, Config
-from kinscope.operators.blocks import PLACES, Block, classes, multiply, packed, rounded
+from kinscope.operators.blocks import PLACES, Block, multiply, once_each, packed, rounded
 from kinscope.operators.vectors import feature_lists, known_lists, query_vectors
-from kinscope.runtime import let_go, materialise
 
 DIGITS = 6
 
@@ -49,8 +48,7 @@ def _scored(space: DataFrame, queries: DataFrame, weights: DataFrame, config: Co
     entities = space.select(F.col("entity_id").alias("id"), "feature_id", "w", "u")
     mine, theirs = {"cosine": (F.col("u"), F.col("u")), "jaccard": (F.lit(0.0), F.lit(0.0)), "weighted_jaccard": (F.lit(1.0), F.col("w"))}[config.metric]
     left, right = packed(q, entities, mine, theirs)
-    one_each, right = right, materialise(classes(right), "classes")
-    let_go(one_each)
+    right = once_each(right)
     metric, corrected, power = config.metric, config.coverage_correction, config.coverage_power
 
     def emit(a: Block, b: Block, rows: slice, dot: np.ndarray, matched: np.ndarray) -> pa.RecordBatch | None:

@@ -107,7 +107,10 @@ def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
 
 def _scores(spark, folder, **config):
     w, s, q = _stored(spark, folder)
-    return scoring.score(s, q, w, Config(**config))
+    rows = scoring.score(s, q, w, Config(**config))
+    # The scores come out of packed vectors, which are written by now.
+    let_go(w, s, q)
+    return rows
 
 
 def _leading(spark, folder):

@@ -10,6 +10,7 @@ from kinscope.operators.confidence import confidence
 from kinscope.operators.sampling import hashed_plan
 from kinscope.operators.vectors import vector_space
 from kinscope.operators.weighting import feature_weights
+from kinscope.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +118,30 @@ def test_equal_vectors_are_multiplied_once(spark, monkeypatch):
     assert listed(scoring.leading(space, asked, weights)) == listed(scoring.leaders(scores, 10))
 
 
+def _left_over(run):
+    """Names of the tables that a query has written and not let go, and its result."""
+    from kinscope import runtime
+
+    before = list(runtime._written)
+    out = run()
+    return sorted(path.rsplit("/", 1)[1].rsplit("-", 1)[0] for own in runtime._written if own not in before for path in own[1:]), out
+
+
+@pytest.mark.parametrize("name", ["scores_cosine"])
+def test_tables_no_longer_read_are_gone_before_the_products(spark, folder, name):
+    left, out = _left_over(lambda: QUERIES[name](spark, folder))
+    assert not {"edges", "weights", "space", "queries", "codes"} & set(left)
+    assert out.count() > 0
+
+
+def test_different_vectors_are_not_shuffled_into_classes(spark, made):
+    weights, space, v = made
+    asked = space.select(F.col("entity_id").alias("query_id"), "feature_id")
+    left, scores = _left_over(lambda: scoring.score(space, asked, weights))
+    assert "classes" not in left and {r["entity_id"] for r in scores.where("query_id = 'e01'").collect()} == {e for e in v if v[e].keys() & v["e01"].keys()}
+    equal, weights = _repeated(spark)
+    assert "classes" in _left_over(lambda: scoring.score(equal, equal.where("entity_id = 'e00-01'").select(F.col("entity_id").alias("query_id"), "feature_id"), weights))[0]
+
 
 def test_lists_and_confidence_shuffle_no_row_a_feature(made):
     weights, space, v = made
