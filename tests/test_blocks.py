@@ -127,7 +127,7 @@ def _left_over(run):
     return sorted(path.rsplit("/", 1)[1].rsplit("-", 1)[0] for own in runtime._written if own not in before for path in own[1:]), out
 
 
-@pytest.mark.parametrize("name", ["scores_cosine"])
+@pytest.mark.parametrize("name", ["scores_cosine", "pairs_weighted_jaccard"])
 def test_tables_no_longer_read_are_gone_before_the_products(spark, folder, name):
     left, out = _left_over(lambda: QUERIES[name](spark, folder))
     assert not {"edges", "weights", "space", "queries", "codes"} & set(left)
@@ -143,6 +143,15 @@ def test_different_vectors_are_not_shuffled_into_classes(spark, made):
     assert "classes" in _left_over(lambda: scoring.score(equal, equal.where("entity_id = 'e00-01'").select(F.col("entity_id").alias("query_id"), "feature_id"), weights))[0]
 
 
+def test_large_vectors_are_not_repeated_for_more_tasks(spark, monkeypatch):
+    edges = spark.range(3000).select(F.col("id").cast("string").alias("entity_id"), F.explode(F.array(F.lit("f"), F.lit("g"))).alias("feature_id"))
+    space = vector_space(edges, feature_weights(edges)).cache()
+    assert pairs.pair_similarity(space).rdd.getNumPartitions() == 6
+    monkeypatch.setattr(blocks, "REPEATED", 1_500)
+    few = pairs.pair_similarity(space)
+    assert few.rdd.getNumPartitions() == 1 and few.count() == 3000 * 2999 // 2
+
+
 def test_lists_and_confidence_shuffle_no_row_a_feature(made):
     weights, space, v = made
     asked = space.where(F.col("entity_id").isin("e01", "é07")).select(F.col("entity_id").alias("query_id"), "feature_id")
