@@ -152,6 +152,55 @@ def test_large_vectors_are_not_repeated_for_more_tasks(spark, monkeypatch):
     assert few.rdd.getNumPartitions() == 1 and few.count() == 3000 * 2999 // 2
 
 
+def _shuffled(spark, run):
+    """Bytes of the shuffle files that a run leaves, and its result."""
+    files = lambda: {f.getPath(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data")}
+    before = files()
+    out = run()
+    return sum(n for path, n in files().items() if path not in before), out
+
+
+@pytest.fixture(scope="module")
+def drawn(spark):
+    """Two thousand entities of sixty features each or nearly so, out of five hundred."""
+    rows = spark.range(120_000).select((F.col("id") % 2_000).cast("string").alias("entity_id"), F.concat(F.lit("f"), F.pmod(F.xxhash64("id"), F.lit(500)).cast("string")).alias("feature_id")).distinct().cache()
+    return vector_space(rows, feature_weights(rows)).cache()
+
+
+def _sent_small(spark, space, metric, monkeypatch):
+    """An only side is sent once for each of four blocks: in less than 120 bytes a vector of some 56 features."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 500)
+    got = pairs.pair_similarity(space, metric)
+    assert got.rdd.getNumPartitions() == 10
+    moved, rows = _shuffled(spark, lambda: got.agg(F.count("shared"), F.sum("shared")).first())
+    shared = space.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    assert rows[1] == shared and 0 < moved < 120 * 4 * 2_000
+
+
+def test_distances_shuffle_little(spark, drawn, monkeypatch):
+    _sent_small(spark, drawn, "cosine", monkeypatch)
+
+
+def test_bundles_keep_vectors_whole(spark):
+    """Gaps of any size, values that differ between vectors, more bundles than one, and a vector without entries."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    for top, own in ((90, False), (60_000, False), (2_000_000_000, False), (300, True)):
+        codes = [sorted(rng.sample(range(top), k)) for k in (5, 0, 40, 1)]
+        values = [[rng.random() if own else float(c % 7) for c in x] for x in codes]
+        t = pa.table({"block": pa.array([1, 0, 1, 1], pa.int32()), "id": ["b", "é", "a", "c"], "n": [7, 8, 9, 10], "t": [0.5, 1.5, 2.5, 3.5], "code": pa.array(codes, pa.list_(pa.int32())), "value": pa.array(values, pa.list_(pa.float64())), "over": [1.0, 2.0, 4.0, 3.0]})
+        batches = t.to_batches(max_chunksize=3)
+        bundles = [x for b in (batches[:1], batches[1:]) for r in blocks._bundles(iter(b)) for x in r.to_pylist() if x["block"] == 1]
+        assert len(bundles) == 2
+        got = blocks._opened([x["vectors"] for x in bundles])
+        assert got.ids.to_pylist() == ["a", "b", "c"] and got.n.tolist() == [9, 7, 10] and got.t.tolist() == [2.5, 0.5, 3.5]
+        for place, i in enumerate((2, 0, 3)):
+            assert got.code[got.row == place].tolist() == codes[i]
+            assert np.array_equal(got.value[got.row == place], np.array(values[i]) / t["over"][i].as_py())
+
+
 def test_lists_and_confidence_shuffle_no_row_a_feature(made):
     weights, space, v = made
     asked = space.where(F.col("entity_id").isin("e01", "é07")).select(F.col("entity_id").alias("query_id"), "feature_id")

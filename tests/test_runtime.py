@@ -1,6 +1,7 @@
 """Current rows, written tables and the work folder."""
 
 import datetime as dt
+import time
 
 import pytest
 
@@ -21,6 +22,18 @@ def test_materialised_tables_cut_lineage(spark):
     assert all(runtime.work_folder(spark) in f for f in df.inputFiles())
 
 
+def test_lean_tables_leave_no_shuffle_files(spark):
+    java = spark._jvm.scala.jdk.javaapi.CollectionConverters
+    files = lambda: {f.getPath() for f in java.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(runtime.FREED, None)
+    df = runtime.materialise(spark.range(1000).groupBy("id").count(), "counts", lean=True)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and df.count() == 1000 and spark.conf.get(runtime.FREED, None) == setting
+
+
 def test_work_folder_is_shared_or_local(spark):
     assert runtime.work_folder(spark)
 
