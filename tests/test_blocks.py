@@ -177,6 +177,10 @@ def _sent_small(spark, space, metric, monkeypatch):
     assert rows[1] == shared and 0 < moved < 120 * 4 * 2_000
 
 
+def test_pairs_weighted_jaccard_shuffle_little(spark, drawn, monkeypatch):
+    _sent_small(spark, drawn, "weighted_jaccard", monkeypatch)
+
+
 def test_distances_shuffle_little(spark, drawn, monkeypatch):
     _sent_small(spark, drawn, "cosine", monkeypatch)
 
